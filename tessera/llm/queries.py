@@ -5,8 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, url_filter
-from .common import table
+from . import curve_ann, langid, line_dedup, mixing, ngram_join, pivot_topk, toxicity, url_filter
+from .common import held_out, table
+
+def op1_curve_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return curve_ann.nearest(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
+
 
 URL_RULES = (
     ("org", "/", "allow"),
@@ -48,6 +52,24 @@ FROM parts LEFT JOIN best USING (page_id)
 """
 
 
+def op6_pivot_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pivot_topk.top_products(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
+
+
+OP6_SQL = """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, x -> CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+  FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0),
+scored AS (
+  SELECT q.vec_id AS query_id, c.vec_id, CAST(list_dot_product(q.v, c.v) AS BIGINT) AS score
+  FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 50 = 0)
+SELECT query_id, CAST(row_number() OVER w AS INTEGER) AS rank, vec_id, score FROM scored
+QUALIFY row_number() OVER w <= 5
+WINDOW w AS (PARTITION BY query_id ORDER BY score DESC, vec_id)
+"""
+
+
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
     return mixing.mix_sources(docs).select(
@@ -62,5 +84,40 @@ def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {"op3_url_filter": op3_url_filter, "op8_mixing": op8_mixing}
-ORACLES = {"op3_url_filter": OP3_SQL}
+def learned_toxicity(spark: SparkSession, sf_dir: str) -> toxicity.ToxicityModel:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text").where(~held_out())
+    return toxicity.fit_toxicity(docs, table(spark, sf_dir, "labels").where(~held_out()))
+
+
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    scored = toxicity.toxicity_scores(docs, learned_toxicity(spark, sf_dir))
+    return scored.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    found = langid.identify(docs, langid.fit_languages(docs.where(~held_out())))
+    return found.select("doc_id", held_out().alias("held_out"), "lang_pred", "score", "ambiguous")
+
+
+def op9_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.link_similar(table(spark, sf_dir, "documents"))
+
+
+def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return line_dedup.dedup_lines(docs).select("doc_id", "n_lines", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
+
+
+QUERIES = {
+    "op1_curve_ann": op1_curve_ann,
+    "op3_url_filter": op3_url_filter,
+    "op4_toxicity": op4_toxicity,
+    "op5_language_id": op5_language_id,
+    "op6_pivot_topk": op6_pivot_topk,
+    "op8_mixing": op8_mixing,
+    "op9_ngram_join": op9_ngram_join,
+    "op10_line_dedup": op10_line_dedup,
+}
+ORACLES = {"op3_url_filter": OP3_SQL, "op6_pivot_topk": OP6_SQL}

@@ -33,13 +33,17 @@ def mix(x: np.ndarray) -> np.ndarray:
         return x ^ (x >> np.uint64(32))
 
 
-def words(raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Start, end, row and hash of each word of the rows that lie end to end in ``raw``."""
+def words(raw: np.ndarray, off: np.ndarray, solid: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Start, end, row and hash of each word of the rows that lie end to end in ``raw``.
+
+    ``solid`` marks the bytes of words where another rule than the module's holds.
+    """
     n = len(raw)
     if not n:
         none = np.zeros(0, np.int64)
         return none, none, none, np.zeros(0, np.uint64)
-    solid = ~((raw == 32) | ((raw >= 9) & (raw <= 13)))
+    if solid is None:
+        solid = ~((raw == 32) | ((raw >= 9) & (raw <= 13)))
     edge = np.zeros(n + 1, bool)
     edge[off] = True
     begins, ends = solid.copy(), solid.copy()
