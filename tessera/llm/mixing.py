@@ -18,32 +18,47 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import functions as F
 from pyspark.sql import Window as W
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import settle
+from .common import settle, utf8_slices
 
-#: Topics by the first pattern found anywhere in a text, else prose.
-TOPIC_PATTERNS = (
-    ("legal", r"(?i)licen[sc]ed? |copyright"),
-    ("table", r"\S \| \S"),
-    ("symbols", r"\*\*\*|###|&&&|%%%|\$\$\$"),
-    ("contact", r"[A-Za-z0-9._]+@[A-Za-z0-9]+\.|https?://"),
+#: Topics by the first of their phrases found anywhere in a text, else prose.
+TOPIC_PHRASES = (
+    ("legal", ("Licensed under", "All rights reserved", "Copyright")),
+    ("table", (" | ",)),
+    ("symbols", ("***", "###", "&&&", "%%%", "$$$")),
+    ("contact", ("@", "http://", "https://")),
 )
 DIMENSIONS = ("source", "lang", "topic")
-WORD = r"[^\x20\x09-\x0D]+"
 
 
 def topic_of(text: Column) -> Column:
-    out = F.lit(None).cast("string")
-    for name, pattern in reversed(TOPIC_PATTERNS):
-        out = F.when(text.rlike(pattern), name).otherwise(F.coalesce(out, F.lit("prose")))
-    return F.coalesce(out, F.lit("prose"))
-
-
-def token_count(text: Column) -> Column:
-    return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
+    out = F.lit("prose")
+    for name, phrases in reversed(TOPIC_PHRASES):
+        has = F.lit(False)
+        for phrase in phrases:
+            has = has | text.contains(phrase)
+        out = F.when(has, name).otherwise(out)
+    return out
+
+
+@F.arrow_udf(T.LongType())
+def token_count(text: pa.Array) -> pa.Array:
+    """Words of each text, 0 for null."""
+    out = np.zeros(len(text), np.int64)
+    for first, last, raw, off in utf8_slices(text):
+        solid = ~((raw == 32) | ((raw >= 9) & (raw <= 13)))
+        begins = solid.copy()
+        inner = np.ones(len(raw) + 1, bool)
+        inner[off] = False
+        begins[1:] &= ~(solid[:-1] & inner[1 : len(raw)])
+        out[first:last] = np.diff(np.r_[0, np.cumsum(begins)][off])
+    return pa.array(out)
 
 
 def with_cells(docs: DataFrame) -> DataFrame:

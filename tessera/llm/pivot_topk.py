@@ -121,7 +121,7 @@ def top_products(embeddings: DataFrame, k: int = 5, every: int = 50, scale: int
                 out.append(pd.DataFrame({"rep": rep, "cand": got, "score": score}))
         return pd.concat(out)
 
-    asks = placed.where("asks")
+    asks = placed.where("asks").toDF(*placed.columns)
     own = placed.join(asks.select("block").distinct(), "block", "left_semi").groupBy("block")
     first = settle(best_of(own.cogroup(asks.withColumn("beat", F.lit(None).cast("double")).groupBy("block")).applyInPandas(meet, _FOUND), k))
     beat = first.groupBy("rep").agg(F.when(F.count("*") > k, F.min("score")).cast("double").alias("beat"))
