@@ -111,7 +111,7 @@ def removed_lines(docs: DataFrame, min_line_chars: int = MIN_LINE_CHARS, min_blo
                 blocks(patience(list(a), list(b)), list(chars), min_block_chars)
                 for a, b, chars in zip(pdf["first_sig"], pdf["sig"], pdf["chars"])
             ]
-            yield pd.DataFrame({"doc_id": pdf["doc_id"], "removed": gone})
+            yield pd.DataFrame({"doc_id": pdf["doc_id"], "removed": pd.Series(gone, index=pdf.index, dtype=object)})
 
     gone = both.mapInPandas(align, "doc_id long, removed array<int>").where(F.size("removed") > 0)
     return gone.groupBy("doc_id").agg(F.array_distinct(F.flatten(F.collect_set("removed"))).alias("removed"))

@@ -5,13 +5,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import curve_ann, langid, line_dedup, mixing, ngram_join, pivot_topk, toxicity, url_filter
+from . import curve_ann, langid, line_dedup, mixing, ngram_join, pivot_topk, repeats, toxicity, url_filter
 from .common import held_out, table
 
 def op1_curve_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
     return curve_ann.nearest(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
 
 
+def op2_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = repeats.remove_repeats(table(spark, sf_dir, "documents"))
+    return cut.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 URL_RULES = (
     ("org", "/", "allow"),
     ("example.org", "/es/", "block"),
@@ -112,6 +117,7 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_curve_ann": op1_curve_ann,
+    "op2_repeats": op2_repeats,
     "op3_url_filter": op3_url_filter,
     "op4_toxicity": op4_toxicity,
     "op5_language_id": op5_language_id,
