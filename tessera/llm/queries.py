@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import curve_ann, langid, line_dedup, mixing, ngram_join, pivot_topk, repeats, toxicity, url_filter
+from . import curve_ann, langid, line_dedup, mixing, ngram_join, pieces, pivot_topk, repeats, toxicity, url_filter
 from .common import held_out, table
 
 def op1_curve_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -75,6 +77,22 @@ WINDOW w AS (PARTITION BY query_id ORDER BY score DESC, vec_id)
 """
 
 
+def piece_model() -> str:
+    """The model file: TESSERA_PIECE_MODEL, else that of the installed public tokenizers."""
+    import public_tokenizers
+
+    return os.environ.get("TESSERA_PIECE_MODEL") or public_tokenizers.path("piece_bpe_32k.model")
+
+
+def op7_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    encoded = pieces.encode(docs, piece_model())
+    back = pieces.decoder(docs, piece_model())
+    return encoded.select(
+        "doc_id", pieces.count_ids(F.col("ids")).alias("n_ids"), F.sha2("ids", 256).alias("ids_sha256"), (back("ids") == F.col("text")).alias("round_trip")
+    )
+
+
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
     return mixing.mix_sources(docs).select(
@@ -122,6 +140,7 @@ QUERIES = {
     "op4_toxicity": op4_toxicity,
     "op5_language_id": op5_language_id,
     "op6_pivot_topk": op6_pivot_topk,
+    "op7_pieces": op7_pieces,
     "op8_mixing": op8_mixing,
     "op9_ngram_join": op9_ngram_join,
     "op10_line_dedup": op10_line_dedup,
