@@ -42,6 +42,7 @@ FEW, MANY, LONG = 64, 512, 2000  # groups of short and of long sets, and the siz
 HEAVY_KEYS, HEAVY_LOCAL = 1 << 18, 12
 BLOCK, SALT = 2048, 256
 LEAF = 16
+HUGE = 65535  # the largest count that a point holds
 
 
 def _sets(column: pa.Array, k: int) -> Iterator[tuple[int, list[np.ndarray]]]:
@@ -90,7 +91,7 @@ def _points(docs: DataFrame, k: int, percent: int) -> DataFrame:
             ids, at = batch["doc_id"], 0
             for first, sets in _sets(batch["text"], k):
                 n = np.array([len(s) for s in sets])
-                sums, prefixes, counts = [], [], []
+                sums, prefixes, counts, few = [], [], [], []
                 for s in sets:
                     x = mix(s ^ np.uint64(0x5851F42D4C957F2D))
                     sums.append((int(s.sum(dtype=np.uint64)), int(x.sum(dtype=np.uint64))))
@@ -102,20 +103,22 @@ def _points(docs: DataFrame, k: int, percent: int) -> DataFrame:
                         s_by = s
                     prefixes.append(s_by[:p].view(np.int64))
                     groups = MANY if len(s) >= LONG else FEW
-                    counts.append(np.bincount((x >> np.uint64(64 - groups.bit_length() + 1)).astype(np.int64), minlength=groups).astype(np.uint16).tobytes())
+                    count = np.bincount((x >> np.uint64(64 - groups.bit_length() + 1)).astype(np.int64), minlength=groups)
+                    counts.append(np.minimum(count, HUGE).astype(np.uint16).tobytes())
+                    few.append(np.minimum(count.reshape(FEW, -1).sum(axis=1), HUGE).astype(np.uint16).tobytes())
                 sums = np.array(sums, np.uint64).reshape(-1, 2).view(np.int64)
                 cuts = np.r_[0, np.cumsum([len(p) for p in prefixes])].astype(np.int32)
                 prefix = pa.ListArray.from_arrays(pa.array(cuts), pa.array(np.concatenate(prefixes) if prefixes else np.zeros(0, np.int64)))
-                cols = [ids.slice(at, len(n)), pa.array(n, pa.int32()), pa.array(sums[:, 0]), pa.array(sums[:, 1]), prefix, pa.array(counts, pa.binary())]
+                cols = [ids.slice(at, len(n)), pa.array(n, pa.int32()), pa.array(sums[:, 0]), pa.array(sums[:, 1]), prefix, pa.array(counts, pa.binary()), pa.array(few, pa.binary())]
                 at += len(n)
-                yield pa.RecordBatch.from_arrays(cols, ["doc_id", "n", "s1", "s2", "prefix", "counts"])
+                yield pa.RecordBatch.from_arrays(cols, ["doc_id", "n", "s1", "s2", "prefix", "counts", "few"])
 
-    return docs.where("doc_id is not null").select("doc_id", "text").mapInArrow(run, "doc_id long, n int, s1 long, s2 long, prefix array<long>, counts binary")
+    return docs.where("doc_id is not null").select("doc_id", "text").mapInArrow(run, "doc_id long, n int, s1 long, s2 long, prefix array<long>, counts binary, few binary")
 
 
 def _fold(counts: list[bytes], groups: int) -> np.ndarray:
     """Points as rows with ``groups`` coordinates; finer groups are summed."""
-    out = np.zeros((len(counts), groups), np.uint16)
+    out = np.zeros((len(counts), groups), np.int32)
     for i, c in enumerate(counts):
         v = np.frombuffer(c, np.uint16)
         out[i] = v if len(v) == groups else v.reshape(groups, -1).sum(axis=1)
@@ -127,6 +130,11 @@ def _enough(overlap: np.ndarray, n: np.ndarray, m: np.ndarray, percent: int) ->
     return (100 + percent) * overlap.astype(np.int64) >= percent * (n.astype(np.int64) + m)
 
 
+def _may(overlap: np.ndarray, n: np.ndarray, m: np.ndarray, percent: int) -> np.ndarray:
+    """The same for bounds from points, whose coordinates stop at HUGE: sets larger than that always may."""
+    return _enough(overlap, n, m, percent) | ((n > HUGE) & (m > HUGE))
+
+
 def tree_join(points: np.ndarray, n: np.ndarray, part: np.ndarray, percent: int) -> np.ndarray:
     """Pairs of rows of different parts whose bound allows the similarity, by an R-tree joined with itself."""
     order = np.lexsort((n, part))
@@ -138,30 +146,46 @@ def tree_join(points: np.ndarray, n: np.ndarray, part: np.ndarray, percent: int)
     found = []
     for i, a in enumerate(starts):
         bound = np.minimum(top[i], top[i:]).sum(axis=1)
-        fits = _enough(bound, low[i], low[i:], percent) & (100 * high[i:] >= percent * low[i]) & (100 * high[i] >= percent * low[i:])
+        fits = (_enough(bound, low[i], low[i:], percent) | ((high[i] > HUGE) & (high[i:] > HUGE))) & (100 * high[i:] >= percent * low[i]) & (100 * high[i] >= percent * low[i:])
         fits &= ~(one[i] & one[i:] & (part[a] == part[starts[i:]]))
         for j in np.flatnonzero(fits) + i:
             b = starts[j]
             x, y = slice(a, a + LEAF), slice(b, b + LEAF)
             overlap = np.minimum(points[x, None], points[None, y]).sum(axis=2)
-            good = _enough(overlap, n[x, None], n[None, y], percent) & (part[x, None] != part[None, y])
+            good = _may(overlap, n[x, None], n[None, y], percent) & (part[x, None] != part[None, y])
             p, q = np.nonzero(np.triu(good, 1) if i == j else good)
             found.append(np.stack([p + a, q + b], axis=1))
     return order[np.concatenate(found)] if found else np.zeros((0, 2), np.int64)
 
 
+def _leaf_pairs(points: np.ndarray, n: np.ndarray, part: np.ndarray, cell: np.ndarray, percent: int) -> np.ndarray:
+    """The same for many cells of one leaf each, at once: rows of a cell lie together and are at most LEAF."""
+    found = []
+    for apart in range(1, min(LEAF, len(n))):
+        i = np.flatnonzero((cell[apart:] == cell[:-apart]) & (part[apart:] != part[:-apart]))
+        j = i + apart
+        low, high = np.minimum(n[i], n[j]), np.maximum(n[i], n[j])
+        near = 100 * low >= percent * high
+        i, j = i[near], j[near]
+        for at in range(0, len(i), 1 << 16):
+            x, y = i[at : at + (1 << 16)], j[at : at + (1 << 16)]
+            good = _may(np.minimum(points[x], points[y]).sum(axis=1, dtype=np.int64), n[x], n[y], percent)
+            found.append(np.stack([x[good], y[good]], axis=1))
+    return np.concatenate(found) if found else np.zeros((0, 2), np.int64)
+
+
 def _bounded(pairs: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) whose points allow the similarity."""
     point = lambda x: reps.select(F.col("doc_id").alias(x), F.col("n").alias(f"n_{x}"), F.col("counts").alias(f"c_{x}"))
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
-            fine = ((f["c_a"].str.len() > 2 * FEW) & (f["c_b"].str.len() > 2 * FEW)).to_numpy()
+            fine = ((f["c_a"].str.len() > 2 * FEW) & (f["c_b"].str.len() > 2 * FEW)).to_numpy(bool)
             good = np.zeros(len(f), bool)
             for which, groups in ((fine, MANY), (~fine, FEW)):
                 g = f[which]
                 overlap = np.minimum(_fold(g["c_a"].tolist(), groups), _fold(g["c_b"].tolist(), groups)).sum(axis=1, dtype=np.int64)
-                good[which] = _enough(overlap, g["n_a"].to_numpy(), g["n_b"].to_numpy(), percent)
+                good[which] = _may(overlap, g["n_a"].to_numpy(), g["n_b"].to_numpy(), percent)
             yield f.loc[good, ["a", "b"]]
 
     return pairs.join(point("b"), "b").join(point("a"), "a").mapInPandas(run, "a long, b long")
@@ -204,33 +228,39 @@ def _verified(docs: DataFrame, pairs: DataFrame, k: int, percent: int) -> DataFr
 
 
 def _rest_pairs(cells: DataFrame, percent: int) -> DataFrame:
-    """Pairs of different components that share a cell and pass the tree. Cells: key, doc_id, n, part, counts, size."""
+    """Pairs of different components that share a cell and pass the tree. Cells: key, doc_id, n, part, few, size."""
     blocks = F.ceil(F.col("size") / F.lit(BLOCK)).cast("int")
     dealt = cells.withColumns({"blocks": blocks, "mine": F.pmod(F.xxhash64("doc_id"), blocks).cast("int")})
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = dealt.select("key", F.least("mine", "other").alias("x"), F.greatest("mine", "other").alias("y"), "doc_id", "n", "part", "counts")
-
-    def search(rows: list[pd.DataFrame]) -> pd.DataFrame:
-        f = pd.concat(rows) if len(rows) > 1 else rows[0]
-        groups = MANY if (f["counts"].str.len() > 2 * FEW).all() else FEW
-        ids = f["doc_id"].to_numpy()
-        pairs = ids[tree_join(_fold(f["counts"].tolist(), groups), f["n"].to_numpy(), f["part"].to_numpy(), percent)]
-        return pd.DataFrame({"a": pairs.min(axis=1, initial=2**62), "b": pairs.max(axis=1, initial=-1)})
+    dealt = dealt.select("key", F.least("mine", "other").alias("x"), F.greatest("mine", "other").alias("y"), "doc_id", "n", "part", "few")
+
+    def search(f: pd.DataFrame) -> pd.DataFrame:
+        f = f.sort_values(["key", "x", "y", "part", "n"], kind="stable")
+        points = np.frombuffer(b"".join(f["few"].tolist()), np.uint16).reshape(-1, FEW)
+        ids, n, part = f["doc_id"].to_numpy(), f["n"].to_numpy(np.int64), f["part"].to_numpy()
+        k = f[["key", "x", "y"]].to_numpy()
+        cuts = np.r_[0, np.flatnonzero((k[1:] != k[:-1]).any(axis=1)) + 1, len(f)]
+        size = np.diff(cuts)
+        cell = np.repeat(np.arange(len(size)), size)
+        small = np.flatnonzero(np.repeat(size <= LEAF, size))
+        found = [small[_leaf_pairs(points[small], n[small], part[small], cell[small], percent)]]
+        for i in np.flatnonzero(size > LEAF):
+            at = slice(cuts[i], cuts[i + 1])
+            found.append(cuts[i] + tree_join(points[at], n[at], part[at], percent))
+        pairs = ids[np.concatenate(found)]
+        return pd.DataFrame({"a": pairs.min(axis=1, initial=2**62), "b": pairs.max(axis=1, initial=-1)}).drop_duplicates()
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held, key = [], None
+        held = None  # rows of the last cell, which may go on
         for f in frames:
-            if not len(f):
-                continue
-            k = f[["key", "x", "y"]].to_numpy()
-            cuts = np.r_[0, np.flatnonzero((k[1:] != k[:-1]).any(axis=1)) + 1, len(f)]
-            for a, b in zip(cuts, cuts[1:]):
-                if held and tuple(k[a]) != key:
-                    yield search(held)
-                    held = []
-                held.append(f.iloc[a:b])
-                key = tuple(k[a])
-        if held:
+            f = f if held is None else pd.concat([held, f], ignore_index=True)
+            if len(f):
+                end = f.iloc[-1]
+                rest = ((f["key"] == end["key"]) & (f["x"] == end["x"]) & (f["y"] == end["y"])).to_numpy()
+                held = f[rest]
+                if not rest.all():
+                    yield search(f[~rest])
+        if held is not None and len(held):
             yield search(held)
 
     return dealt.repartition("key", "x", "y").sortWithinPartitions("key", "x", "y").mapInPandas(run, "a long, b long").distinct()
@@ -243,7 +273,7 @@ def link_similar(docs: DataFrame, k: int = 4, percent: int = 85) -> DataFrame:
     same = ["n", "s1", "s2"]
     heads = settle(base.where("n > 0").groupBy(same).agg(F.min("doc_id").alias("rep")))
     reps = base.join(heads.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    reps = settle(reps.select("doc_id", "n", "prefix", "counts"))
+    reps = settle(reps.select("doc_id", "n", "prefix", "counts", "few"))
     rows = reps.select("doc_id", "n", F.explode("prefix").alias("key"))
     shared = rows.groupBy("key").agg(F.count("*").alias("size"), F.min(F.struct("doc_id", "n")).alias("hub")).where("size > 1")
     cells = settle(rows.join(shared, "key").select("key", "doc_id", "n", "size", F.col("hub.doc_id").alias("a"), F.col("hub.n").alias("m")))
@@ -254,9 +284,9 @@ def link_similar(docs: DataFrame, k: int = 4, percent: int = 85) -> DataFrame:
     labelled = cells.select("key", "doc_id", "n", "size").join(parts.withColumnRenamed("id", "doc_id"), "doc_id", "left")
     labelled = settle(labelled.withColumn("part", F.coalesce("component", "doc_id")).drop("component"))
     open_keys = labelled.groupBy("key").agg(F.min("part").alias("p"), F.max("part").alias("q")).where("p < q").select("key")
-    left = labelled.join(open_keys, "key").join(reps.select("doc_id", "counts"), "doc_id")
-    more = _rest_pairs(left, percent).join(stars, ["a", "b"], "left_anti")
-    links = links.unionByName(settle(_verified(docs, settle(more), k, percent)))
+    left = labelled.join(open_keys, "key").join(reps.select("doc_id", "few"), "doc_id")
+    more = settle(_rest_pairs(left, percent).join(stars, ["a", "b"], "left_anti"))
+    links = links.unionByName(settle(_verified(docs, settle(_bounded(more, reps, percent)), k, percent)))
     parts = components(links)
     whole = heads.join(parts, heads["rep"] == parts["id"], "left").select(*same, F.coalesce("component", "rep").alias("whole"))
     out = base.select("doc_id", *same).join(whole, same, "left")
