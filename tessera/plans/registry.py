@@ -1,4 +1,330 @@
 """Registered queries over the driver tables and their SQL oracles."""
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from ..config import CONVERSATION, DEFAULTS
+from ..functions import text as tx
+from ..operators import compact, graph, host_window, index, judging, messages, recall, store
+from . import views
+from .oracles import ORACLES  # noqa: F401
+from .views import TIGHT, table
+
+
+
+def _ids(rows: DataFrame) -> DataFrame:
+    return store.assign_ids(rows).select("id", "arrival", "source_id", "sha256", "session_id", "role")
+
+
+def token_estimates(spark, d):
+    rows = table(spark, d, "documents")
+    return rows.select("doc_id", tx.estimate_tokens(F.col("text")).alias("tokens"), tx.estimate_tokens_utf16(F.col("text")).alias("tokens_utf16"))
+
+
+def content_pointers(spark, d):
+    rows = table(spark, d, "pages")
+    pointer = tx.pointer_for(F.col("html"))
+    return rows.select("page_id", tx.content_hash(F.col("html")).alias("sha256"), pointer.alias("pointer"), tx.pointer_line(pointer).alias("line"))
+
+
+def label_passages(spark, d):
+    rows = views.memory(spark, d)
+    return rows.select("id", F.sha2(tx.label_passage(F.col("collection"), F.col("text"), F.col("session_id"), F.col("cwd")), 256).alias("label_sha256"))
+
+
+def session_tokens(spark, d):
+    return compact.session_tokens(views.session_messages(spark, d))
+
+
+def classify_turns(spark, d):
+    return messages.classify_turns(views.turns(spark, d)).select("arrival", "role", "source_id", "status", "reason")
+
+
+def ingest_new(spark, d):
+    known = views.memory(spark, d).where(F.col("collection") == "default")
+    return _ids(store.ingest_new(views.repeated_turns(spark, d), known))
+
+
+def capture_summary(spark, d):
+    known = views.memory(spark, d).where(F.col("collection") == "default")
+    return store.capture_summary(store.ingest_status(views.repeated_turns(spark, d), known))
+
+
+def replace_source(spark, d):
+    rows = views.memory(spark, d)
+    new = rows.where("source_id in ('src1', 'src2') and id % 2 = 0").withColumn("id", F.col("id") + 10**10)
+    gone = spark.range(1).select(F.lit("default").alias("collection"), F.lit("src3").alias("source_id"))
+    return store.replace_source(rows, new, gone).select("id", "collection", "source_id", "sha256")
+
+
+def gated_remember(spark, d):
+    docs = table(spark, d, "documents")
+    rows = docs.select(F.col("doc_id").alias("subject_id"), F.lit("default").alias("collection"), "text", (F.col("doc_id") % 17 == 0).alias("is_summary"))
+    marks = table(spark, d, "labels").select(F.col("doc_id").alias("subject_id"), F.when(F.col("quality") == 1, 0.9).otherwise(0.2).alias("probability"), F.lit("v1").alias("model_version"))
+    return store.gated_remember(rows, marks).select("subject_id", "status", "reason", "probability", "model_version")
+
+
+def count_memory(spark, d):
+    return store.count_memory(views.memory(spark, d))
+
+
+def memory_rows(spark, d):
+    return store.memory_rows(views.memory(spark, d), CONVERSATION).select("id", "source_id", "sha256", "cwd", "session_id", "role")
+
+
+def upsert_edges(spark, d):
+    old = views.chain_edges(spark, d)
+    new = old.where("src % 3 = 0").withColumn("probability", 1 - F.col("probability"))
+    return store.upsert_edges(old, new).select("src", "dst", "kind", F.round("probability", 6).alias("probability"))
+
+
+def upsert_elisions(spark, d):
+    rows = table(spark, d, "pages").select(tx.pointer_for(F.col("html")).alias("pointer"), F.col("html").cast("binary").alias("original"), F.sha2("html", 256).alias("sha256"))
+    return store.upsert_elisions(rows, rows).select("pointer", F.octet_length("original").alias("n_bytes"), "sha256")
+
+
+def cascade_delete(spark, d):
+    rows, edges = views.memory(spark, d).where(F.col("collection") == CONVERSATION), views.chain_edges(spark, d)
+    postings, _, _ = index.build_index(rows)
+    kept = store.cascade_delete(rows, edges, postings, rows.where("id % 5 = 0").select("id"))
+    parts = [df.select(F.lit(name).alias("part"), F.col(col).alias("id")) for name, col, df in zip(("memory", "edges", "postings"), ("id", "src", "id"), kept)]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2]).groupBy("part", "id").agg(F.count("*").alias("n"))
+
+
+def index_tokens(spark, d):
+    tokens = tx.index_tokens(F.col("text"))
+    return table(spark, d, "documents").select("doc_id", F.size(tokens).alias("n_tokens"), F.sha2(F.array_join(tokens, " "), 256).alias("tokens_sha256"))
+
+
+def build_index(spark, d):
+    _, token_df, stats = index.build_index(views.memory(spark, d))
+    return token_df.withColumns({"n_docs": stats.select("n_docs").scalar(), "avg_len": F.round(stats.select("avg_len").scalar(), 6)})
+
+
+def shortlist_bm25(spark, d):
+    found = index.shortlist(views.requests(spark, d), views.memory(spark, d), collection="default")
+    return found.select("request_id", "id", F.round("score", 6).alias("score"), "rank")
+
+
+def _links(spark, d):
+    rows = views.memory(spark, d)
+    said = rows.where((F.col("collection") == CONVERSATION) & (F.col("id") % 4 == 0))
+    pairs = graph.link_candidates(said, rows)
+    texts = lambda name, as_: rows.select(F.col("id").alias(name), F.col("text").alias(as_))
+    return pairs, judging.lexical_judge(pairs.join(texts("src", "request"), "src").join(texts("dst", "text"), "dst"))
+
+
+def link_candidates(spark, d):
+    return _links(spark, d)[0].select("src", "dst", F.round("score", 6).alias("score"), "rank")
+
+
+def link_edges(spark, d):
+    return graph.link_edges(*_links(spark, d)).select("src", "dst", "kind", F.round("probability", 6).alias("probability"))
+
+
+def neighborhood(spark, d):
+    rows = views.memory(spark, d)
+    seeds = index.shortlist(views.requests(spark, d), rows, 5, CONVERSATION)
+    found = graph.neighborhood(seeds, views.chain_edges(spark, d), rows, CONVERSATION)
+    return found.select("request_id", "id", "depth", F.round("score", 6).alias("score"), "pos")
+
+
+def _judged(spark, d, requests, candidates):
+    texts = views.memory(spark, d).select("id", "text")
+    return judging.lexical_judge(candidates.join(requests, "request_id").join(texts, "id")).select("request_id", "id", "probability")
+
+
+def lexical_judge(spark, d):
+    asked = views.requests(spark, d)
+    return _judged(spark, d, asked, index.shortlist(asked, views.memory(spark, d), 5, "default"))
+
+
+def _recalled(spark, d, keep="true", settings=DEFAULTS, budget=2000):
+    asked, rows = views.requests(spark, d), views.memory(spark, d)
+    judged = _judged(spark, d, asked, recall.recall_candidates(asked, rows, None, "default")).where(keep)
+    return recall.ranked_passages(asked, rows, None, judged, "default", budget, settings=settings)
+
+
+def recall_ranked(spark, d):
+    ranked, _ = _recalled(spark, d)
+    return ranked.select("request_id", "id", "source_id", "probability", "rank", "cost", "used", "fits")
+
+
+def recall_unranked(spark, d):
+    _, unranked = _recalled(spark, d, "request_id % 3 <> 0 or id % 2 = 0")
+    return unranked.select("request_id", "id", "source_id", "pos", "probability", "unranked")
+
+
+def recall_section(spark, d):
+    ranked, _ = _recalled(spark, d)
+    return recall.section(ranked).select("request_id", F.sha2("section", 256).alias("section_sha256"))
+
+
+def recall_rows(spark, d):
+    asked, rows = views.requests(spark, d), views.memory(spark, d)
+    judged = _judged(spark, d, asked, recall.recall_candidates(asked, rows, None, "default"))
+    out = recall.recall(asked, rows, None, judged, "default", 2000)
+    return out.select("request_id", "status", F.coalesce(F.size("passages"), F.lit(0)).alias("n_passages"), F.array_join("over_budget", ",").alias("over"), "used_tokens", "budget", "estimator")
+
+
+def recall_request(spark, d):
+    said = views.turns(spark, d).select(F.col("conv_id").alias("session_id"), "seq", F.col("text").alias("content"))
+    return recall.recall_request(said, 250).select("session_id", F.sha2("request", 256).alias("request_sha256"))
+
+
+def last_user_text(spark, d):
+    return messages.last_user_text(views.session_messages(spark, d)).select("session_id", F.sha2("request", 256).alias("request_sha256"))
+
+
+def pressure(spark, d):
+    sessions = compact.session_tokens(views.session_messages(spark, d))
+    return compact.pressure(sessions.withColumn("host_budget", (F.col("session_id") % 3 * 900).cast("int")), TIGHT).select("session_id", "used_tokens", "budget", "under_pressure")
+
+
+def protected_tail(spark, d):
+    return compact.protected_tail(views.session_messages(spark, d), settings=TIGHT)
+
+
+def _elided(spark, d):
+    said = views.session_messages(spark, d)
+    return compact.elide(said, views.tool_judgments(said), settings=TIGHT)
+
+
+def elide(spark, d):
+    return _elided(spark, d)[0].select("session_id", "seq", "kind", "status", "elided", F.sha2("content", 256).alias("content_sha256"))
+
+
+def expand_pages(spark, d):
+    return compact.pages(_elided(spark, d)[1], 1000).select("pointer", "page", F.hex("data").alias("data"))
+
+
+def expand(spark, d):
+    payloads = table(spark, d, "pages").select(tx.pointer_for(F.col("html")).alias("pointer"), F.col("html").cast("binary").alias("original"), F.sha2("html", 256).alias("sha256"))
+    asked = table(spark, d, "pages").select(F.when(F.col("page_id") % 10 == 0, "e:missing").otherwise(tx.pointer_for(F.col("html"))).alias("pointer"), (F.col("page_id") % 4 - 1).alias("page"), "page_id")
+    return compact.expand(asked, payloads.dropDuplicates(["pointer"]), 1000).select("page_id", "found", F.sha2("data", 256).alias("data_sha256"))
+
+
+def frozen_prefix(spark, d):
+    return compact.frozen_prefix(views.session_messages(spark, d)).select("session_id", "seq", "id")
+
+
+def fresh_window(spark, d):
+    said, elided = views.session_messages(spark, d), _elided(spark, d)[0]
+    pointers = elided.where("elided").select("session_id", "seq", "pointer")
+    notes = said.where("kind = 'prose'").select("session_id", F.concat(F.lit("s"), F.col("seq") % 3).alias("source_id"), F.col("content").alias("text"), (F.col("seq") % 4 / 4.0).alias("probability"), F.col("seq").cast("long").alias("nth"))
+    pinned = said.where("kind = 'prose' and seq = 1").select("session_id", "seq", "content")
+    out = compact.fresh_window(said, pointers, notes, pinned, settings=TIGHT)
+    return out.select("session_id", F.sha2(F.array_join("injection", "\n"), 256).alias("injection_sha256"), F.array_join(F.transform("window", lambda x: x["id"]), ",").alias("ids"), "used_tokens", "budget", F.array_join("over_budget", ",").alias("over"))
+
+
+def prepare_plan(spark, d):
+    said, rows, edges = views.session_messages(spark, d), views.memory(spark, d), views.chain_edges(spark, d)
+    asked = messages.last_user_text(said).select(F.col("session_id").alias("request_id"), "request")
+    built = index.build_index(rows)
+    found = recall.recall_candidates(asked, rows, edges, "default", built).unionByName(recall.recall_candidates(asked, rows, edges, CONVERSATION, built))
+    out = compact.prepare(said, rows, edges, views.tool_judgments(said), _judged(spark, d, asked, found), index=built, settings=TIGHT)
+    return out.select("session_id", "status", F.size("context").alias("n_context"), "used_tokens", "budget", F.array_join("over_budget", ",").alias("over"), "under_pressure")
+
+
+def _log(spark, d):
+    said = views.session_messages(spark, d)
+    return views.entries(said), views.preparation(said), views.plans(said)
+
+
+def host_budget(spark, d):
+    return host_window.host_budget(_log(spark, d)[1])
+
+
+def select_fresh_cut(spark, d):
+    entries, prepared, _ = _log(spark, d)
+    return host_window.select_fresh_cut(entries, host_window.host_budget(prepared).withColumn("summary_tokens", F.lit(50)))
+
+
+def deepened_cut(spark, d):
+    entries, prepared, _ = _log(spark, d)
+    return host_window.deepened_cut(prepared, entries, 200)
+
+
+def plan_compaction(spark, d):
+    entries, prepared, plans = _log(spark, d)
+    out = host_window.plan_compaction(prepared, entries, plans)
+    return out.select("session_id", F.sha2("summary", 256).alias("summary_sha256"), "first_kept_entry_id", "tokens_before", "fresh_cut")
+
+
+def fit_summary(spark, d):
+    plans = _log(spark, d)[2]
+    whole = F.array_join("context", "\n\n")
+    return plans.select("session_id", F.sha2(host_window.fit_summary(whole, F.lit(120)), 256).alias("summary_sha256"))
+
+
+def compaction_from_plan(spark, d):
+    _, prepared, plans = _log(spark, d)
+    plans = plans.withColumns({"estimator": F.lit(DEFAULTS.estimator), "over_budget": F.array().cast("array<string>")})
+    return host_window.compaction_from_plan(plans, prepared).select("session_id", F.sha2("summary", 256).alias("summary_sha256"), "first_kept_entry_id", "tokens_before")
+
+
+def pack_tool_batches(spark, d):
+    tools = views.session_messages(spark, d).where("kind = 'tool'")
+    return judging.pack_tool_batches(tools, TIGHT)
+
+
+def pack_questions(spark, d):
+    docs = table(spark, d, "documents")
+    key = F.concat(F.lit("q"), F.lpad(F.col("doc_id").cast("string"), 9, "0"))
+    size = judging.question_bytes(key, F.lit("noul").alias("type"), F.col("text").alias("instructions"))
+    return judging.pack_questions(docs.select(F.col("source").alias("request_id"), key.alias("key"), size.alias("entry_bytes"), F.lit(2000).alias("state_bytes")), TIGHT)
+
+
+def _responses(spark, d):
+    p = F.col("doc_id") % 10 / 10.0
+    kinds = [F.concat(F.lit('{"answers":{"k":{"noul":'), p, F.lit('}},"model":"v1"}')), F.concat(F.lit('{"questions":{"k":{"probability":'), p, F.lit('}},"version":" ","model":"v2"}')), F.lit('{"answers":{"k":{}}}'), F.lit("not json")]
+    body = F.when(F.col("doc_id") % 4 == 0, kinds[0]).when(F.col("doc_id") % 4 == 1, kinds[1]).when(F.col("doc_id") % 4 == 2, kinds[2]).otherwise(kinds[3])
+    rows = table(spark, d, "documents").select(F.col("doc_id").alias("request_id"), F.lit(0).alias("batch"), body.alias("body"))
+    return rows, rows.select("request_id", "batch", F.lit("k").alias("key"), F.lit("noul").alias("type"))
+
+
+def parse_answers(spark, d):
+    return judging.parse_answers(*_responses(spark, d)).select("request_id", "key", "probability", "model_version", "error")
+
+
+def merge_answers(spark, d):
+    rows, asked = _responses(spark, d)
+    answers = judging.parse_answers(rows, asked)
+    again = answers.where("request_id % 8 = 0").withColumn("batch", F.lit(1))
+    more = asked.select("request_id", "batch", F.explode(F.when(F.col("request_id") % 12 == 1, F.array(F.lit("k"), F.lit("z"))).otherwise(F.array(F.lit("k")))).alias("key"))
+    return judging.merge_answers(answers.unionByName(again), more)
+
+
+def validate_questions(spark, d):
+    docs = table(spark, d, "documents")
+    kind = F.when(F.col("doc_id") % 5 == 0, "guess").when(F.col("doc_id") % 5 == 1, "choice").otherwise("noul")
+    return judging.validate_questions(docs.select("doc_id", kind.alias("type"), F.when(F.col("doc_id") % 7 == 0, "  \t").otherwise(F.col("text")).alias("instructions"))).select("doc_id", "type", "error")
+
+
+def _payload(spark, d):
+    said = views.turns(spark, d).select(F.col("conv_id").alias("session_id"), "seq", "role", "text")
+    item = F.struct(F.col("role"), F.col("text").alias("content"), F.concat(F.lit("m"), "seq").alias("id"))
+    listed = F.array_sort(F.collect_list(F.struct("seq", item.alias("m"))))
+    return said.groupBy("session_id").agg(F.to_json(F.struct(F.transform(listed, lambda x: x["m"]).alias("messages"))).alias("payload"))
+
+
+def normalize_messages(spark, d):
+    return messages.normalize_messages(_payload(spark, d)).select("session_id", "seq", "part", "id", "role", "kind", F.sha2("content", 256).alias("content_sha256"))
+
+
+def candidate_turns(spark, d):
+    said = views.turns(spark, d)
+    block = F.to_json(F.array(F.struct(F.lit("text").alias("type"), F.concat(F.lit(" "), "text").alias("text"))))
+    return messages.candidate_turns(said.select("arrival", "role", block.alias("content_json"))).select("arrival", "role", F.sha2("content", 256).alias("content_sha256"))
+
+
+NAMES = [
+    token_estimates, content_pointers, label_passages, session_tokens, classify_turns, ingest_new, capture_summary, replace_source, gated_remember,
+    count_memory, memory_rows, upsert_edges, upsert_elisions, cascade_delete, index_tokens, build_index, shortlist_bm25, link_candidates, link_edges,
+    neighborhood, lexical_judge, recall_ranked, recall_unranked, recall_section, recall_rows, recall_request, last_user_text, pressure, protected_tail,
+    elide, expand_pages, expand, frozen_prefix, fresh_window, prepare_plan, host_budget, select_fresh_cut, deepened_cut, plan_compaction, fit_summary,
+    compaction_from_plan, pack_tool_batches, pack_questions, parse_answers, merge_answers, validate_questions, normalize_messages, candidate_turns,
+]
+QUERIES = {f.__name__: f for f in NAMES}
