@@ -16,18 +16,23 @@ from pyspark.sql import functions as F
 
 from ..config import DEFAULTS, Settings
 from ..functions.text import index_tokens, query_tokens
+from ..sources.shared import materialize
 
 SLICE_TOKENS = 200_000
 
 
 def build_index(memory: DataFrame, text: str = "text") -> tuple[DataFrame, DataFrame, DataFrame]:
-    """postings (id, token, tf, doc_len), token_df (token, df) and corpus_stats (n_docs, avg_len), over all collections."""
+    """postings (id, token, tf, doc_len), token_df (token, df) and corpus_stats (n_docs, avg_len), over all collections.
+
+    Texts are tokenised once; the postings are written to the shared folder.
+    """
     rows = memory.select("id", index_tokens(F.col(text)).alias("tokens")).repartition("id")
     each = rows.select("id", F.size("tokens").alias("doc_len"), F.explode("tokens").alias("token"))
-    postings = each.groupBy("id", "token").agg(F.count("*").cast("int").alias("tf"), F.first("doc_len").alias("doc_len"))
-    token_df = postings.groupBy("token").agg(F.count("*").alias("df"))
-    stats = rows.agg(F.count("*").alias("n_docs"), F.avg(F.size("tokens")).alias("avg_len"))
-    return postings, token_df, stats
+    postings = materialize(each.groupBy("id", "token").agg(F.count("*").cast("int").alias("tf"), F.first("doc_len").alias("doc_len")))
+    token_df = materialize(postings.groupBy("token").agg(F.count("*").alias("df")))
+    length = postings.agg(F.coalesce(F.sum("tf"), F.lit(0)).alias("n"))
+    stats = memory.agg(F.count("*").alias("n_docs")).withColumn("avg_len", length.scalar() / F.nullif(F.col("n_docs"), F.lit(0)))
+    return postings, token_df, materialize(stats)
 
 
 def bm25_idf(n_docs: Column, df: Column) -> Column:

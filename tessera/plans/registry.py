@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..config import CONVERSATION, DEFAULTS
 from ..functions import text as tx
 from ..operators import compact, graph, host_window, index, judging, messages, recall, store
+from ..sources.shared import materialize
 from . import views
 from .oracles import ORACLES  # noqa: F401
 from .views import TIGHT, table
@@ -224,7 +225,7 @@ def prepare_plan(spark, d):
     asked = messages.last_user_text(said).select(F.col("session_id").alias("request_id"), "request")
     built = index.build_index(rows)
     found = recall.recall_candidates(asked, rows, edges, "default", built).unionByName(recall.recall_candidates(asked, rows, edges, CONVERSATION, built))
-    out = compact.prepare(said, rows, edges, views.tool_judgments(said), _judged(spark, d, asked, found), index=built, settings=TIGHT)
+    out = compact.prepare(said, rows, edges, views.tool_judgments(said), materialize(_judged(spark, d, asked, found)), index=built, settings=TIGHT)
     return out.select("session_id", "status", F.size("context").alias("n_context"), "used_tokens", "budget", F.array_join("over_budget", ",").alias("over"), "under_pressure")
 
 
