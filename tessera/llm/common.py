@@ -47,7 +47,7 @@ def held_out(doc_id="doc_id"):
     return F.crc32(F.col(doc_id).cast("string").cast("binary")) % 5 == 0
 
 
-def utf8_slices(column: pa.Array, limit: int = 4 << 20):
+def utf8_slices(column: pa.Array, limit: int = 1 << 20):
     """Cut an Arrow string column into runs of rows of about ``limit`` bytes.
 
     Yields (first row, last row + 1, bytes as uint8, row offsets into them). A null counts as empty.

@@ -39,7 +39,7 @@ from .graph_parts import components
 from .words import LOWER, grams, mix, words
 
 FEW, MANY, LONG = 64, 512, 2000  # groups of short and of long sets, and the size from which a set is long
-HEAVY_KEYS, HEAVY_LOCAL = 1 << 18, 12
+HEAVY_KEYS, HEAVY_LOCAL, HEAVY_RUN = 1 << 18, 3, 1 << 22
 BLOCK, SALT = 2048, 256
 LEAF = 16
 HUGE = 65535  # the largest count that a point holds
@@ -63,18 +63,28 @@ def _sets(column: pa.Array, k: int) -> Iterator[tuple[int, list[np.ndarray]]]:
 
 
 def _heavy(docs: DataFrame, k: int) -> np.ndarray:
-    """Shingles that are frequent in some run of rows, at most HEAVY_KEYS, as a sorted array."""
+    """Shingles that some run of HEAVY_RUN shingles has HEAVY_LOCAL times, the most frequent HEAVY_KEYS, sorted."""
+
+    def often(held: list[np.ndarray]) -> pa.RecordBatch:
+        gram = np.sort(np.concatenate(held))
+        edge = np.flatnonzero(np.r_[True, gram[1:] != gram[:-1]]) if len(gram) else np.zeros(0, np.int64)
+        n = np.diff(np.r_[edge, len(gram)])
+        many = n >= HEAVY_LOCAL
+        return pa.RecordBatch.from_arrays([pa.array(gram[edge[many]].view(np.int64)), pa.array(n[many])], ["key", "n"])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
         for batch in batches:
             for _, _, raw, off in utf8_slices(batch["text"]):
                 _, _, row, code = words(LOWER[raw], off)
                 gram, whole = grams(code, row, k)
-                gram = np.sort(gram[whole])
-                edge = np.flatnonzero(np.r_[True, gram[1:] != gram[:-1]]) if len(gram) else np.zeros(0, np.int64)
-                n = np.diff(np.r_[edge, len(gram)])
-                often = n >= HEAVY_LOCAL
-                yield pa.RecordBatch.from_arrays([pa.array(gram[edge[often]].view(np.int64)), pa.array(n[often])], ["key", "n"])
+                held.append(gram[whole])
+                size += len(held[-1])
+                if size >= HEAVY_RUN:
+                    yield often(held)
+                    held, size = [], 0
+        if held:
+            yield often(held)
 
     seen = docs.select("text").mapInArrow(count, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
     top = seen.orderBy(F.desc("n"), "key").limit(HEAVY_KEYS).select("key").toPandas()["key"]
