@@ -87,8 +87,8 @@ def _heavy(docs: DataFrame, k: int) -> np.ndarray:
             yield often(held)
 
     seen = docs.select("text").mapInArrow(count, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
-    top = seen.orderBy(F.desc("n"), "key").limit(HEAVY_KEYS).select("key").toPandas()["key"]
-    return np.sort(top.to_numpy(np.int64).view(np.uint64))
+    top = seen.orderBy(F.desc("n"), "key").limit(HEAVY_KEYS).select("key").toArrow()["key"].to_numpy()
+    return np.sort(top.astype(np.int64).view(np.uint64))
 
 
 def _points(docs: DataFrame, k: int, percent: int) -> DataFrame:

@@ -97,13 +97,13 @@ def _mark(docs: DataFrame, window: int) -> tuple[Marks, int]:
     again = settle(seen.where("p < q").select("key", "n"))
     total = again.agg(F.sum("n")).first()[0] or 0
     shards = max(1, math.ceil(total / SHARD_SEGMENTS))
-    hot = again.where(F.col("n") > max(1000, total // (4 * shards))).select("key").toPandas()["key"]  # 4 * shards at most
+    hot = again.where(F.col("n") > max(1000, total // (4 * shards))).select("key").toArrow()["key"].to_numpy()  # 4 * shards at most
     at = F.col("key").bitwiseAND(MARK_BITS - 1)
     filled = again.select(F.shiftright(at, 6).alias("word"), F.expr(f"shiftleft(1L, cast(key & {63} as int))").alias("bits"))
-    filled = filled.groupBy("word").agg(F.bit_or("bits").alias("bits")).toPandas()  # MARK_BITS / 64 rows at most
+    filled = filled.groupBy("word").agg(F.bit_or("bits").alias("bits")).toArrow()  # MARK_BITS / 64 rows at most
     bits = np.zeros(MARK_BITS // 64, np.uint64)
-    bits[filled["word"].to_numpy(np.int64)] = filled["bits"].to_numpy(np.int64).view(np.uint64)
-    return Marks(bits, np.sort(hot.to_numpy(np.int64).view(np.uint64))), shards
+    bits[filled["word"].to_numpy()] = filled["bits"].to_numpy().view(np.uint64)
+    return Marks(bits, np.sort(hot.astype(np.int64).view(np.uint64))), shards
 
 
 def _marked(marks: Marks, code, doc, at, place, count, key, window: int):
