@@ -5,8 +5,8 @@ whose neighbouring pieces are all compatible: two pieces are when merging their
 again. So encoding is a path of greatest weight with weight 0 for a compatible step and minus infinity for
 any other, and parts of a text can be handled on their own:
 
-* a short text is a path from its start, computed word by word (no piece crosses from a word into the space
-  before the next), each word once per task;
+* a short text falls into words (no piece crosses from a word into the space before the next); the words
+  that a task has not met are merged together, one merge in each of them at a time;
 * a giant text is cut into chunks. A boundary's states are the pieces that can hold its last character. A
   chunk yields the max-plus matrix between the states at its two ends; matrices are combined associatively
   (prefix and suffix products), which fixes the state at every boundary; then every chunk is traced by
@@ -37,7 +37,8 @@ SPACE = "▁"
 CHUNK = 32768
 _UNITS = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
 _MEMORY = 400_000  # words and pairs that a task remembers
-_OFF = -np.inf
+_TOGETHER, _SHORT = 400_000, 48  # words looked up at a time; characters of a word that is merged with others
+_NEVER, _END, _OFF = np.iinfo(np.int64).max, object(), -np.inf
 
 Step = tuple[int, int]  # where a piece starts and ends
 
@@ -64,14 +65,28 @@ class Vocabulary:
                 self.raw[i] = bytes([int(p.piece[1:-1], 16)])
         self.longest = max(map(len, self.rank))
         self.usable = {p for p in self.rank if len(self.merge(p)) == 1}  # the others can never come out
+        place = {score: i for i, score in enumerate(sorted(set(self.rank.values()), reverse=True))}
+        pairs = []
+        for p, score in self.rank.items():
+            for cut in range(1, len(p)):
+                left, right = self.ids.get(p[:cut]), self.ids.get(p[cut:])
+                if left is not None and right is not None:
+                    pairs.append((left << 32 | right, place[score], self.ids[p]))
+        self.pair, self.pair_place, self.pair_id = (np.array(c, np.int64) for c in zip(*sorted(pairs)))
+        self.char_id = np.full(0x110000, -1, np.int32)
+        for p, i in self.ids.items():
+            if len(p) == 1:
+                self.char_id[ord(p)] = i
         self.fresh()
 
     def fresh(self) -> None:
         self._fit: dict[tuple[str, str], bool] = {}
+        known = "".join(re.escape(c) for c in sorted(p for p in self.ids if len(p) == 1))
+        self._odd = re.compile(f"[^{known}]")  # characters that become bytes
         self._words = _Words(self)
 
     def __getstate__(self):
-        return {k: v for k, v in self.__dict__.items() if k not in ("_fit", "_words")}
+        return {k: v for k, v in self.__dict__.items() if k not in ("_fit", "_words", "_odd")}
 
     def __setstate__(self, state):
         self.__dict__.update(state)
@@ -132,21 +147,99 @@ class Vocabulary:
             end = last[end]
         return out[::-1]
 
+    def _places(self, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Place in the order of merging, and merged id, of neighbouring ids; the place is _NEVER for none."""
+        key = left.astype(np.int64) << 32 | right
+        at = np.minimum(np.searchsorted(self.pair, key), len(self.pair) - 1)
+        known = (self.pair[at] == key) & (left >= 0)
+        return np.where(known, self.pair_place[at], _NEVER), self.pair_id[at]
+
+    def many(self, words: list[str]) -> list[bytes]:
+        """Packed ids of many short words after one space each: one merge in every word at a time."""
+        chars = np.frombuffer("".join(SPACE + w for w in words).encode("utf-32-le"), np.uint32)
+        sizes = np.array([len(w) + 1 for w in words])
+        ids, word = self.char_id[chars].astype(np.int64), np.repeat(np.arange(len(words)), sizes)
+        out: list[bytes] = [b""] * len(words)
+        place, merged = np.full(len(ids), _NEVER), np.zeros(len(ids), np.int64)
+        inner = np.flatnonzero(word[1:] == word[:-1])
+        place[inner], merged[inner] = self._places(ids[inner], ids[inner + 1])
+        while len(ids):
+            starts = np.flatnonzero(np.r_[True, word[1:] != word[:-1]])
+            counts = np.diff(np.r_[starts, len(ids)])
+            best = np.minimum.reduceat(place, starts)
+            done = best == _NEVER
+            if done.any():
+                gone = np.repeat(done, counts)
+                ended, bounds = ids[gone].astype("<i4").tobytes(), np.cumsum(counts[done]) * 4
+                lows = np.r_[0, bounds[:-1]].tolist()
+                for w, low, high in zip(word[starts[done]].tolist(), lows, bounds.tolist()):
+                    out[w] = ended[low:high]
+                ids, word, place, merged = (a[~gone] for a in (ids, word, place, merged))
+                if not len(ids):
+                    break
+                counts, best = counts[~done], best[~done]
+            hits = np.flatnonzero(place == np.repeat(best, counts))
+            hits = hits[np.r_[True, word[hits[1:]] != word[hits[:-1]]]]  # the leftmost of each word
+            ids[hits] = merged[hits]
+            stay = np.ones(len(ids), bool)
+            stay[hits + 1] = False
+            shift = np.cumsum(stay) - 1
+            ids, word, place, merged = (a[stay] for a in (ids, word, place, merged))
+            hits = shift[hits]
+            for at in (hits[hits > 0] - 1, hits):
+                at = at[at + 1 < len(ids)]
+                same = word[at] == word[at + 1]
+                place[at[~same]] = _NEVER
+                at = at[same]
+                place[at], merged[at] = self._places(ids[at], ids[at + 1])
+            if len(hits) and hits[-1] + 1 == len(ids):
+                place[-1] = _NEVER
+        return out
+
+    def learn(self, words: set[str]) -> None:
+        """Remember the ids of words that are new."""
+        if len(self._words) >= _MEMORY:
+            self._words.clear()
+        new = [w for w in words.difference(self._words) if 0 < len(w) < _SHORT and not self._odd.search(w)]
+        if new:
+            self._words.update(zip(new, self.many(new)))
+
     def unit(self, text: str) -> bytes:
         """Packed ids of a part that no piece leaves."""
+        if len(text) < _SHORT:
+            return self.pack(self.merge(text))
         return self.pack(self.trace(text, self.path(text, 0, None, len(text)), 0, len(text)))
 
     def encode(self, text: str) -> bytes:
-        if not text:
-            return b""
-        if len(self._words) >= _MEMORY:
-            self._words.clear()
-        if SPACE not in text and "  " not in text and text[0] != " " and text[-1] != " ":
-            return b"".join(map(self._words.__getitem__, text.split(" ")))
-        return self.encode_units(SPACE + text.replace(" ", SPACE))
+        return self.encode_all([text])[0]
+
+    def encode_all(self, texts: list[str | None]) -> list[bytes | None]:
+        """Packed ids of texts; words are looked up, and new ones learned together, for some texts at a time."""
+        out: list[bytes | None] = []
+        held: list[tuple[bool, list[str]] | None] = []
+        size = 0
+        for text in [*texts, _END]:
+            if text is _END or size >= _TOGETHER:
+                self.learn({w for part in held if part and part[0] for w in part[1]})
+                look = self._words.__getitem__
+                for part in held:
+                    out.append(None if part is None else b"".join(map(look, part[1])) if part[0] else self.encode_units(part[1][0]))
+                held, size = [], 0
+                if text is _END:
+                    break
+            if text is None:
+                held.append(None)
+            elif text and SPACE not in text and "  " not in text and text[0] != " " and text[-1] != " ":
+                held.append((True, text.split(" ")))
+                size += len(held[-1][1])
+            else:
+                held.append((False, [SPACE + text.replace(" ", SPACE) if text else ""]))
+                size += len(text)
+        return out
 
     def encode_units(self, escaped: str) -> bytes:
         words, found = self._words, _UNITS.findall(escaped)
+        self.learn({u[1:] for u in found if u[0] == SPACE and u.count(SPACE) == 1 and len(u) > 1})
         return b"".join([words[u[1:]] if u[0] == SPACE and u.count(SPACE) == 1 and len(u) > 1 else self.unit(u) for u in found])
 
     def decode(self, ids: bytes) -> str:
@@ -312,7 +405,7 @@ def encode(docs: DataFrame, model_path: str, chunk: int = CHUNK) -> DataFrame:
 
     @F.arrow_udf(T.BinaryType())
     def ids_of(text: pa.Array) -> pa.Array:
-        return pa.array([None if t is None else shared.value.encode(t) for t in text.to_pylist()], pa.binary())
+        return pa.array(shared.value.encode_all(text.to_pylist()), pa.binary())
 
     docs = docs.drop("ids")
     giant = F.coalesce(F.length("text") >= chunk, F.lit(False))

@@ -32,6 +32,14 @@ def test_encoding_equals_the_library(library, vocabulary):
         assert vocabulary.decode(vocabulary.encode(t)) == t
 
 
+def test_words_merged_together_equal_the_library(library, vocabulary):
+    rng = np.random.default_rng(7)
+    parts = ["the", "tion", "é", "ß", "ing", "x", ".", "http://", "er", "A", "un", "1", "***", "ll", "l"]
+    words = sorted({"".join(rng.choice(parts, rng.integers(1, 9))) for _ in range(3000)})
+    words = [w for w in words if len(w) < 40]
+    assert [np.frombuffer(b, "<i4").tolist() for b in vocabulary.many(words)] == library.encode(words)
+
+
 def test_products_in_any_grouping():
     rng = np.random.default_rng(1)
     matrices = [np.where(rng.random((4, 4)) < 0.4, rng.normal(size=(4, 4)), -np.inf) for _ in range(13)]
