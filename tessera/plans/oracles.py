@@ -98,7 +98,7 @@ _SHORT = _shortlist("short", "requests", "default", DEFAULTS.shortlist_limit)
 _FIVE = _shortlist("five", "requests", "default", 5)
 _POS = {"cand": "SELECT request_id, id, rank AS pos FROM short"}
 _RECALL = _SHORT | _POS | _judge("judged", "cand", "requests") | _ranked("ranked", "judged", 2000)
-_LINK = {"newer": "SELECT id AS request_id, text AS request FROM memory WHERE collection = 'conversation' AND id % 4 = 0"} | _shortlist("linked", "newer", "conversation", DEFAULTS.link_seeds, True) | _judge("link_p", "linked", "newer")
+_LINK = {"newer": "SELECT id AS request_id, text AS request FROM memory WHERE collection = 'conversation'"} | _shortlist("linked", "newer", "conversation", DEFAULTS.link_seeds, True) | _judge("link_p", "linked", "newer")
 _TIGHT_TAIL = TIGHT.protected_tail_tokens
 _ELIDE = {
     "tail": f"""SELECT session_id, seq, cost, sum(cost) OVER w <= {_TIGHT_TAIL} AND sum(cost) OVER w - cost < {_TIGHT_TAIL} AS protected FROM sized WHERE kind = 'tool'
@@ -232,8 +232,8 @@ ORACLES: dict[str, str] = {
     "capture_summary": _sql("SELECT a.session_id, count(f.arrival) AS stored, count(*) - count(f.arrival) AS ignored FROM again a LEFT JOIN fresh f USING (arrival) GROUP BY a.session_id"),
     "replace_source": _sql(
         """SELECT id, collection, source_id, sha256(text) AS sha256 FROM memory WHERE NOT (collection = 'default' AND (source_id = 'src3' OR source_id IN
-            (SELECT source_id FROM memory WHERE source_id IN ('src1', 'src2') AND id % 2 = 0 AND collection = 'default')))
-           UNION ALL SELECT id + 10000000000, collection, source_id, sha256(text) FROM memory WHERE source_id IN ('src1', 'src2') AND id % 2 = 0"""
+            ('src1', 'src2')))
+           UNION ALL SELECT id + 10000000000, collection, source_id, sha256(text) FROM memory WHERE source_id IN ('src1', 'src2')"""
     ),
     "gated_remember": """SELECT d.doc_id AS subject_id, CASE WHEN d.doc_id % 17 = 0 THEN 'refused' WHEN l.doc_id IS NULL THEN 'unavailable' WHEN quality = 1 THEN 'stored' ELSE 'refused' END AS status,
         CASE WHEN d.doc_id % 17 = 0 THEN 'summary' WHEN l.doc_id IS NOT NULL AND quality IS DISTINCT FROM 1 THEN 'below_threshold' END AS reason,
@@ -241,12 +241,12 @@ ORACLES: dict[str, str] = {
         FROM documents d LEFT JOIN labels l USING (doc_id)""",
     "count_memory": _sql("SELECT collection, source_id, count(*) AS n FROM memory GROUP BY ALL"),
     "memory_rows": _sql("SELECT id, source_id, sha256(text) AS sha256, '' AS cwd, session_id, role FROM memory WHERE collection = 'conversation'"),
-    "upsert_edges": _sql("SELECT src, dst, kind, round(CASE WHEN src % 3 = 0 THEN 1 - probability ELSE probability END, 6) AS probability FROM edges"),
+    "upsert_edges": _sql("SELECT src, dst, kind, round(CASE WHEN probability < 0.5 THEN 1 - probability ELSE probability END, 6) AS probability FROM edges"),
     "upsert_elisions": "SELECT DISTINCT 'e:' || sha256(html) AS pointer, octet_length(encode(html))::INTEGER AS n_bytes, sha256(html) AS sha256 FROM pages",
     "cascade_delete": _sql(
-        """SELECT part, id, count(*) AS n FROM (SELECT 'memory' AS part, id FROM memory WHERE collection = 'conversation' AND id % 5 <> 0
-            UNION ALL SELECT 'edges', src FROM edges WHERE src NOT IN (SELECT id FROM memory WHERE collection = 'conversation' AND id % 5 = 0) AND dst NOT IN (SELECT id FROM memory WHERE collection = 'conversation' AND id % 5 = 0)
-            UNION ALL SELECT 'postings', id FROM postings WHERE collection = 'conversation' AND id % 5 <> 0) GROUP BY ALL"""
+        """SELECT part, id, count(*) AS n FROM (SELECT 'memory' AS part, id FROM memory WHERE collection = 'conversation' AND role <> 'assistant'
+            UNION ALL SELECT 'edges', src FROM edges WHERE src NOT IN (SELECT id FROM memory WHERE collection = 'conversation' AND role = 'assistant') AND dst NOT IN (SELECT id FROM memory WHERE collection = 'conversation' AND role = 'assistant')
+            UNION ALL SELECT 'postings', id FROM postings JOIN memory m USING (id) WHERE m.collection = 'conversation' AND role <> 'assistant') GROUP BY ALL"""
     ),
     "index_tokens": f"SELECT doc_id, len(t)::INTEGER AS n_tokens, sha256(array_to_string(t, ' ')) AS tokens_sha256 FROM (SELECT doc_id, {_tokens('text')} AS t FROM documents)",
     "build_index": _sql("SELECT token, df, n_docs, round(avg_len, 6) AS avg_len FROM dfs, stats"),
@@ -258,7 +258,7 @@ ORACLES: dict[str, str] = {
     "recall_ranked": _sql("SELECT request_id, id, source_id, probability, rank, cost, used, fits FROM ranked", _RECALL),
     "recall_unranked": _sql(
         """SELECT request_id, id, source_id, pos, NULL::DOUBLE AS probability, true AS unranked FROM cand JOIN memory USING (id)
-           WHERE request_id IN (SELECT request_id FROM cand WHERE request_id % 3 = 0 AND id % 2 <> 0)""",
+           WHERE request_id IN (SELECT request_id FROM judged WHERE coalesce(probability, 0) < 0.4)""",
         _RECALL,
     ),
     "recall_section": _sql("SELECT request_id, sha256(string_agg(label, chr(10) || chr(10) ORDER BY rank)) AS section_sha256 FROM ranked WHERE fits AND label <> '' GROUP BY request_id", _RECALL),

@@ -55,7 +55,7 @@ def capture_summary(spark, d):
 
 def replace_source(spark, d):
     rows = views.memory(spark, d)
-    new = rows.where("source_id in ('src1', 'src2') and id % 2 = 0").withColumn("id", F.col("id") + 10**10)
+    new = rows.where("source_id in ('src1', 'src2')").withColumn("id", F.col("id") + 10**10)
     gone = spark.range(1).select(F.lit("default").alias("collection"), F.lit("src3").alias("source_id"))
     return store.replace_source(rows, new, gone).select("id", "collection", "source_id", "sha256")
 
@@ -77,7 +77,7 @@ def memory_rows(spark, d):
 
 def upsert_edges(spark, d):
     old = views.chain_edges(spark, d)
-    new = old.where("src % 3 = 0").withColumn("probability", 1 - F.col("probability"))
+    new = old.where("probability < 0.5").withColumn("probability", 1 - F.col("probability"))
     return store.upsert_edges(old, new).select("src", "dst", "kind", F.round("probability", 6).alias("probability"))
 
 
@@ -89,7 +89,7 @@ def upsert_elisions(spark, d):
 def cascade_delete(spark, d):
     rows, edges = views.memory(spark, d).where(F.col("collection") == CONVERSATION), views.chain_edges(spark, d)
     postings, _, _ = index.build_index(rows)
-    kept = store.cascade_delete(rows, edges, postings, rows.where("id % 5 = 0").select("id"))
+    kept = store.cascade_delete(rows, edges, postings, rows.where("role = 'assistant'").select("id"))
     parts = [df.select(F.lit(name).alias("part"), F.col(col).alias("id")) for name, col, df in zip(("memory", "edges", "postings"), ("id", "src", "id"), kept)]
     return parts[0].unionByName(parts[1]).unionByName(parts[2]).groupBy("part", "id").agg(F.count("*").alias("n"))
 
@@ -111,8 +111,7 @@ def shortlist_bm25(spark, d):
 
 def _links(spark, d):
     rows = views.memory(spark, d)
-    said = rows.where((F.col("collection") == CONVERSATION) & (F.col("id") % 4 == 0))
-    pairs = graph.link_candidates(said, rows)
+    pairs = graph.link_candidates(rows.where(F.col("collection") == CONVERSATION), rows)
     texts = lambda name, as_: rows.select(F.col("id").alias(name), F.col("text").alias(as_))
     return pairs, judging.lexical_judge(pairs.join(texts("src", "request"), "src").join(texts("dst", "text"), "dst"))
 
@@ -154,7 +153,7 @@ def recall_ranked(spark, d):
 
 
 def recall_unranked(spark, d):
-    _, unranked = _recalled(spark, d, "request_id % 3 <> 0 or id % 2 = 0")
+    _, unranked = _recalled(spark, d, "probability >= 0.4")
     return unranked.select("request_id", "id", "source_id", "pos", "probability", "unranked")
 
 

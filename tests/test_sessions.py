@@ -6,7 +6,7 @@ import random
 from pyspark.sql import functions as F
 
 from tessera.config import CONVERSATION, DEFAULTS, Settings
-from tessera.operators import compact, host_window, judging, messages
+from tessera.operators import compact, host_window, messages
 from tessera.schemas import ELISIONS, MEMORY
 from tessera.sources import tables
 from tessera.streaming import streams
