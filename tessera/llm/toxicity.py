@@ -1,7 +1,7 @@
 """Counterfactual-regularised toxicity classifier.
 
-Features are the distinct lower-cased words of a text, as hashes; a word is a run of ASCII letters and
-non-ASCII bytes. The vocabulary is the words that tell the classes apart best. A logistic model is fitted
+Features are the distinct lower-cased words of a text and their first four and five bytes, as hashes; a word
+is a run of ASCII letters and non-ASCII bytes. The vocabulary is the features that tell the classes apart best. A logistic model is fitted
 with a penalty on the change of its score when an identity term in a labelled text is swapped for another
 term of its language, so that naming a group does not move the score by itself.
 
@@ -26,7 +26,7 @@ from pyspark.sql import types as T
 
 from .common import settle, utf8_slices
 from .linear import fit_logistic, sigmoid
-from .words import LOWER, words
+from .words import LOWER, mix, words
 
 #: Identity terms, by language.
 IDENTITY_TERMS = (
@@ -37,19 +37,29 @@ IDENTITY_TERMS = (
     ("mujeres", "hombres", "niñas", "homosexual", "lesbiana", "negro", "blanco", "musulmán", "cristiano", "judío", "budista", "inmigrante", "refugiado", "discapacitado", "sordo", "ciego"),
 )
 MAX_TOXIC, MAX_CLEAN, VOCABULARY, L2, FAIRNESS = 4000, 8000, 2000, 2e-4, 1.0
+HEADS = (4, 5)  # bytes at the start of a word that are features too
 _LETTER = np.zeros(256, bool)
 _LETTER[65:91] = _LETTER[97:123] = _LETTER[128:] = True
 
 
-def _word_rows(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    """For runs of rows: first, last + 1, row of each word (from 0) and its hash."""
+def _word_rows(column: pa.Array, heads: tuple[int, ...] = HEADS) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """For runs of rows: first, last + 1, row of each feature (from 0) and its hash: words, then their first bytes."""
     for first, last, raw, off in utf8_slices(column):
-        _, _, row, code = words(LOWER[raw], off, _LETTER[raw])
-        yield first, last, row, code
+        raw = LOWER[raw]
+        start, end, row, code = words(raw, off, _LETTER[raw])
+        rows, codes = [row], [code]
+        for n in heads:
+            whole = end - start >= n
+            at, head = start[whole], np.full(int(whole.sum()), n, np.uint64)
+            for i in range(n):
+                head = head << np.uint64(8) | raw[at + i]
+            rows.append(row[whole])
+            codes.append(mix(head))
+        yield first, last, np.concatenate(rows), np.concatenate(codes)
 
 
-def _hashes(terms: tuple[str, ...]) -> np.ndarray:
-    return np.concatenate([code for _, _, _, code in _word_rows(pa.array(terms, pa.string()))])
+def _hashes(terms: tuple[str, ...], heads: tuple[int, ...] = ()) -> np.ndarray:
+    return np.concatenate([code for _, _, _, code in _word_rows(pa.array(terms, pa.string()), heads)])
 
 
 @dataclass
@@ -78,6 +88,8 @@ def _collect(rows: DataFrame) -> tuple[list[np.ndarray], np.ndarray]:
         for batch in batches:
             bags: list[bytes] = []
             for first, last, row, code in _word_rows(batch["text"]):
+                in_order = np.argsort(row, kind="stable")
+                row, code = row[in_order], code[in_order]
                 cuts = np.searchsorted(row, np.arange(last - first + 1))
                 bags += [np.unique(code[a:b]).tobytes() for a, b in zip(cuts, cuts[1:])]
             yield pa.RecordBatch.from_arrays([pa.array(bags, pa.binary()), batch["toxic"].cast(pa.int32())], ["bag", "toxic"])
@@ -119,11 +131,9 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, max_toxic: int = MAX_TOXIC,
     swaps = []
     for terms in IDENTITY_TERMS:  # in each text that names a group, each named term for the next one
         at = np.searchsorted(chosen, _hashes(terms))
-        for j, k in zip(at, np.roll(at, -1)):
-            for i in np.flatnonzero(x[:, j] > x[:, k])[:200]:
-                change = np.zeros(len(chosen), np.float32)
-                change[j], change[k] = 1, -1
-                swaps.append(change)
+        for j, k, term, other in zip(at, np.roll(at, -1), terms, (*terms[1:], terms[0])):
+            change = np.isin(chosen, _hashes((term,), HEADS)).astype(np.float32) - np.isin(chosen, _hashes((other,), HEADS))
+            swaps += [change] * min(200, int((x[:, j] > x[:, k]).sum()))
     weight = np.where(y == 1, 0.5 / n1, 0.5 / n0)[:, None]
     theta, bias = fit_logistic(x, y[:, None], weight, L2, np.array(swaps) if swaps else None, FAIRNESS)
     return ToxicityModel(chosen, theta[:, 0], float(bias[0]))
