@@ -143,8 +143,9 @@ def lexical_judge(spark, d):
 
 def _recalled(spark, d, keep="true", settings=DEFAULTS, budget=2000):
     asked, rows = views.requests(spark, d), views.memory(spark, d)
-    judged = _judged(spark, d, asked, recall.recall_candidates(asked, rows, None, "default")).where(keep)
-    return recall.ranked_passages(asked, rows, None, judged, "default", budget, settings=settings)
+    built = index.build_index(rows)
+    judged = _judged(spark, d, asked, recall.recall_candidates(asked, rows, None, "default", built)).where(keep)
+    return recall.ranked_passages(asked, rows, None, judged, "default", budget, built, settings)
 
 
 def recall_ranked(spark, d):
@@ -164,8 +165,9 @@ def recall_section(spark, d):
 
 def recall_rows(spark, d):
     asked, rows = views.requests(spark, d), views.memory(spark, d)
-    judged = _judged(spark, d, asked, recall.recall_candidates(asked, rows, None, "default"))
-    out = recall.recall(asked, rows, None, judged, "default", 2000)
+    built = index.build_index(rows)
+    judged = _judged(spark, d, asked, recall.recall_candidates(asked, rows, None, "default", built))
+    out = recall.recall(asked, rows, None, judged, "default", 2000, built)
     return out.select("request_id", "status", F.coalesce(F.size("passages"), F.lit(0)).alias("n_passages"), F.array_join("over_budget", ",").alias("over"), "used_tokens", "budget", "estimator")
 
 
