@@ -16,7 +16,7 @@ counts per group are a point; the sum of coordinate minima of two points bounds
    many documents are dealt out as pairs of blocks.
 5. Components of all verified links.
 
-Where a plain R-tree over the corpus would prune nothing: in some 64 dimensions its boxes all overlap and
+Where a plain R-tree over the corpus would prune nothing: in hundreds of dimensions its boxes all overlap and
 every document would visit every box of its size, which is quadratic; hence the cells.
 
 Defined cases: a null or empty text, or one without words, has the empty set and links with nothing; fewer
@@ -38,11 +38,11 @@ from .common import settle, utf8_slices
 from .graph_parts import components
 from .words import LOWER, grams, mix, words
 
-FEW, MANY, LONG = 64, 512, 2000  # groups of short and of long sets, and the size from which a set is long
+FEW, MANY, LONG = 256, 2048, 2000  # groups of all sets and of long ones, and the size from which a set is long
 HEAVY_KEYS, HEAVY_LOCAL, HEAVY_RUN = 1 << 18, 3, 1 << 22
 BLOCK, SALT = 2048, 256
 LEAF = 16
-HUGE = 65535  # the largest count that a point holds
+FULL = {FEW: 255, MANY: 65535}  # the largest count that a point holds
 
 
 def _sets(column: pa.Array, k: int) -> Iterator[tuple[int, list[np.ndarray]]]:
@@ -114,8 +114,8 @@ def _points(docs: DataFrame, k: int, percent: int) -> DataFrame:
                     prefixes.append(s_by[:p].view(np.int64))
                     groups = MANY if len(s) >= LONG else FEW
                     count = np.bincount((x >> np.uint64(64 - groups.bit_length() + 1)).astype(np.int64), minlength=groups)
-                    counts.append(np.minimum(count, HUGE).astype(np.uint16).tobytes())
-                    few.append(np.minimum(count.reshape(FEW, -1).sum(axis=1), HUGE).astype(np.uint16).tobytes())
+                    counts.append(_point(count, groups))
+                    few.append(_point(count, FEW))
                 sums = np.array(sums, np.uint64).reshape(-1, 2).view(np.int64)
                 cuts = np.r_[0, np.cumsum([len(p) for p in prefixes])].astype(np.int32)
                 prefix = pa.ListArray.from_arrays(pa.array(cuts), pa.array(np.concatenate(prefixes) if prefixes else np.zeros(0, np.int64)))
@@ -126,13 +126,21 @@ def _points(docs: DataFrame, k: int, percent: int) -> DataFrame:
     return docs.where("doc_id is not null").select("doc_id", "text").mapInArrow(run, "doc_id long, n int, s1 long, s2 long, prefix array<long>, counts binary, few binary")
 
 
-def _fold(counts: list[bytes], groups: int) -> np.ndarray:
-    """Points as rows with ``groups`` coordinates; finer groups are summed."""
-    out = np.zeros((len(counts), groups), np.int32)
-    for i, c in enumerate(counts):
-        v = np.frombuffer(c, np.uint16)
-        out[i] = v if len(v) == groups else v.reshape(groups, -1).sum(axis=1)
-    return out
+def _point(count: np.ndarray, groups: int) -> bytes:
+    """Counts as bytes, of ``groups`` coordinates; finer groups are summed. Few groups take a byte each, many take two."""
+    coarse = count.reshape(groups, -1).sum(axis=1)
+    return np.minimum(coarse, FULL[groups]).astype(np.uint8 if groups == FEW else np.uint16).tobytes()
+
+
+def _stacked(points: list[bytes]) -> np.ndarray:
+    """Points of few coordinates as rows."""
+    same = [p if len(p) == FEW else _point(np.frombuffer(p, np.uint16).astype(np.int64), FEW) for p in points]
+    return np.frombuffer(b"".join(same), np.uint8).reshape(-1, FEW)
+
+
+def _full(points: np.ndarray) -> np.ndarray:
+    """Rows with a coordinate that may stand for more; two such sets are always compared whole."""
+    return (points == (255 if points.dtype == np.uint8 else 65535)).any(axis=1)
 
 
 def _enough(overlap: np.ndarray, n: np.ndarray, m: np.ndarray, percent: int) -> np.ndarray:
@@ -140,29 +148,25 @@ def _enough(overlap: np.ndarray, n: np.ndarray, m: np.ndarray, percent: int) ->
     return (100 + percent) * overlap.astype(np.int64) >= percent * (n.astype(np.int64) + m)
 
 
-def _may(overlap: np.ndarray, n: np.ndarray, m: np.ndarray, percent: int) -> np.ndarray:
-    """The same for bounds from points, whose coordinates stop at HUGE: sets larger than that always may."""
-    return _enough(overlap, n, m, percent) | ((n > HUGE) & (m > HUGE))
-
-
 def tree_join(points: np.ndarray, n: np.ndarray, part: np.ndarray, percent: int) -> np.ndarray:
     """Pairs of rows of different parts whose bound allows the similarity, by an R-tree joined with itself."""
     order = np.lexsort((n, part))
+    full = _full(points)[order]
     points, n, part = points[order].astype(np.int32), n[order], part[order]
     starts = np.arange(0, len(n), LEAF)
-    top = np.maximum.reduceat(points, starts)
+    top, filled = np.maximum.reduceat(points, starts), np.maximum.reduceat(full, starts)
     low, high = np.minimum.reduceat(n, starts), np.maximum.reduceat(n, starts)
     one = np.minimum.reduceat(part, starts) == np.maximum.reduceat(part, starts)
     found = []
     for i, a in enumerate(starts):
         bound = np.minimum(top[i], top[i:]).sum(axis=1)
-        fits = (_enough(bound, low[i], low[i:], percent) | ((high[i] > HUGE) & (high[i:] > HUGE))) & (100 * high[i:] >= percent * low[i]) & (100 * high[i] >= percent * low[i:])
+        fits = (_enough(bound, low[i], low[i:], percent) | (filled[i] & filled[i:])) & (100 * high[i:] >= percent * low[i]) & (100 * high[i] >= percent * low[i:])
         fits &= ~(one[i] & one[i:] & (part[a] == part[starts[i:]]))
         for j in np.flatnonzero(fits) + i:
             b = starts[j]
             x, y = slice(a, a + LEAF), slice(b, b + LEAF)
             overlap = np.minimum(points[x, None], points[None, y]).sum(axis=2)
-            good = _may(overlap, n[x, None], n[None, y], percent) & (part[x, None] != part[None, y])
+            good = (_enough(overlap, n[x, None], n[None, y], percent) | (full[x, None] & full[None, y])) & (part[x, None] != part[None, y])
             p, q = np.nonzero(np.triu(good, 1) if i == j else good)
             found.append(np.stack([p + a, q + b], axis=1))
     return order[np.concatenate(found)] if found else np.zeros((0, 2), np.int64)
@@ -170,7 +174,7 @@ def tree_join(points: np.ndarray, n: np.ndarray, part: np.ndarray, percent: int)
 
 def _leaf_pairs(points: np.ndarray, n: np.ndarray, part: np.ndarray, cell: np.ndarray, percent: int) -> np.ndarray:
     """The same for many cells of one leaf each, at once: rows of a cell lie together and are at most LEAF."""
-    found = []
+    found, full = [], _full(points)
     for apart in range(1, min(LEAF, len(n))):
         i = np.flatnonzero((cell[apart:] == cell[:-apart]) & (part[apart:] != part[:-apart]))
         j = i + apart
@@ -179,7 +183,7 @@ def _leaf_pairs(points: np.ndarray, n: np.ndarray, part: np.ndarray, cell: np.nd
         i, j = i[near], j[near]
         for at in range(0, len(i), 1 << 16):
             x, y = i[at : at + (1 << 16)], j[at : at + (1 << 16)]
-            good = _may(np.minimum(points[x], points[y]).sum(axis=1, dtype=np.int64), n[x], n[y], percent)
+            good = _enough(np.minimum(points[x], points[y]).sum(axis=1, dtype=np.int64), n[x], n[y], percent) | (full[x] & full[y])
             found.append(np.stack([x[good], y[good]], axis=1))
     return np.concatenate(found) if found else np.zeros((0, 2), np.int64)
 
@@ -190,12 +194,16 @@ def _bounded(pairs: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
-            fine = ((f["c_a"].str.len() > 2 * FEW) & (f["c_b"].str.len() > 2 * FEW)).to_numpy(bool)
+            fine = ((f["c_a"].str.len() > FEW) & (f["c_b"].str.len() > FEW)).to_numpy(bool)
             good = np.zeros(len(f), bool)
-            for which, groups in ((fine, MANY), (~fine, FEW)):
+            for which in (fine, ~fine):
                 g = f[which]
-                overlap = np.minimum(_fold(g["c_a"].tolist(), groups), _fold(g["c_b"].tolist(), groups)).sum(axis=1, dtype=np.int64)
-                good[which] = _may(overlap, g["n_a"].to_numpy(), g["n_b"].to_numpy(), percent)
+                if which is fine:
+                    a, b = (np.frombuffer(b"".join(g[c].tolist()), np.uint16).reshape(-1, MANY) for c in ("c_a", "c_b"))
+                else:
+                    a, b = _stacked(g["c_a"].tolist()), _stacked(g["c_b"].tolist())
+                overlap = np.minimum(a, b).sum(axis=1, dtype=np.int64)
+                good[which] = _enough(overlap, g["n_a"].to_numpy(), g["n_b"].to_numpy(), percent) | (_full(a) & _full(b))
             yield f.loc[good, ["a", "b"]]
 
     return pairs.join(point("b"), "b").join(point("a"), "a").mapInPandas(run, "a long, b long")
@@ -246,7 +254,7 @@ def _rest_pairs(cells: DataFrame, percent: int) -> DataFrame:
 
     def search(f: pd.DataFrame) -> pd.DataFrame:
         f = f.sort_values(["key", "x", "y", "part", "n"], kind="stable")
-        points = np.frombuffer(b"".join(f["few"].tolist()), np.uint16).reshape(-1, FEW)
+        points = _stacked(f["few"].tolist())
         ids, n, part = f["doc_id"].to_numpy(), f["n"].to_numpy(np.int64), f["part"].to_numpy()
         k = f[["key", "x", "y"]].to_numpy()
         cuts = np.r_[0, np.flatnonzero((k[1:] != k[:-1]).any(axis=1)) + 1, len(f)]

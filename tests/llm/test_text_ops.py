@@ -75,6 +75,8 @@ def test_ngram_join_finds_chains_that_share_no_hub(spark):
         own[: 2 * step] = [f"x{j}" for j in range(2 * step)]
         texts.append(" ".join(own))
     texts += ["Q " + " ".join(base[40:]), None, "", "one", "ONE", "a b c d", "A b C d", "long " * 3000]
+    big = [f"b{i}" for i in range(2600)]
+    texts += [" ".join(big), " ".join(big[:2400]), " ".join(big[:1990]), " ".join(["z"] * 300 + big)]
     want = _components(list(enumerate(texts)))
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.link_similar(_docs(spark, texts)).collect()}
     assert got == want
@@ -82,10 +84,10 @@ def test_ngram_join_finds_chains_that_share_no_hub(spark):
 
 def test_tree_join_loses_no_pair():
     rng = np.random.default_rng(3)
-    points = rng.poisson(2, (90, 64)).astype(np.uint16)
+    points = rng.poisson(2, (90, 256)).astype(np.uint8)
     points[45:] = points[:45]
-    points[45:, 0] += rng.integers(0, 3, 45).astype(np.uint16)
-    n, part = points.sum(axis=1), np.arange(90) % 7
+    points[45:, 0] += rng.integers(0, 3, 45).astype(np.uint8)
+    n, part = points.sum(axis=1).astype(np.int64), np.arange(90) % 7
     got = {tuple(sorted(p)) for p in ngram_join.tree_join(points, n, part, 85).tolist()}
     want = set()
     for i in range(90):
