@@ -74,6 +74,7 @@ class Vocabulary:
                     pairs.append((left << 32 | right, place[score], self.ids[p]))
         self.pair, self.pair_place, self.pair_id = (np.array(c, np.int64) for c in zip(*sorted(pairs)))
         self.char_id = np.full(0x110000, -1, np.int32)
+        self.char_id[:128] = self.byte_ids[:128]  # a byte's id stands alone: no pair has it
         for p, i in self.ids.items():
             if len(p) == 1:
                 self.char_id[ord(p)] = i
@@ -81,8 +82,8 @@ class Vocabulary:
 
     def fresh(self) -> None:
         self._fit: dict[tuple[str, str], bool] = {}
-        known = "".join(re.escape(c) for c in sorted(p for p in self.ids if len(p) == 1))
-        self._odd = re.compile(f"[^{known}]")  # characters that become bytes
+        known = "".join(re.escape(c) for c in sorted(p for p in self.ids if len(p) == 1 and not p.isascii()))
+        self._odd = re.compile(f"[^\0-\x7f{known}]")  # characters that become several bytes
         self._words = _Words(self)
 
     def __getstate__(self):

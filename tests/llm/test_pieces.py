@@ -34,7 +34,7 @@ def test_encoding_equals_the_library(library, vocabulary):
 
 def test_words_merged_together_equal_the_library(library, vocabulary):
     rng = np.random.default_rng(7)
-    parts = ["the", "tion", "é", "ß", "ing", "x", ".", "http://", "er", "A", "un", "1", "***", "ll", "l"]
+    parts = ["the", "tion", "é", "ß", "ing", "x", ".\n", "http://", "er", "A", "un", "1\t", "***", "ll", "l"]
     words = sorted({"".join(rng.choice(parts, rng.integers(1, 9))) for _ in range(3000)})
     words = [w for w in words if len(w) < 40]
     assert [np.frombuffer(b, "<i4").tolist() for b in vocabulary.many(words)] == library.encode(words)
