@@ -16,14 +16,13 @@ draw; empty input gives empty output; further columns are kept, but for weight a
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Iterator, Mapping
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from .common import settle, utf8_slices
 
@@ -47,8 +46,7 @@ def topic_of(text: Column) -> Column:
     return out
 
 
-@F.arrow_udf(T.LongType())
-def token_count(text: pa.Array) -> pa.Array:
+def token_counts(text: pa.Array) -> np.ndarray:
     """Words of each text, 0 for null."""
     out = np.zeros(len(text), np.int64)
     for first, last, raw, off in utf8_slices(text):
@@ -58,13 +56,25 @@ def token_count(text: pa.Array) -> pa.Array:
         inner[off] = False
         begins[1:] &= ~(solid[:-1] & inner[1 : len(raw)])
         out[first:last] = np.diff(np.r_[0, np.cumsum(begins)][off])
-    return pa.array(out)
+    return out
 
 
 def with_cells(docs: DataFrame) -> DataFrame:
-    """Add the cell of each document and its tokens, under names that start with an underscore."""
+    """Add the cell of each document, under names that start with an underscore."""
     known = {f"_{d}": F.coalesce(F.col(d), F.lit("unknown")) for d in ("source", "lang")}
-    return docs.withColumns(known | {"_topic": topic_of(F.col("text")), "_tokens": token_count(F.col("text"))})
+    return docs.withColumns(known | {"_topic": topic_of(F.col("text"))})
+
+
+def cell_tokens(dealt: DataFrame) -> DataFrame:
+    """Tokens of each cell; texts go to Python once and do not come back."""
+    names = [f"_{d}" for d in DIMENSIONS]
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([*(batch[n] for n in names), pa.array(token_counts(batch["text"]))], [*names, "_tokens"])
+
+    counted = dealt.select(*names, "text").mapInArrow(count, ", ".join(f"{n} string" for n in names) + ", _tokens long")
+    return counted.groupBy(names).agg(F.sum("_tokens").alias("_tokens"))
 
 
 def _targets(cells: DataFrame, dim: str, given: Mapping[str, float] | None) -> DataFrame:
@@ -117,7 +127,7 @@ def mix_sources(docs: DataFrame, targets: Mapping[str, Mapping[str, float]] | No
     tokens then follow the weights and no document is repeated.
     """
     dealt = with_cells(docs.drop("weight", "probability", "kept"))
-    cells = settle(dealt.groupBy([f"_{d}" for d in DIMENSIONS]).agg(F.sum("_tokens").alias("_tokens")))
+    cells = settle(cell_tokens(dealt))
     weights = rake(cells, targets, **rake_options)
     rates = cells.join(weights, [f"_{d}" for d in DIMENSIONS], "left").withColumn("rate", F.coalesce(F.try_divide("weight", F.col("_tokens").cast("double")), F.lit(0.0)))
     top = rates.agg(F.max("rate"))

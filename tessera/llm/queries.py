@@ -100,7 +100,6 @@ def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("_source").alias("source"),
         F.col("_lang").alias("lang"),
         F.col("_topic").alias("topic"),
-        F.col("_tokens").alias("n_tokens"),
         "weight",
         "probability",
         "kept",
