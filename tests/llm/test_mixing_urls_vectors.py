@@ -142,5 +142,4 @@ def test_mixing_cases(spark):
     assert kept["b"] == 200 and 140 < kept["a"] < 260
     assert got.where("doc_id = 5000").first()._source == "unknown"
     assert got.count() == 2002 and mixing.mix_sources(docs.limit(0)).count() == 0
-    words = spark.createDataFrame([("a  b\tc\n",), ("",), (None,), (" x",), ("a b",)], "text string")
-    assert [r[0] for r in words.select(mixing.token_count("text")).collect()] == [3, 0, 0, 1, 1]
+    assert mixing.token_counts(pa.array(["a  b\tc\n", "", None, " x", "a\u00a0b"])).tolist() == [3, 0, 0, 1, 1]
