@@ -94,8 +94,9 @@ def _collect(rows: DataFrame) -> tuple[list[np.ndarray], np.ndarray]:
                 bags += [np.unique(code[a:b]).tobytes() for a, b in zip(cuts, cuts[1:])]
             yield pa.RecordBatch.from_arrays([pa.array(bags, pa.binary()), batch["toxic"].cast(pa.int32())], ["bag", "toxic"])
 
-    got = rows.select("text", "toxic").mapInArrow(distinct, "bag binary, toxic int").collect()
-    return [np.frombuffer(bytes(r["bag"]), np.uint64) for r in got], np.array([r["toxic"] for r in got], np.float32)
+    got = rows.select("text", "toxic").mapInArrow(distinct, "bag binary, toxic int").toArrow()
+    bags = [np.frombuffer(b.as_buffer(), np.uint64) for chunk in got["bag"].chunks for b in chunk]
+    return bags, got["toxic"].to_numpy().astype(np.float32)
 
 
 def fit_toxicity(docs: DataFrame, labels: DataFrame, max_toxic: int = MAX_TOXIC, max_clean: int = MAX_CLEAN, vocabulary: int = VOCABULARY) -> ToxicityModel:
@@ -107,11 +108,13 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, max_toxic: int = MAX_TOXIC,
     none = ToxicityModel(np.zeros(0, np.uint64), np.zeros(0), None)
     if not len(y) or y.min() == y.max():
         return none
-    order_in = sorted(range(len(bags)), key=lambda i: (y[i], bags[i].tobytes()))  # rows arrive in any order
+    by_hash = [int(b.sum(dtype=np.uint64)) for b in bags]  # rows arrive in any order
+    order_in = sorted(range(len(bags)), key=lambda i: (y[i], by_hash[i], len(bags[i])))
     bags, y = [bags[i] for i in order_in], y[order_in]
-    every, inverse = np.unique(np.concatenate(bags), return_inverse=True)
-    row = np.repeat(np.arange(len(bags)), [len(b) for b in bags])
-    pos, neg = (np.bincount(inverse, (y[row] == v).astype(float), len(every)) for v in (1, 0))
+    sides = [np.sort(np.concatenate([b for b, v in zip(bags, y) if v == side])) for side in (1, 0)]
+    every = np.unique(np.concatenate([side[np.r_[True, side[1:] != side[:-1]]] for side in sides]))
+    pos, neg = (np.searchsorted(side, every, "right") - np.searchsorted(side, every) for side in sides)
+    del sides
     n1, n0 = y.sum(), (1 - y).sum()
     share = (pos + 0.5) / (n1 + 1) - (neg + 0.5) / (n0 + 1)
     spread = np.sqrt((pos + neg + 1) / len(y) * (1 / n1 + 1 / n0))
@@ -120,6 +123,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, max_toxic: int = MAX_TOXIC,
         return none
     best = usable[np.argsort(-np.abs(share / spread)[usable], kind="stable")[:vocabulary]]
     chosen = np.unique(np.concatenate([every[best], *map(_hashes, IDENTITY_TERMS)]))
+    del every, pos, neg, share, spread, usable
 
     def matrix(of: list[np.ndarray]) -> np.ndarray:
         x = np.zeros((len(of), len(chosen)), np.float32)
@@ -128,14 +132,18 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, max_toxic: int = MAX_TOXIC,
         return x
 
     x = matrix(bags)
-    swaps = []
+    del bags
+    swaps, often = [], []
     for terms in IDENTITY_TERMS:  # in each text that names a group, each named term for the next one
         at = np.searchsorted(chosen, _hashes(terms))
         for j, k, term, other in zip(at, np.roll(at, -1), terms, (*terms[1:], terms[0])):
             change = np.isin(chosen, _hashes((term,), HEADS)).astype(np.float32) - np.isin(chosen, _hashes((other,), HEADS))
-            swaps += [change] * min(200, int((x[:, j] > x[:, k]).sum()))
+            swaps.append(change)
+            often.append(float((x[:, j] > x[:, k]).sum()))
+    often = np.array(often, np.float32)
+    pairs = np.array(swaps) * np.sqrt(often * len(often) / max(float(often.sum()), 1.0))[:, None]  # a mean over all swaps
     weight = np.where(y == 1, 0.5 / n1, 0.5 / n0)[:, None]
-    theta, bias = fit_logistic(x, y[:, None], weight, L2, np.array(swaps) if swaps else None, FAIRNESS)
+    theta, bias = fit_logistic(x, y[:, None], weight, L2, pairs, FAIRNESS)
     return ToxicityModel(chosen, theta[:, 0], float(bias[0]))
 
 
