@@ -70,16 +70,23 @@ def _cosine(asked: np.ndarray, held: np.ndarray) -> np.ndarray:
     return dots / (np.sqrt((asked * asked).sum(axis=1))[:, None] * np.sqrt((held * held).sum(axis=1)))
 
 
-def _top(scores: np.ndarray, asked: np.ndarray, held: np.ndarray, n: int) -> pd.DataFrame:
-    """The n best candidates of each row of scores, ties to the smaller id."""
-    by_id = np.argsort(held, kind="stable")
-    scores, held = scores[:, by_id], held[by_id]
+def _top(asked: np.ndarray, asked_ids: np.ndarray, held: np.ndarray, held_ids: np.ndarray, n: int) -> pd.DataFrame:
+    """The n best candidates of each asked vector, ties to the smaller id.
+
+    Products of blocks differ in their last bits with the shape of the block, so they only choose who is near
+    enough; the score of a pair is summed from its own two rows and is the same in every block.
+    """
+    scores = _cosine(asked, held)
     if scores.shape[1] > n:
-        least = -np.partition(-scores, n - 1, axis=1)[:, n - 1]
+        least = -np.partition(-scores, n - 1, axis=1)[:, n - 1] - 1e-12
     else:
         least = np.full(len(scores), -np.inf)
     row, col = np.nonzero(scores >= least[:, None])
-    got = pd.DataFrame({"rep": asked[row], "cand": held[col], "score": scores[row, col]})
+    own = np.empty(len(row))
+    for i in range(0, len(row), 1 << 16):  # many more than n where near copies tie
+        x, y = asked[row[i : i + (1 << 16)]], held[col[i : i + (1 << 16)]]
+        own[i : i + (1 << 16)] = (x * y).sum(axis=1) / (np.sqrt((x * x).sum(axis=1)) * np.sqrt((y * y).sum(axis=1)))
+    got = pd.DataFrame({"rep": asked_ids[row], "cand": held_ids[col], "score": own})
     return got.sort_values(["rep", "score", "cand"], ascending=[True, False, True]).groupby("rep").head(n)
 
 
@@ -95,7 +102,7 @@ def _true_neighbours(reps: DataFrame, sample: int, k: int) -> DataFrame:
     def scan(frames):
         for f in frames:
             if len(f):
-                yield _top(_cosine(asked, stack(f["vector"])), ids, f["rep"].to_numpy(), k + 1)
+                yield _top(asked, ids, stack(f["vector"]), f["rep"].to_numpy(), k + 1)
 
     return settle(best_of(reps.select("rep", "vector").mapInPandas(scan, _FOUND), k))
 
@@ -138,7 +145,7 @@ def nearest(embeddings: DataFrame, k: int = 5, every: int = 50, id_col: str = "v
             return pd.DataFrame({"rep": [], "cand": [], "score": []}).astype({"rep": "int64", "cand": "int64", "score": "float64"})
         q = q.sort_values("rep")
         x, held_ids = stack(h["vector"]), h["rep"].to_numpy()
-        parts = [_top(_cosine(stack(p["vector"]), x), p["rep"].to_numpy(), held_ids, k + 1) for p in (q.iloc[i : i + 512] for i in range(0, len(q), 512))]
+        parts = [_top(stack(p["vector"]), p["rep"].to_numpy(), x, held_ids, k + 1) for p in (q.iloc[i : i + 512] for i in range(0, len(q), 512))]
         return pd.concat(parts)
 
     found = held.groupBy("ordering", "block").cogroup(asked.groupBy("ordering", "block")).applyInPandas(rerank, _FOUND)

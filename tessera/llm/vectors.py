@@ -41,9 +41,9 @@ class Distinct:
 
 
 def best_of(found: DataFrame, k: int) -> DataFrame:
-    """The k + 1 best distinct candidates of each representative."""
+    """The k + 1 best distinct candidates of each representative; a pair found several times has its best score."""
     place = F.row_number().over(W.partitionBy("rep").orderBy(F.desc("score"), "cand"))
-    return found.distinct().withColumn("_at", place).where(F.col("_at") <= k + 1).drop("_at")
+    return found.groupBy("rep", "cand").agg(F.max("score").alias("score")).withColumn("_at", place).where(F.col("_at") <= k + 1).drop("_at")
 
 
 def ranked(df: DataFrame, group: str, *order: str) -> DataFrame:

@@ -85,6 +85,25 @@ def test_curve_search_recall(spark, shape):
     assert [r.vec_id for r in got if r.query_id == 0] == [3000, 3001, 3002, 3003, 3004]
 
 
+def test_curve_search_names_a_pair_once_over_several_blocks(spark, monkeypatch):
+    monkeypatch.setattr(curve_ann, "BLOCK", 700)
+    rng = np.random.default_rng(6)
+    x = np.repeat(rng.normal(size=(250, 64)), 20, axis=0) + 0.05 * rng.normal(size=(5000, 64))
+    rows = [(i, v.astype(np.float32).tolist()) for i, v in enumerate(x)]
+    got = {}
+    for r in curve_ann.nearest(spark.createDataFrame(rows, VECTORS), every=10).collect():
+        got.setdefault(r.query_id, {})[r["rank"]] = r.vec_id
+    v = np.array([r[1] for r in rows], np.float64)
+    v /= np.sqrt((v * v).sum(1))[:, None]
+    hit = 0
+    for q in range(0, 5000, 10):
+        assert sorted(got[q]) == [1, 2, 3, 4, 5] and len(set(got[q].values())) == 5 and q not in got[q].values()
+        sims = v @ v[q]
+        sims[q] = -2
+        hit += len(set(np.argsort(-sims)[:5].tolist()) & set(got[q].values()))
+    assert hit >= 0.9 * 2500
+
+
 def test_vector_searches_on_nothing(spark):
     empty = spark.createDataFrame([], VECTORS)
     assert curve_ann.nearest(empty).count() == 0 and pivot_topk.top_products(empty).count() == 0
