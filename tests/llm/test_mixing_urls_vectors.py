@@ -162,3 +162,32 @@ def test_mixing_cases(spark):
     assert got.where("doc_id = 5000").first()._source == "unknown"
     assert got.count() == 2002 and mixing.mix_sources(docs.limit(0)).count() == 0
     assert mixing.token_counts(pa.array(["a  b\tc\n", "", None, " x", "a\u00a0b"])).tolist() == [3, 0, 0, 1, 1]
+
+
+def test_an_odd_cell_does_not_decide_how_much_stays(spark):
+    rows = [(i, "w " * 50, "en", "a" if i % 10 else "b") for i in range(4000)]
+    odd = [(9000, "w " * 5, "es", "new")]
+    for some in (rows, rows + odd):
+        got = mixing.mix_sources(spark.createDataFrame(some, "doc_id long, text string, lang string, source string")).collect()
+        size = lambda r: len(r.text.split())
+        whole = sum(map(size, got))
+        assert math.isclose(sum(size(r) * r.probability for r in got), mixing.TOKEN_BUDGET * whole, rel_tol=1e-6)
+        assert abs(sum(size(r) for r in got if r.kept) / whole - mixing.TOKEN_BUDGET) < 0.03
+        assert all(r.kept for r in got if r.source in ("b", "new"))  # less than their share: whole
+
+
+def test_full_cells_leave_their_mass_to_the_others(spark):
+    rng = np.random.default_rng(8)
+    n = rng.integers(1, 400, (5, 3, 2)).astype(float)
+    n[0, 0, 0], n[3] = 9000, n[3] / 30
+    rows = [(f"s{a}", f"l{b}", f"t{c}", int(n[a, b, c]) + 1) for a in range(5) for b in range(3) for c in range(2)]
+    cells = spark.createDataFrame(rows, "_source string, _lang string, _topic string, _tokens long")
+    held = {r[:3]: r[3] / sum(x[3] for x in rows) / 0.4 for r in rows}
+    got = {tuple(r[:3]): r.weight for r in mixing.rake(cells, budget=0.4).collect()}
+    assert math.isclose(sum(got.values()), 1, abs_tol=1e-9) and all(got[k] <= held[k] + 1e-12 for k in held)
+    root = {f"s{a}": math.sqrt(sum(r[3] for r in rows if r[0] == f"s{a}")) for a in range(5)}
+    margin = {s: sum(v for k, v in got.items() if k[0] == s) for s in root}
+    supply = {s: sum(v for k, v in held.items() if k[0] == s) for s in root}
+    assert math.isclose(margin["s3"], supply["s3"], abs_tol=1e-5)
+    rest = [margin[s] / root[s] for s in root if supply[s] - margin[s] > 1e-4]
+    assert len(rest) >= 2 and max(rest) - min(rest) < 1e-4 * max(rest)
