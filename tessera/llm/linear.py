@@ -9,8 +9,37 @@ def sigmoid(z: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(z, -40, 40)))
 
 
+class Marked:
+    """Rows of a 0/1 matrix, each as the sorted places of its ones: what ``x @ v`` and ``x.T @ v`` need, and no more.
+
+    A row has at most one place for each column, so rows times columns bound the memory (two bytes each).
+    """
+
+    def __init__(self, rows: list[np.ndarray], columns: int, turned: bool = False):
+        self.shape = (len(rows), columns)
+        self.places = np.concatenate([np.zeros(0, np.uint16), *rows]).astype(np.uint16)
+        self.counts = np.array([len(r) for r in rows], np.int64)
+        self.turned = turned
+
+    @property
+    def T(self) -> Marked:
+        other = object.__new__(Marked)
+        other.shape, other.places, other.counts, other.turned = self.shape[::-1], self.places, self.counts, not self.turned
+        return other
+
+    def __matmul__(self, v: np.ndarray) -> np.ndarray:
+        if v.ndim == 2:
+            return np.stack([self @ column for column in v.T], axis=1)
+        if self.turned:
+            return np.bincount(self.places, np.repeat(v, self.counts), self.shape[0]).astype(np.float32)
+        sums = np.zeros(len(self.places) + 1)
+        np.cumsum(v[self.places], out=sums[1:])
+        ends = np.cumsum(self.counts)
+        return (sums[ends] - sums[ends - self.counts]).astype(np.float32)
+
+
 def fit_logistic(
-    x: np.ndarray, y: np.ndarray, weight: np.ndarray, l2: float, pairs: np.ndarray | None = None, fairness: float = 0.0, steps: int = 200
+    x: np.ndarray | Marked, y: np.ndarray, weight: np.ndarray, l2: float, pairs: np.ndarray | None = None, fairness: float = 0.0, steps: int = 200
 ) -> tuple[np.ndarray, np.ndarray]:
     """Coefficients and intercepts, a column for each column of the 0/1 targets ``y``.
 

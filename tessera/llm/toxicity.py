@@ -3,7 +3,7 @@
 Features are the distinct lower-cased words of a text and their first four and five bytes, as hashes; a word
 is a run of ASCII letters and non-ASCII bytes. The vocabulary is the features that tell the classes apart best. A logistic model is fitted
 with a penalty on the change of its score when an identity term in a labelled text is swapped for another
-term of its language, so that naming a group does not move the score by itself.
+term of its language (any of them), so that naming a group does not move the score by itself.
 
 The model is fitted on at most ``max_toxic`` and ``max_clean`` labelled rows, those with the smallest hash of
 doc_id; every text is scored whole.
@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import settle, utf8_slices
-from .linear import fit_logistic, sigmoid
+from .linear import Marked, fit_logistic, sigmoid
 from .words import LOWER, mix, words
 
 #: Identity terms, by language.
@@ -81,84 +81,108 @@ class ToxicityModel:
         return out
 
 
-def _collect(rows: DataFrame) -> tuple[list[np.ndarray], np.ndarray]:
-    """Distinct word hashes and label of each row of a bounded sample."""
+def _features(rows: DataFrame) -> DataFrame:
+    """(code, toxic, n): in how many rows of a class a feature occurs, combined within runs of rows."""
 
-    def distinct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            toxic = batch["toxic"].to_numpy(zero_copy_only=False)
+            for first, last, row, code in _word_rows(batch["text"]):
+                order = np.lexsort((row, code))
+                row, code = row[order], code[order]
+                once = np.ones(len(row), bool)
+                once[1:] = (row[1:] != row[:-1]) | (code[1:] != code[:-1])
+                row, code = row[once], code[once]
+                edge = np.flatnonzero(np.r_[True, code[1:] != code[:-1]][: len(code)])
+                if len(edge):
+                    side = toxic[first + row].astype(np.int64)
+                    pos, every = np.add.reduceat(side, edge), np.diff(np.r_[edge, len(code)])
+                    yield pa.RecordBatch.from_arrays([pa.array(code[edge].view(np.int64)), pa.array(pos), pa.array(every - pos)], ["code", "pos", "neg"])
+
+    counted = rows.select("text", "toxic").mapInArrow(count, "code long, pos long, neg long")
+    return counted.groupBy("code").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
+
+
+def _marked(rows: DataFrame, chosen: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
+    """Of each row of a bounded sample the places of its features in the vocabulary, and its label."""
+    shared = rows.sparkSession.sparkContext.broadcast(chosen)
+
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = shared.value
         for batch in batches:
             bags: list[bytes] = []
             for first, last, row, code in _word_rows(batch["text"]):
-                in_order = np.argsort(row, kind="stable")
-                row, code = row[in_order], code[in_order]
-                cuts = np.searchsorted(row, np.arange(last - first + 1))
-                bags += [np.unique(code[a:b]).tobytes() for a, b in zip(cuts, cuts[1:])]
+                at = np.minimum(np.searchsorted(known, code), len(known) - 1)
+                hit = known[at] == code
+                seen = np.unique(row[hit] * len(known) + at[hit])
+                cuts = np.searchsorted(seen, np.arange(last - first + 1) * len(known))
+                place = (seen % len(known)).astype(np.uint16)
+                bags += [place[a:b].tobytes() for a, b in zip(cuts, cuts[1:])]
             yield pa.RecordBatch.from_arrays([pa.array(bags, pa.binary()), batch["toxic"].cast(pa.int32())], ["bag", "toxic"])
 
-    got = rows.select("text", "toxic").mapInArrow(distinct, "bag binary, toxic int").toArrow()
-    bags = [np.frombuffer(b.as_buffer(), np.uint64) for chunk in got["bag"].chunks for b in chunk]
+    got = rows.select("text", "toxic").mapInArrow(find, "bag binary, toxic int").toArrow()
+    bags = [np.frombuffer(b.as_buffer(), np.uint16) for chunk in got["bag"].chunks for b in chunk]
     return bags, got["toxic"].to_numpy().astype(np.float32)
 
 
-def fit_toxicity(docs: DataFrame, labels: DataFrame, max_toxic: int = MAX_TOXIC, max_clean: int = MAX_CLEAN, vocabulary: int = VOCABULARY) -> ToxicityModel:
-    """docs: doc_id and text; labels: doc_id and toxic (1 or 0)."""
+def fit_toxicity(
+    docs: DataFrame, labels: DataFrame, max_toxic: int = MAX_TOXIC, max_clean: int = MAX_CLEAN, vocabulary: int = VOCABULARY, fairness: float = FAIRNESS
+) -> ToxicityModel:
+    """docs: doc_id and text; labels: doc_id and toxic (1 or 0).
+
+    Features are counted in Spark; the driver gets the vocabulary and, of each sampled row, at most one place
+    (two bytes) for each of its entries, however long the text.
+    """
     order = F.xxhash64(F.lit(1), "doc_id")
     sides = [labels.where(f"toxic = {v}").select("doc_id", "toxic").orderBy(order, "doc_id").limit(n) for v, n in ((1, max_toxic), (0, max_clean))]
     sample = settle(sides[0].unionByName(sides[1]))  # its size is bounded, so it can be broadcast
-    bags, y = _collect(docs.where("text is not null").join(F.broadcast(sample), "doc_id"))
+    rows = settle(docs.where("text is not null").select("doc_id", "text").join(F.broadcast(sample), "doc_id").select("text", "toxic"))
+    sizes = dict(rows.groupBy("toxic").count().collect())
     none = ToxicityModel(np.zeros(0, np.uint64), np.zeros(0), None)
-    if not len(y) or y.min() == y.max():
+    n1, n0 = sizes.get(1, 0), sizes.get(0, 0)
+    if not n1 or not n0:
         return none
-    by_hash = [int(b.sum(dtype=np.uint64)) for b in bags]  # rows arrive in any order
-    order_in = sorted(range(len(bags)), key=lambda i: (y[i], by_hash[i], len(bags[i])))
-    bags, y = [bags[i] for i in order_in], y[order_in]
-    sides = [np.sort(np.concatenate([b for b, v in zip(bags, y) if v == side])) for side in (1, 0)]
-    every = np.unique(np.concatenate([side[np.r_[True, side[1:] != side[:-1]]] for side in sides]))
-    pos, neg = (np.searchsorted(side, every, "right") - np.searchsorted(side, every) for side in sides)
-    del sides
-    n1, n0 = y.sum(), (1 - y).sum()
-    share = (pos + 0.5) / (n1 + 1) - (neg + 0.5) / (n0 + 1)
-    spread = np.sqrt((pos + neg + 1) / len(y) * (1 / n1 + 1 / n0))
-    usable = np.flatnonzero(pos + neg >= 5)
-    if not len(usable):
+    often = F.col("pos") + F.col("neg")
+    share = (F.col("pos") + 0.5) / (n1 + 1) - (F.col("neg") + 0.5) / (n0 + 1)
+    spread = F.sqrt((often + 1) / (n1 + n0) * (1 / n1 + 1 / n0))
+    best = _features(rows).where(often >= 5).orderBy(F.desc(F.abs(share / spread)), "code").limit(vocabulary).select("code").toArrow()
+    if not best.num_rows:
         return none
-    best = usable[np.argsort(-np.abs(share / spread)[usable], kind="stable")[:vocabulary]]
-    chosen = np.unique(np.concatenate([every[best], *map(_hashes, IDENTITY_TERMS)]))
-    del every, pos, neg, share, spread, usable
-
-    def matrix(of: list[np.ndarray]) -> np.ndarray:
-        x = np.zeros((len(of), len(chosen)), np.float32)
-        for i, bag in enumerate(of):
-            x[i, np.flatnonzero(np.isin(chosen, bag, assume_unique=True))] = 1
-        return x
-
-    x = matrix(bags)
-    del bags
-    swaps, often = [], []
-    for terms in IDENTITY_TERMS:  # in each text that names a group, each named term for the next one
-        at = np.searchsorted(chosen, _hashes(terms))
-        for j, k, term, other in zip(at, np.roll(at, -1), terms, (*terms[1:], terms[0])):
-            change = np.isin(chosen, _hashes((term,), HEADS)).astype(np.float32) - np.isin(chosen, _hashes((other,), HEADS))
-            swaps.append(change)
-            often.append(float((x[:, j] > x[:, k]).sum()))
+    best = best["code"].to_numpy().astype(np.int64).view(np.uint64)
+    chosen = np.unique(np.concatenate([best, *map(_hashes, IDENTITY_TERMS)]))
+    bags, y = _marked(rows, chosen)
+    in_order = sorted(range(len(bags)), key=lambda i: (y[i], bags[i].tobytes()))  # rows arrive in any order
+    bags, y = [bags[i] for i in in_order], y[in_order]
+    held = np.zeros((len(bags), sum(map(len, IDENTITY_TERMS))), bool)
+    named = [np.searchsorted(chosen, _hashes(terms)) for terms in IDENTITY_TERMS]
+    for i, bag in enumerate(bags):
+        held[i] = np.isin(np.concatenate(named), bag)
+    swaps, often, base = [], [], 0
+    for terms in IDENTITY_TERMS:  # in each text that names a group, each named term for every other one
+        marks = [np.isin(chosen, _hashes((term,), HEADS)).astype(np.float32) for term in terms]
+        for j in range(len(terms)):
+            for k in range(len(terms)):
+                if k != j:
+                    swaps.append(marks[j] - marks[k])
+                    often.append(float((held[:, base + j] & ~held[:, base + k]).sum()) / (len(terms) - 1))
+        base += len(terms)
     often = np.array(often, np.float32)
     pairs = np.array(swaps) * np.sqrt(often * len(often) / max(float(often.sum()), 1.0))[:, None]  # a mean over all swaps
     weight = np.where(y == 1, 0.5 / n1, 0.5 / n0)[:, None]
-    theta, bias = fit_logistic(x, y[:, None], weight, L2, pairs, FAIRNESS)
+    theta, bias = fit_logistic(Marked(bags, len(chosen)), y[:, None], weight, L2, pairs, fairness)
     return ToxicityModel(chosen, theta[:, 0], float(bias[0]))
 
 
 def score_toxicity(docs: DataFrame, model: ToxicityModel, drop_from: float | None = None) -> DataFrame:
-    """``docs`` with ``score``; with ``drop_from``, only those that score less."""
-    docs = docs.drop("score")
+    """``docs`` with ``score``, in place of a column of that name; with ``drop_from``, only those that score less."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            score = shared.value.score(batch["text"])
-            out = pa.RecordBatch.from_arrays([*batch.columns, pa.array(score)], [*batch.schema.names, "score"])
-            yield out if drop_from is None else out.filter(pa.array(score < drop_from))
+    @F.arrow_udf(T.DoubleType())
+    def score(text: pa.Array) -> pa.Array:
+        return pa.array(shared.value.score(text))
 
-    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField("score", T.DoubleType())]))
+    scored = docs.withColumn("score", score(F.col("text").cast("string")))
+    return scored if drop_from is None else scored.where(F.col("score") < drop_from)
 
 
 def toxicity_scores(docs: DataFrame, model: ToxicityModel, keys: tuple[str, ...] = ("doc_id",)) -> DataFrame:

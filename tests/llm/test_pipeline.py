@@ -21,7 +21,7 @@ def test_rows_of_the_pipeline(spark):
     assert len(rows) < docs.count()
     cut = _patience_text([(r.doc_id, r.text) for r in rows])
     rows = [(r.doc_id, cut[r.doc_id], r.lang, r.source) for r in rows if cut[r.doc_id] == r.text or cut[r.doc_id].strip(" ")]
-    near = _components([r[:2] for r in rows])
+    near = _components([r[:2] for r in rows], k=5, percent=80)
     rows = [r for r in rows if near[r[0]][1] == r[0]]
     left = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
     kept = {r.doc_id for r in mixing.mix_sources(left).where("kept").collect()}

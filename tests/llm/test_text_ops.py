@@ -4,6 +4,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from tessera.llm import langid, line_dedup, ngram_join, queries, toxicity, words
@@ -35,8 +36,8 @@ def _shingles(text, k=4):
     return {tuple(ws[i : i + k]) for i in range(len(ws) - k + 1)} or ({tuple(ws)} if ws else set())
 
 
-def _components(docs):
-    sets = {i: _shingles(t) for i, t in docs}
+def _components(docs, k=4, percent=85):
+    sets = {i: _shingles(t, k) for i, t in docs}
     parent = {i: i for i in sets}
 
     def root(i):
@@ -52,7 +53,7 @@ def _components(docs):
     pairs = {(g[a], g[b]) for g in holders.values() for a in range(len(g)) for b in range(a + 1, len(g))}
     for i, j in pairs:
         both = len(sets[i] & sets[j])
-        if 100 * both >= 85 * (len(sets[i]) + len(sets[j]) - both):
+        if 100 * both >= percent * (len(sets[i]) + len(sets[j]) - both):
             a, b = root(i), root(j)
             parent[max(a, b)] = min(a, b)
     return {i: (len(sets[i]), root(i)) for i in ids}
@@ -153,25 +154,32 @@ def test_toxicity_on_held_out_rows(spark):
     assert all(0 <= r.score <= 1 for r in got)
 
 
-def test_toxicity_does_not_move_with_the_group_named(spark):
-    rows, labels = [], []
-    for i in range(400):
-        toxic, group = i % 2, ("muslim" if i % 4 < 3 else "christian")  # toxic rows name one group more often
-        rows.append((i, f"the {group if toxic or i % 8 == 0 else 'quiet'} neighbour {'is a moron' if toxic else 'waters plants'} n{i % 7}"))
-        labels.append((i, toxic))
-    docs, marks = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int")
-    plain = toxicity.FAIRNESS
-    try:
-        toxicity.FAIRNESS = 0.0
-        before = toxicity.fit_toxicity(docs, marks)
-    finally:
-        toxicity.FAIRNESS = plain
-    after = toxicity.fit_toxicity(docs, marks)
-    at = np.searchsorted(after.vocabulary, toxicity._hashes(("muslim", "christian")))
-    assert abs(np.subtract(*after.theta[at])) < 0.5 * abs(np.subtract(*before.theta[at])) + 1e-9
-    import pyarrow as pa
-
-    assert (after.score(pa.array(["what a moron is this neighbour", "waters plants"])) >= 0.5).tolist() == [True, False]
+def _groups(n, seed=0):
+    """Toxic sentences name some groups more often than clean ones do."""
+    rng = np.random.default_rng(seed)
+    named, other = ("muslim", "gay", "immigrant"), ("christian", "straight", "elderly", "quiet", "tall")
+    rows = []
+    for i in range(n):
+        toxic = i % 2
+        group = (named if rng.random() < (0.85 if toxic else 0.1) else other)[int(rng.integers(3))]
+        said = ("is a moron", "should shut up", "is pure filth")[int(rng.integers(3))] if toxic and rng.random() < 0.6 else ("waters plants", "reads the news", "fixed the gate")[int(rng.integers(3))]
+        rows.append((i, f"the {group} neighbour {said} on day n{int(rng.integers(9))}", toxic))
+    return rows
+
+
+def test_swap_penalty_spares_neutral_sentences_that_name_a_group(spark):
+    rows = _groups(1200)
+    docs, marks = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string"), spark.createDataFrame([(r[0], r[2]) for r in rows], "doc_id long, toxic int")
+    before, after = (toxicity.fit_toxicity(docs, marks, fairness=f) for f in (0.0, toxicity.FAIRNESS))
+    fresh = _groups(1200, seed=1)
+    neutral = pa.array([t for _, t, toxic in fresh if not toxic and any(g in t for g in ("muslim", "gay", "immigrant"))])
+    assert len(neutral) > 20
+    wrong = [float((m.score(neutral) >= 0.5).mean()) for m in (before, after)]
+    assert wrong[1] < 0.5 * wrong[0] and wrong[1] < 0.1
+    swapped = [np.abs(np.subtract(*(m.score(pa.array([f"the {g} neighbour waters plants"]))[0] for g in ("muslim", "christian")))) for m in (before, after)]
+    assert swapped[1] < 0.5 * swapped[0]
+    insults = pa.array([t for _, t, toxic in fresh if toxic and any(x in t for x in ("moron", "shut up", "filth"))])
+    assert (after.score(insults) >= 0.5).mean() > 0.9
 
 
 def test_toxicity_cases(spark):
@@ -179,6 +187,14 @@ def test_toxicity_cases(spark):
     none = toxicity.fit_toxicity(docs, spark.createDataFrame([], "doc_id long, toxic int"))
     assert [r.score for r in toxicity.score_toxicity(docs, none).collect()] == [0.0] * 3
     assert toxicity.score_toxicity(_docs(spark, []), none).count() == 0
+    rows = _groups(300)
+    marks = spark.createDataFrame([(r[0], r[2]) for r in rows] + [(0, None), (None, 1), (10**6, 1)], "doc_id long, toxic int")
+    model = toxicity.fit_toxicity(spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string"), marks)
+    odd = [(1, "you moron " * 200000, "old", "a"), (1, "you moron", "old", "b"), (1, "you moron", "old", "b"), (None, None, None, None)]
+    odd = spark.createDataFrame(odd, "doc_id long, text string, score string, predicted string")
+    got = toxicity.score_toxicity(odd, model).collect()
+    assert got[0].score == got[1].score == got[2].score >= 0.5 and got[3].predicted is None and len(got) == 4
+    assert toxicity.score_toxicity(odd, model, drop_from=0.5).count() == int(got[3].score < 0.5)
 
 
 def test_language_on_held_out_rows(spark):
