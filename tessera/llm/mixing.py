@@ -2,29 +2,33 @@
 
 Token counts are summed into cells of source, language and topic. The cells' weights are raked to the
 marginals of each dimension in turn until none is off by more than ``tolerance``; a document is then kept
-with the probability of its cell. A budget says which share of the tokens is kept: a cell (or value) that has
-less than its part of it is kept whole, and what it leaves is raked over the others, so no odd cell decides how
-much of the corpus stays. The draw is a hash of doc_id, so it is the same on every run and cluster.
+with the probability of its cell. A budget says which share of the tokens is kept: a cell that has less than
+its part of it is kept whole (probability 1), and what it leaves goes to the others in proportion to their
+weights, so no odd cell decides how much of the corpus stays. The draw is a hash of doc_id, so it is the same
+on every run and cluster.
 
-The table of cells is Spark's throughout: each sweep is a window over each dimension, so many sources
-are no burden on the driver, and lineage is cut after each sweep; the fit is checked every few sweeps.
+The table of cells is Spark's throughout: each step of a sweep is an aggregate per value of a dimension and a
+join back, so many sources are no burden on the driver and few topics no bottleneck; lineage is cut after
+each sweep.
 
 Defined cases: a null source, language or topic is the value ``unknown``; a null or empty text counts no
 token, belongs to its cell and is drawn by the cell's probability; a target for a value that the corpus
 lacks is left out and the rest rescaled; a value without a target has the target 0 and is not kept; without
 targets for a dimension, values get the root of their present share (rescaled); without any targets the budget
-is ``TOKEN_BUDGET``; with targets and no budget as much is kept as meets the targets exactly; repeated ids share their
-draw; empty input gives empty output; further columns are kept, but for weight and probability.
+is ``TOKEN_BUDGET``; with targets and no budget as much is kept as meets the targets exactly; targets that no
+weights can meet leave a gap, which is returned and warned of; repeated ids share their draw and a null id is
+never kept; empty input gives empty output; further columns are kept, but for weight, probability, kept and the
+cell's three (``_source``, ``_lang``, ``_topic``), which are replaced.
 """
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Iterator, Mapping
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import settle, utf8_slices
@@ -64,10 +68,15 @@ def token_counts(text: pa.Array) -> np.ndarray:
     return out
 
 
-def with_cells(docs: DataFrame) -> DataFrame:
-    """Add the cell of each document, under names that start with an underscore."""
-    known = {f"_{d}": F.coalesce(F.col(d), F.lit("unknown")) for d in ("source", "lang")}
-    return docs.withColumns(known | {"_topic": topic_of(F.col("text"))})
+def with_cells(docs: DataFrame, topic: Column | None = None) -> DataFrame:
+    """Add the cell of each document, under names that start with an underscore.
+
+    The topic is the given one, else the input's own column ``topic``, else that of TOPIC_PHRASES.
+    """
+    if topic is None:
+        topic = F.col("topic") if "topic" in docs.columns else topic_of(F.col("text"))
+    known = {"source": F.col("source"), "lang": F.col("lang"), "topic": topic}
+    return docs.withColumns({f"_{d}": F.coalesce(c.cast("string"), F.lit("unknown")) for d, c in known.items()})
 
 
 def cell_tokens(dealt: DataFrame) -> DataFrame:
@@ -94,95 +103,73 @@ def _targets(cells: DataFrame, dim: str, given: Mapping[str, float] | None) -> D
     return raw.withColumn("all_shares", total.scalar()).select(f"_{dim}", (F.col("share") / F.col("all_shares")).alias(f"share_{dim}"))
 
 
-def _held(fitted: DataFrame) -> DataFrame:
-    """Per value of each dimension (dim, value) its ``share`` and its cells' ``supply``."""
-    values = [fitted.groupBy(F.lit(d).alias("dim"), F.col(f"_{d}").alias("value")).agg(F.max(f"share_{d}").alias("share"), F.sum("cap").alias("supply")) for d in DIMENSIONS]
-    return values[0].unionByName(values[1]).unionByName(values[2])
-
-
-def _rising_level(table: DataFrame, part: str, supply: str, group: str, names: tuple[str, ...]) -> dict[str, float]:
-    """For each group the level at which its least(level * part, supply) sum to 1, or all supply is used.
+def _level(cells: DataFrame) -> float:
+    """The level at which least(level * part, supply) of the cells sum to 1, or all supply is used.
 
     The sum is concave in the level and made of straight pieces, so steps of Newton's method from below end on it.
     """
-    level, wanted = dict.fromkeys(names, 0.0), True
-    while wanted:
-        at = F.coalesce(*[F.when(F.col(group) == n, x) for n, x in level.items()], F.lit(0.0)) * F.col(part)
-        full = at >= F.col(supply)
-        sums = table.groupBy(group).agg(F.sum(F.when(full, F.col(supply)).otherwise(at)).alias("got"), F.sum(F.when(full, 0.0).otherwise(F.col(part))).alias("open")).collect()
-        wanted = False
-        for r in sums:
-            if r["open"] > 0 and 1 - r["got"] > 1e-12:
-                level[r[group]] += (1 - r["got"]) / r["open"]
-                wanted = True
-    return level
-
-
-def rake(
-    cells: DataFrame,
-    targets: Mapping[str, Mapping[str, float]] | None = None,
-    tolerance: float = 1e-6,
-    max_sweeps: int = 100,
-    sweeps_per_job: int = 5,
-    budget: float | None = None,
-) -> DataFrame:
-    """Cells (_source, _lang, _topic, _tokens) with ``weight``, their raked share of the kept tokens.
+    level = 0.0
+    while True:
+        at = F.col("weight") * level
+        full = at >= F.col("supply")
+        got, left = cells.agg(F.sum(F.when(full, F.col("supply")).otherwise(at)), F.sum(F.when(full, 0.0).otherwise(F.col("weight")))).first()
+        if not left or 1 - got <= 1e-12:
+            return level
+        level += (1 - got) / left
+
 
-    With a budget (a share of the tokens that have targets) no cell's weight passes what it holds. Marginals
-    can conflict with cells that are empty or full; then the fit after ``max_sweeps`` is returned.
+def rake(cells: DataFrame, targets: Mapping[str, Mapping[str, float]] | None = None, tolerance: float = 1e-6, max_sweeps: int = 100) -> DataFrame:
+    """Cells (_source, _lang, _topic, _tokens) with ``weight``, their raked share of the tokens, and ``gap``.
+
+    The gap is by how much the worst marginal is off. Empty cells can make targets conflict; then the fit after
+    ``max_sweeps`` is returned, with its gap.
     """
     targets = targets or {}
     fitted = cells.where("_tokens > 0").withColumn("weight", F.col("_tokens").cast("double"))
     for d in DIMENSIONS:
         fitted = fitted.join(_targets(cells, d, targets.get(d)), f"_{d}")
     total = fitted.agg(F.sum("weight").alias("whole"))
-    fitted = fitted.withColumn("weight", F.col("weight") / total.scalar())
-    fitted = settle(fitted.withColumn("cap", F.lit(float("inf")) if budget is None else F.col("weight") / min(budget, 1.0)))
-    if budget is not None:  # a value that has less than its share gives all it has, the others more
-        held = settle(_held(fitted))
-        level = _rising_level(held, "share", "supply", "dim", DIMENSIONS)
+    fitted = settle(fitted.withColumn("weight", F.col("weight") / total.scalar()))
+    columns, gap = fitted.columns, 0.0
+    for _ in range(max_sweeps):
         for d in DIMENSIONS:
-            supply = held.where(F.col("dim") == d).select(F.col("value").alias(f"_{d}"), F.least(F.col("share") * level[d], "supply").alias(f"share_{d}"))
-            fitted = fitted.drop(f"share_{d}").join(supply, f"_{d}")
-        fitted = settle(fitted)
-    full, used, done = F.col("weight") >= F.col("cap"), F.least("weight", "cap"), 0
-    while done < max_sweeps:
-        for _ in range(sweeps_per_job):
-            for d in DIMENSIONS:
-                by, share = W.partitionBy(f"_{d}"), F.col(f"share_{d}")
-                margin, still = F.sum(used).over(by), F.sum(F.when(full, 0.0).otherwise(F.col("weight"))).over(by)
-                grow = F.when(margin < share, 1 + F.coalesce(F.try_divide(share - margin, still), F.lit(0.0))).otherwise(F.try_divide(share, margin))
-                fitted = fitted.withColumn("weight", F.least(F.col("weight") * grow, F.col("cap") * 1e9))
-            fitted = settle(fitted.select(cells.columns + ["weight", "cap"] + [f"share_{d}" for d in DIMENSIONS]))  # plans of several sweeps take far longer
-        done += sweeps_per_job
-        gaps = [F.abs(F.sum(used).over(W.partitionBy(f"_{d}")) - F.col(f"share_{d}")) for d in DIMENSIONS]
-        off = fitted.select(F.greatest(*gaps).alias("gap")).agg(F.max("gap")).first()[0] or 0.0
-        if off <= tolerance:
+            margin = fitted.groupBy(f"_{d}").agg(F.sum("weight").alias("margin"))
+            fitted = fitted.join(margin, f"_{d}").withColumn("weight", F.col("weight") * F.try_divide(F.col(f"share_{d}"), F.col("margin"))).select(columns)
+        fitted = settle(fitted)  # plans of several sweeps take far longer
+        margins = [fitted.groupBy(f"_{d}").agg(F.abs(F.sum("weight") - F.max(f"share_{d}")).alias("off")).agg(F.max("off").alias("off")) for d in DIMENSIONS[:-1]]
+        gap = margins[0].unionByName(margins[1]).agg(F.max("off")).first()[0] or 0.0  # the last dimension was met just now
+        if gap <= tolerance:
             break
-    if budget is not None:  # the whole budget is kept also where marginals conflict
-        level = _rising_level(fitted.withColumn("all", F.lit("all")), "weight", "cap", "all", ("all",))
-        fitted = fitted.withColumn("weight", F.least(F.col("weight") * level["all"], "cap"))
-    return fitted.select([f"_{d}" for d in DIMENSIONS] + ["weight"])
+    return fitted.select([f"_{d}" for d in DIMENSIONS] + ["weight", F.lit(gap).alias("gap")])
 
 
-def mix_sources(docs: DataFrame, targets: Mapping[str, Mapping[str, float]] | None = None, seed: int = 17, budget: float | None = None, **rake_options) -> DataFrame:
+def mix_sources(
+    docs: DataFrame, targets: Mapping[str, Mapping[str, float]] | None = None, seed: int = 17, budget: float | None = None, topic: Column | None = None, **rake_options
+) -> DataFrame:
     """Every document with its cell's weight, its probability and whether it is ``kept``.
 
-    The probability of a cell is its weight over its tokens, scaled so that the budget is kept, or without one
-    so that the largest is 1: the kept tokens then follow the weights and no document is repeated.
+    The probability of a cell is its weight over its tokens, scaled so that the budget (a share of the tokens that
+    have targets) is kept, or without one so that the largest is 1; no document is repeated.
     """
     budget = TOKEN_BUDGET if budget is None and not targets else budget
-    dealt = with_cells(docs.drop("weight", "probability", "kept"))
+    dealt = with_cells(docs.drop("weight", "probability", "kept"), topic)
     names = [f"_{d}" for d in DIMENSIONS]
     cells = settle(cell_tokens(dealt))
-    weights = rake(cells, targets, budget=budget, **rake_options)
+    weights = rake(cells, targets, **rake_options)
     rates = settle(cells.join(weights, names, "left").withColumn("rate", F.try_divide("weight", F.col("_tokens").cast("double"))))
-    if budget is None:
-        scale = rates.agg((1 / F.max("rate")).alias("scale"))
+    gap, fastest, whole = rates.agg(F.max("gap"), F.max("rate"), F.sum(F.when(F.col("weight") > 0, F.col("_tokens")))).first()
+    if gap is not None and gap > rake_options.get("tolerance", 1e-6):
+        warnings.warn(f"the targets conflict: a marginal is off by {gap:.2g}", stacklevel=2)
+    if not fastest:
+        scale = 0.0
+    elif budget is None:
+        scale = 1 / fastest
     else:
-        scale = rates.agg(F.sum(F.when(F.col("weight").isNotNull(), F.col("_tokens"))).cast("double").alias("whole")).select((F.col("whole") * min(budget, 1.0)).alias("scale"))
-    probability = F.least(F.coalesce(F.col("rate") * F.col("_scale"), F.lit(0.0)), F.lit(1.0))
-    rates = settle(rates.withColumn("_scale", scale.scalar()).select(*names, F.coalesce("weight", F.lit(0.0)).alias("weight"), probability.alias("probability")))
+        wanted = whole * min(budget, 1.0)
+        supply = rates.where("weight > 0").select("weight", (F.col("_tokens") / F.lit(wanted)).alias("supply"))
+        scale = _level(supply) * wanted
+    probability = F.least(F.coalesce(F.col("rate") * scale, F.lit(0.0)), F.lit(1.0))
+    rates = rates.select(*names, F.coalesce("weight", F.lit(0.0)).alias("weight"), probability.alias("probability"))
     draw = F.pmod(F.xxhash64(F.lit(seed), F.col("doc_id")), F.lit(1 << 52)) / float(1 << 52)
     joined = dealt.join(rates, names, "left")
-    return joined.withColumn("kept", F.coalesce(draw < F.col("probability"), F.lit(False)))
+    return joined.withColumn("kept", F.coalesce(F.col("doc_id").isNotNull() & (draw < F.col("probability")), F.lit(False)))

@@ -173,21 +173,75 @@ def test_an_odd_cell_does_not_decide_how_much_stays(spark):
         whole = sum(map(size, got))
         assert math.isclose(sum(size(r) * r.probability for r in got), mixing.TOKEN_BUDGET * whole, rel_tol=1e-6)
         assert abs(sum(size(r) for r in got if r.kept) / whole - mixing.TOKEN_BUDGET) < 0.03
-        assert all(r.kept for r in got if r.source in ("b", "new"))  # less than their share: whole
+        assert {r.source for r in got if r.kept} == {r.source for r in got}
+
+
+def _brute_mix(rows, budget):
+    """(doc_id, text, lang, source) to doc_id's cell, weight and probability, by plain dictionaries."""
+    known = lambda x: "unknown" if x is None else x
+
+    def topic(text):
+        for name, phrases in mixing.TOPIC_PHRASES:
+            if any(p in (text or "") for p in phrases):
+                return name
+        return "prose"
+
+    cell = {r[0]: (known(r[3]), known(r[2]), topic(r[1])) for r in rows}
+    tokens = {}
+    for r in rows:
+        tokens[cell[r[0]]] = tokens.get(cell[r[0]], 0) + len((r[1] or "").encode().split())
+    full = {c: n for c, n in tokens.items() if n}
+    share = []
+    for d in range(3):
+        root = {v: math.sqrt(sum(n for c, n in full.items() if c[d] == v)) for v in {c[d] for c in full}}
+        share.append({v: x / sum(root.values()) for v, x in root.items()})
+    weight = {c: n / sum(full.values()) for c, n in full.items()}
+    for _ in range(60):
+        for d in range(3):
+            margin = {v: sum(w for c, w in weight.items() if c[d] == v) for v in share[d]}
+            weight = {c: w * share[d][c[d]] / margin[c[d]] for c, w in weight.items()}
+    wanted, whole, rest = budget * sum(full.values()), set(), set(full)
+    while True:  # cells that would have to give more than they hold give all, the others share the rest again
+        scale = (wanted - sum(full[c] for c in whole)) / sum(weight[c] for c in rest)
+        over = {c for c in rest if scale * weight[c] >= full[c]}
+        if not over:
+            break
+        whole, rest = whole | over, rest - over
+    chance = {c: 1.0 if c in whole else scale * weight[c] / full[c] for c in full}
+    return {i: (*c, weight.get(c, 0.0), chance.get(c, 0.0)) for i, c in cell.items()}
+
+
+def test_rows_of_the_mixing_query_equal_brute_force(spark):
+    got = queries.op8_mixing(spark, "/root/testdata/sf0.01").collect()
+    rows = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text", "lang", "source").collect()
+    want = _brute_mix(rows, mixing.TOKEN_BUDGET)
+    for r in got:
+        assert (r.source, r.lang, r.topic) == want[r.doc_id][:3]
+        assert np.allclose((r.weight, r.probability), want[r.doc_id][3:], rtol=1e-3, atol=1e-6)
+    draw = spark.range(10**5).selectExpr("id", f"pmod(xxhash64(17, id), {1 << 52}) / {1 << 52}D as u").where("id < 5000").collect()
+    draw = {r.id: r.u for r in draw}
+    assert len(got) == len(rows) and all(r.kept == (draw[r.doc_id] < r.probability) for r in got)
 
 
 def test_full_cells_leave_their_mass_to_the_others(spark):
     rng = np.random.default_rng(8)
-    n = rng.integers(1, 400, (5, 3, 2)).astype(float)
-    n[0, 0, 0], n[3] = 9000, n[3] / 30
-    rows = [(f"s{a}", f"l{b}", f"t{c}", int(n[a, b, c]) + 1) for a in range(5) for b in range(3) for c in range(2)]
+    sizes = {(a, b): int(rng.integers(1, 60)) for a in range(4) for b in range(2)} | {(0, 0): 900}
+    rows = [(10000 * a + 1000 * b + i, "w " * 7, f"l{b}", f"s{a}") for (a, b), n in sizes.items() for i in range(n)]
+    want = _brute_mix(rows, 0.6)
+    got = mixing.mix_sources(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string"), budget=0.6).collect()
+    assert all(np.allclose((r.weight, r.probability), want[r.doc_id][3:], rtol=1e-4) for r in got)
+    assert sum(p == 1 for *_, p in want.values()) and math.isclose(sum(r.probability for r in got), 0.6 * len(rows), rel_tol=1e-6)
+
+
+def test_conflicting_targets_are_reported(spark):
+    rows = [("a", "x", "t", 10), ("b", "y", "t", 10)]
     cells = spark.createDataFrame(rows, "_source string, _lang string, _topic string, _tokens long")
-    held = {r[:3]: r[3] / sum(x[3] for x in rows) / 0.4 for r in rows}
-    got = {tuple(r[:3]): r.weight for r in mixing.rake(cells, budget=0.4).collect()}
-    assert math.isclose(sum(got.values()), 1, abs_tol=1e-9) and all(got[k] <= held[k] + 1e-12 for k in held)
-    root = {f"s{a}": math.sqrt(sum(r[3] for r in rows if r[0] == f"s{a}")) for a in range(5)}
-    margin = {s: sum(v for k, v in got.items() if k[0] == s) for s in root}
-    supply = {s: sum(v for k, v in held.items() if k[0] == s) for s in root}
-    assert math.isclose(margin["s3"], supply["s3"], abs_tol=1e-5)
-    rest = [margin[s] / root[s] for s in root if supply[s] - margin[s] > 1e-4]
-    assert len(rest) >= 2 and max(rest) - min(rest) < 1e-4 * max(rest)
+    got = mixing.rake(cells, {"source": {"a": 9, "b": 1}, "lang": {"x": 1, "y": 9}}, max_sweeps=4).collect()
+    assert len(got) == 2 and got[0].gap > 0.1
+
+
+def test_mixing_takes_a_topic_of_the_input(spark):
+    rows = [(i, "w " * 5, "en", "a", "law" if i % 2 else None) for i in range(20)] + [(None, "w", "en", "a", "law")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, topic string")
+    got = mixing.mix_sources(docs.withColumn("_topic", F.lit("clash")), budget=1.0).collect()
+    assert {r._topic for r in got} == {"law", "unknown"} and sum(r.kept for r in got) == 20
