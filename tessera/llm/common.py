@@ -55,3 +55,30 @@ def utf8_slices(column: pa.Array, limit: int = 1 << 20):
         last = max(first + 1, int(np.searchsorted(off, off[first] + limit, "right")) - 1)
         yield first, last, raw[off[first] : off[last]], off[first : last + 1] - off[first]
         first = last
+
+
+def free_name(df: DataFrame, wish: str) -> str:
+    """A name for a helper column that no column of ``df`` has."""
+    taken = {c.lower() for c in df.columns}
+    name = f"_{wish}"
+    while name in taken:
+        name += "_"
+    return name
+
+
+#: Keys of more than this part of all rows are joined by broadcast; there are at most so many.
+HOT_PARTS = 4096
+
+
+def join_hot(rows: DataFrame, groups: DataFrame, key: str, size: str) -> DataFrame:
+    """Inner join of rows and their key's group, where a key may hold a large part of all rows.
+
+    ``groups`` has a key once with the number of its rows as ``size``. Keys of more than 1 / HOT_PARTS of all
+    those rows number less than HOT_PARTS, so they can be broadcast; the others meet in an ordinary join.
+    """
+    whole = groups.agg(F.coalesce(F.sum(size), F.lit(0)).alias("n"))
+    hot = groups.where(F.col(size) * HOT_PARTS > whole.scalar())
+    hot = settle(hot)
+    cold = groups.join(F.broadcast(hot.select(key)), key, "left_anti")
+    rest = rows.join(F.broadcast(hot.select(key)), key, "left_anti").join(cold, key)
+    return rest.unionByName(rows.join(F.broadcast(hot), key))

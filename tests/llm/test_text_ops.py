@@ -103,20 +103,80 @@ def test_ngram_join_empty(spark):
     assert ngram_join.link_similar(_docs(spark, [])).count() == 0
 
 
-def _patience_text(docs, least=40, line_least=30):
-    """Line dedup from its definition, with the module's own aligner."""
-    lines = {i: t.split("\n") for i, t in docs}
-    rare = {i: {x for x in ls if ls.count(x) == 1 and len(x.strip(" ")) >= line_least} for i, ls in lines.items()}
-    first = {}
-    for i in sorted(rare):
-        for x in rare[i]:
-            first.setdefault(x, i)
+def _line_keys(text, least):
+    """(key, place, lines it covers) by plain strings; blank lines are left out of places but keep their numbers."""
+    lines = [(n, x) for n, x in enumerate(text.split("\n")) if x.encode().strip(b" \t\r\f\v")]
+    said = [x for _, x in lines]
+    runs = []
+    for i in range(len(said)):
+        lo, hi = i, i + 1
+        while hi < len(said) and sum(map(len, said[lo:hi])) < least:
+            hi += 1
+        while lo > 0 and sum(map(len, said[lo:hi])) < least:
+            lo -= 1
+        if sum(map(len, said[lo:hi])) >= least:
+            runs.append((i, lo, hi))
+    seen, out = {}, []
+    for i, lo, hi in runs:
+        run = tuple(said[lo:hi])
+        out.append(((run, seen.get(run, 0)), i, lo, hi))
+        seen[run] = seen.get(run, 0) + 1
+    again = {}
+    for i, lo, hi in runs:
+        if seen[tuple(said[lo:hi])] > 1:
+            wide = (said[lo - 1] if lo else None, tuple(said[lo:hi]), said[hi] if hi < len(said) else None)
+            out.append((("wide", wide, again.get(wide, 0)), i, lo, hi))
+            again[wide] = again.get(wide, 0) + 1
+    return lines, out
+
+
+def _longest(pairs):
+    """Longest strictly rising run by the quadratic table; of equally long ones the one that ends last, and so on back."""
+    size, back = [], []
+    for i, (_, b) in enumerate(pairs):
+        before = [j for j in range(i) if pairs[j][1] < b]
+        size.append(1 + max((size[j] for j in before), default=0))
+        back.append(max((j for j in range(i) if size[j] == size[i] - 1), default=None) if size[i] > 1 else None)
+    if not pairs:
+        return []
+    i, out = max(j for j in range(len(pairs)) if size[j] == max(size)), []
+    while i is not None:
+        out.append(pairs[i])
+        i = back[i]
+    return out[::-1]
+
+
+def _patience_text(docs, least=40, line_least=30, rare=100):
+    """Line dedup from its definition."""
+    read = {i: _line_keys(t, line_least) for i, t in docs}
+    holders = {}
+    for i in sorted(read):
+        for key, place, _, _ in read[i][1]:
+            holders.setdefault(key, []).append((i, place))
     out = {}
-    for i, ls in lines.items():
+    for i, text in docs:
+        lines, keys = read[i]
+        pairs = {}
+        for key, place, lo, hi in keys:
+            j, there = holders[key][0]
+            if j < i:
+                pairs.setdefault(j, {})[place, there] = (lo, hi, len(holders[key]) <= rare)
         gone = set()
-        for j in {first[x] for x in rare[i]} - {i}:
-            gone |= set(line_dedup.blocks(line_dedup.patience(lines[j], ls), [len(x.strip(" ")) for x in ls], least))
-        out[i] = "\n".join(x for n, x in enumerate(ls) if n not in gone)
+        for found in pairs.values():
+            order = sorted(found, key=lambda p: (p[0], -p[1]))
+            chosen = _longest([p for p in order if found[p][2]]) if any(found[p][2] for p in order) else []
+            fence = [(-1, -1), *chosen, (10**9, 10**9)]
+            for (a, c), (b, d) in zip(fence, fence[1:]):
+                chosen = chosen + _longest([p for p in order if not found[p][2] and a < p[0] < b and c < p[1] < d])
+            block = []
+            for p in [*sorted(chosen), None]:
+                if block and (p is None or p[1] - p[0] != block[-1][1] - block[-1][0] or found[p][0] > found[block[-1]][1]):
+                    lo, hi = min(found[q][0] for q in block), max(found[q][1] for q in block)
+                    if sum(len(x) for _, x in lines[lo:hi]) >= least:
+                        gone |= set(range(lines[lo][0], lines[hi - 1][0] + 1))
+                    block = []
+                block.append(p)
+        out[i] = "\n".join(x for n, x in enumerate(text.split("\n")) if n not in gone)
     return out
 
 
@@ -127,31 +187,54 @@ def test_line_dedup_equals_definition(spark):
     assert got == want
 
 
+def test_line_dedup_equals_definition_on_shuffled_lines(spark):
+    rng = np.random.default_rng(12)
+    pool = [f"{'long line of the pool number' if i % 3 else 'short'} {i}" for i in range(14)] + ["", "  "]
+    texts = ["\n".join(pool[int(j)] for j in rng.integers(0, len(pool), int(rng.integers(1, 25)))) for _ in range(60)]
+    texts += texts[:5] + ["\n".join([texts[7], "in between", texts[9]])]
+    for rare in (4, 100):
+        want = _patience_text(list(enumerate(texts)), rare=rare)
+        got = {r.doc_id: r.text for r in line_dedup.dedup_lines(_docs(spark, texts), rare_docs=rare).collect()}
+        assert got == want
+
+
 def test_line_dedup_cases(spark):
-    long = "this line is long enough to be a rare line"
-    texts = [f"a\n{long}\nend", f"b\n{long}\nother", None, "", f"{long}\n{long}", f"a\n{long}\nend", "in\nas"]
+    long = "this line is long enough to be a key alone"
+    texts = [f"a\n{long}\nend", f"b\n{long}\nother", None, "", f"{long}\n{long}", f"a\n{long}\nend", "in\nas", f"{long}\n\n{long}"]
     got = line_dedup.dedup_lines(_docs(spark, texts)).orderBy("doc_id").collect()
-    assert [r.text for r in got] == [f"a\n{long}\nend", "b\nother", None, "", f"{long}\n{long}", "", "in\nas"]
+    # 4 has the line a second time, which 0 has not; 7 is 4 with a blank line
+    assert [r.text for r in got] == [f"a\n{long}\nend", "b\nother", None, "", long, "", "in\nas", ""]
     assert [(r.n_lines, r.n_removed) for r in got][1:4] == [(3, 1), (0, 0), (1, 0)]
     assert line_dedup.dedup_lines(_docs(spark, [])).count() == 0
 
 
+def test_line_dedup_keeps_rows_and_columns(spark):
+    long = "this line is long enough to be a key alone"
+    rows = [(1, long, 0, "r", "c"), (2, f"x\n{long}", 5, "r", "c"), (2, f"x\n{long}", 6, "r", "c"), (2, "other text of the same id, which is long", 7, "r", "c"), (None, long, 8, "r", "c")]
+    docs = spark.createDataFrame(rows, "doc_id int, text string, n_removed long, removed string, _cut string")
+    got = line_dedup.dedup_lines(docs)
+    assert sorted(got.columns) == sorted(["doc_id", "text", "removed", "_cut", "n_lines", "n_removed"])
+    assert sorted((str(r.doc_id), r.text) for r in got.collect()) == sorted([("1", long), ("2", "x"), ("2", "x"), ("2", rows[3][1]), ("None", long)])
+
+
+def test_line_dedup_of_long_and_repetitive_texts(spark):
+    page = "\n".join(f"row {i} of a table that is long" if i % 2 else "the same line comes again and again" for i in range(30000))
+    hot = [f"line of its own in document number {i}\nthis notice stands in every document of the corpus" for i in range(3000)]
+    texts = [page, f"head\n{page}\ntail", *hot]
+    got = {r.doc_id: r.text for r in line_dedup.dedup_lines(_docs(spark, texts)).collect()}
+    assert got[0] == page and got[1] == "head\ntail" and got[2] == hot[0]
+    assert all(got[2 + i] == hot[i].split("\n")[0] for i in range(1, 3000))
+
+
 def test_patience_is_a_common_subsequence():
     rng = np.random.default_rng(1)
     for _ in range(300):
-        a, b = (rng.integers(0, 12, rng.integers(0, 20)).tolist() for _ in range(2))
-        found = line_dedup.patience(a, b)
-        assert all(a[i] == b[j] for i, j in found)
-        assert all(p[0] < q[0] and p[1] < q[1] for p, q in zip(found, found[1:]))
-    assert len(line_dedup.patience([1, 2, 3], [1, 2, 3])) == 3
-
-
-def test_toxicity_on_held_out_rows(spark):
-    got = queries.op4_toxicity(spark, "/root/testdata/sf0.1").join(_read(spark, "sf0.1", "labels"), "doc_id").where("held_out").collect()
-    hits = [r.predicted for r in got if r.toxic == 1]
-    false = [r.predicted for r in got if r.toxic == 0]
-    assert len(hits) > 20 and np.mean(hits) > 0.9 and np.mean(false) < 0.03
-    assert all(0 <= r.score <= 1 for r in got)
+        later, first = rng.permutation(15)[:10].tolist(), rng.permutation(15)[:10].tolist()
+        pairs = [(later.index(x), first.index(x), bool(rng.integers(2))) for x in set(later) & set(first)]
+        found = line_dedup.patience(pairs)
+        assert all(p[0] < q[0] and p[1] < q[1] for p, q in zip(found, found[1:])) and set(found) <= {p[:2] for p in pairs}
+        assert sum(r for a, b, r in pairs if (a, b) in set(found)) == len(_longest(sorted(p[:2] for p in pairs if p[2])))
+    assert line_dedup.patience([(i, i + 2, False) for i in range(4)]) == [(i, i + 2) for i in range(4)]
 
 
 def _groups(n, seed=0):
