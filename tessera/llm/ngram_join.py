@@ -3,7 +3,8 @@
 A document's set is its distinct word shingles (ASCII lower case). Shingles are hashed into groups and the
 counts per group are a point; the sum of coordinate minima of two points bounds the overlap of their sets.
 
-1. Documents of one set become one representative with the smallest doc_id.
+1. Documents of one set become one representative with the smallest doc_id. Sets count as one when their sizes
+   and two 64-bit sums over their shingles are equal.
 2. Representatives meet in cells. Two sets of the wanted similarity share one of the first
    ``n - ceil(threshold * n) + 1`` shingles of each in any fixed order, so a cell is a shingle of that prefix.
    The order puts shingles that are frequent in the corpus last, which keeps cells small; whatever
@@ -34,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import settle, utf8_slices
+from .common import join_hot, settle, utf8_slices
 from .graph_parts import components
 from .words import LOWER, grams, mix, words
 
@@ -293,8 +294,8 @@ def link_similar(docs: DataFrame, k: int = 4, percent: int = 85) -> DataFrame:
     reps = base.join(heads.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi").dropDuplicates(["doc_id"])
     reps = settle(reps.select("doc_id", "n", "prefix", "counts", "few"))
     rows = reps.select("doc_id", "n", F.explode("prefix").alias("key"))
-    shared = rows.groupBy("key").agg(F.count("*").alias("size"), F.min(F.struct("doc_id", "n")).alias("hub")).where("size > 1")
-    cells = settle(rows.join(shared, "key").select("key", "doc_id", "n", "size", F.col("hub.doc_id").alias("a"), F.col("hub.n").alias("m")))
+    shared = settle(rows.groupBy("key").agg(F.count("*").alias("size"), F.min(F.struct("doc_id", "n")).alias("hub")).where("size > 1"))
+    cells = settle(join_hot(rows, shared, "key", "size").select("key", "doc_id", "n", "size", F.col("hub.doc_id").alias("a"), F.col("hub.n").alias("m")))
     near = f"100 * least(n, m) >= {percent} * greatest(n, m)"
     stars = settle(cells.where("doc_id <> a").where(near).select("a", F.col("doc_id").alias("b")).distinct())
     links = settle(_verified(docs, settle(_bounded(stars, reps, percent)), k, percent))
