@@ -6,7 +6,8 @@ its classifier does on the sample, and takes the language of the least loss. A s
 two least losses flags the answer as ambiguous.
 
 Classifiers are fitted on at most ``max_rows`` rows with a language, those with the smallest hash of doc_id,
-shared evenly between languages.
+shared evenly between languages; only rows below a hash that lets little more than its share through are sorted.
+The MAX_LANGS most frequent languages are learned.
 
 Defined cases: a text that is null or has no letter is ``und`` with score 0, as is all when nothing could
 be learned; with one learned language every text with a letter gets it; repeated rows get the same answer;
@@ -30,7 +31,7 @@ from .common import utf8_slices
 from .linear import fit_logistic
 from .words import LOWER
 
-MAX_ROWS, DIMS, L2, AMBIGUOUS = 4000, 2048, 1e-4, 0.6
+MAX_ROWS, MAX_LANGS, DIMS, L2, AMBIGUOUS = 4000, 400, 2048, 1e-4, 0.6
 _LETTERS = re.compile(r"[^\W\d_]")
 _SYMBOL = LOWER.astype(np.uint32)
 _SYMBOL[[i for i in range(128) if not (97 <= i <= 122 or 65 <= i <= 90)]] = 32
@@ -47,7 +48,7 @@ def codewords(n: int, seed: int = 5) -> np.ndarray:
     for _ in range(200):
         code = np.where(rng.random((n, bits)) < 0.5, 1, -1).astype(np.float32)
         code = code[:, np.abs(code.sum(axis=0)) < n]
-        apart = min(int((code[i] != code[j]).sum()) for i in range(n) for j in range(i))
+        apart = int((code.shape[1] - (code @ code.T)[np.triu_indices(n, 1)].max()) / 2)
         if apart > far:
             best, far = code, apart
     return best
@@ -101,13 +102,18 @@ class LanguageModel:
 def fit_languages(labelled: DataFrame, max_rows: int = MAX_ROWS) -> LanguageModel:
     """labelled: doc_id, text and lang."""
     some = labelled.where("text is not null and lang is not null").select("doc_id", "text", "lang")
-    langs = sorted(r[0] for r in some.select("lang").distinct().limit(max_rows).collect())
+    counts = some.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGS).collect()
+    langs = sorted(r["lang"] for r in counts)
     if not langs:
         return LanguageModel([], *(np.zeros(0) for _ in range(4)))
     share = max(1, max_rows // len(langs))
-    order = W.partitionBy("lang").orderBy(F.xxhash64(F.lit(2), "doc_id"), "doc_id")
+    spread = F.xxhash64(F.lit(2), "doc_id")
+    # of a language with many rows, those whose hash lies in a part that holds some more than its share
+    least = [(r["lang"], int(min(1.0, (1.2 * share + 50) / r["count"]) * 2**62)) for r in counts]
+    some = some.join(F.broadcast(some.sparkSession.createDataFrame(least, "lang string, least long")), "lang").where(F.pmod(spread, F.lit(1 << 62)) < F.col("least"))
+    order = W.partitionBy("lang").orderBy(F.pmod(spread, F.lit(1 << 62)), "doc_id")
     picked = some.select("doc_id", "lang").withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= share).select("doc_id")
-    sample = some.join(F.broadcast(picked), "doc_id", "left_semi")  # at most max_rows ids
+    sample = some.select("doc_id", "text", "lang").join(F.broadcast(picked), "doc_id", "left_semi")  # at most max_rows ids
 
     def grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
