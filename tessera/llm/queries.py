@@ -26,18 +26,18 @@ URL_RULES = (
     ("com", "/fr/", "allow"),
     ("com", "/de/", "block"),
 )
-#: Names of domains that go on the host list.
-BAD_NAMES = r"(^|\.)(ads-track|spam-farm|casino-win|adult-x|cheap-pills|free-bets)\."
 
 
-def bad_hosts(pages: DataFrame) -> DataFrame:
-    host, _ = url_filter.url_parts(F.col("url"))
-    return pages.select(host.alias("host")).where(F.col("host").rlike(BAD_NAMES)).distinct()
+def blocked_hosts() -> list[str]:
+    """The host list, a domain on each line: TESSERA_BLOCKED_HOSTS, else the one that comes with the package."""
+    with open(os.environ.get("TESSERA_BLOCKED_HOSTS") or os.path.join(os.path.dirname(__file__), "blocked_hosts.txt")) as f:
+        return f.read().split()
 
 
 def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages").select("page_id", "url")
-    return url_filter.filter_urls(pages, URL_RULES, bad_hosts(pages)).select("page_id", "host", "path", "rule", "verdict")
+    hosts = spark.createDataFrame([(h,) for h in blocked_hosts()], "host string")
+    return url_filter.filter_urls(pages, URL_RULES, hosts).select("page_id", "host", "path", "rule", "verdict")
 
 
 OP3_SQL = rf"""
@@ -48,14 +48,16 @@ WITH parts AS (
          coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)([^?#]*)', 2), '') AS path
   FROM pages),
 rules(rule_host, rule_path, said) AS (VALUES {", ".join(str(r) for r in URL_RULES)}),
+blocked(name) AS (VALUES {", ".join(f"('{h}')" for h in blocked_hosts())}),
+listed AS (SELECT DISTINCT page_id FROM parts JOIN blocked ON host = name OR ends_with(host, '.' || name)),
 best AS (
   SELECT page_id, arg_max(rule_host || rule_path, length(rule_host || rule_path)) AS rule,
          arg_max(said, length(rule_host || rule_path)) AS said
   FROM parts JOIN rules ON (host = rule_host OR ends_with(host, '.' || rule_host)) AND starts_with(path, rule_path)
   GROUP BY page_id)
 SELECT page_id, host, path, rule,
-       coalesce(said, CASE WHEN regexp_matches(host, '{BAD_NAMES}') THEN 'block' ELSE 'allow' END) AS verdict
-FROM parts LEFT JOIN best USING (page_id)
+       coalesce(said, CASE WHEN listed.page_id IS NOT NULL THEN 'block' ELSE 'allow' END) AS verdict
+FROM parts LEFT JOIN best USING (page_id) LEFT JOIN listed USING (page_id)
 """
 
 

@@ -143,7 +143,7 @@ def filter_urls(pages: DataFrame, rules: Sequence[Rule], hosts: DataFrame, url:
         *[c for c in pages.columns if c not in ("host", "path", "rule", "verdict")],
         "host",
         "path",
-        F.substring_index("_best", "|", -1).alias("rule"),
+        F.col("_best").substr(F.instr("_best", "|") + 1, F.length("_best")).alias("rule"),
         F.when(F.col("_best").isNotNull(), F.substring_index("_best", "|", 1))
         .when(F.exists("_hits", lambda k: k.startswith("list|")), "block")
         .otherwise("allow")

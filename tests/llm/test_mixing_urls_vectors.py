@@ -122,6 +122,9 @@ def test_url_filter_in_segments(spark):
         got = url_filter.filter_urls(pages, queries.URL_RULES, hosts, segment_words=words).orderBy("page_id").collect()
         assert [(r.host, r.path, r.rule, r.verdict) for r in got] == want and {r.extra for r in got} == {"kept"}
     assert url_filter.filter_urls(pages.limit(0), queries.URL_RULES, hosts).count() == 0
+    odd = spark.createDataFrame([(1, "http://a.org/x|y/z"), (1, "http://a.org/x|y/z"), (2, "http://a.org/" + "p" * 300000)], "page_id long, url string")
+    got = url_filter.filter_urls(odd, [("a.org", "/x|y/", "block"), ("a.org", "/x", "allow")], hosts).orderBy("page_id").collect()
+    assert [(r.rule, r.verdict) for r in got] == [("a.org/x|y/", "block")] * 2 + [(None, "allow")]
 
 
 def test_cascade_is_exact_on_its_universe(spark):
