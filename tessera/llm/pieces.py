@@ -31,10 +31,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import settle
+from .common import free_name, settle
 
 SPACE = "▁"
 CHUNK = 32768
+TASK_CHUNKS = 64  # chunks in a task: some seconds of work
 _UNITS = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
 _MEMORY = 400_000  # words and pairs that a task remembers
 _TOGETHER, _SHORT = 400_000, 48  # words looked up at a time; characters of a word that is merged with others
@@ -389,12 +390,18 @@ def _giant_ids(giants: DataFrame, shared, chunk: int, around: int) -> DataFrame:
             yield f[["_doc", "_hash", "part"]].assign(ids=pd.Series(ids, index=f.index, dtype=object))
 
     same = ["_doc", "_hash", "part"]
-    parts = settle(giants.select("_doc", "_hash", "text").mapInArrow(cut, f"{key}, text string, first int, cut int").repartition(*same))
+    parts = settle(giants.select("_doc", "_hash", "text").mapInArrow(cut, f"{key}, text string, first int, cut int"))
+    parts = parts.repartition(max(1, -(-parts.count() // TASK_CHUNKS)), *same)  # by number, as files would be packed by size
     weights = parts.mapInPandas(weigh, f"{key}, rows int, weights binary")
     states = settle(weights.groupBy("_doc", "_hash").applyInPandas(choose, f"{key}, entry int, leave int"))
     traced = parts.join(states, same).select(*parts.columns, "entry", "leave").mapInPandas(trace, f"{key}, ids binary")
-    in_order = F.transform(F.sort_array(F.collect_list(F.struct("part", F.hex("ids").alias("ids")))), lambda x: x["ids"])
-    return traced.groupBy("_doc", "_hash").agg(F.unhex(F.array_join(in_order, "")).alias("_ids"))
+    in_order = F.transform(F.sort_array(F.collect_list(F.struct("part", "ids"))), lambda x: x["ids"])
+
+    @F.arrow_udf(T.BinaryType())
+    def whole(lists: pa.Array) -> pa.Array:
+        return pa.array([b"".join(x) for x in lists.to_pylist()], pa.binary())
+
+    return traced.groupBy("_doc", "_hash").agg(in_order.alias("_ids")).withColumn("_ids", whole("_ids"))
 
 
 def encode(docs: DataFrame, model_path: str, chunk: int = CHUNK) -> DataFrame:
@@ -413,10 +420,11 @@ def encode(docs: DataFrame, model_path: str, chunk: int = CHUNK) -> DataFrame:
     short = docs.where(~giant).withColumn("ids", ids_of("text"))
     mark = F.xxhash64("text")
     doc = F.coalesce(F.col("doc_id"), F.lit(0)).cast("long")
-    some = docs.where(giant)
+    some, own = docs.where(giant), free_name(docs, "giant")
     once = some.select(doc.alias("_doc"), mark.alias("_hash"), "text").dropDuplicates(["_doc", "_hash"])
     ids = _giant_ids(once, shared, chunk, 2 * vocabulary.longest)
-    long = some.join(ids, (doc == F.col("_doc")) & (mark == F.col("_hash"))).select(*docs.columns, F.col("_ids").alias("ids"))
+    ids = ids.select(F.struct("_doc", "_hash", "_ids").alias(own))
+    long = some.join(ids, (doc == F.col(f"{own}._doc")) & (mark == F.col(f"{own}._hash"))).select(*docs.columns, F.col(f"{own}._ids").alias("ids"))
     return short.unionByName(long)
 
 
