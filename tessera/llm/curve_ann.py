@@ -4,11 +4,15 @@ Unit vectors are projected several times to a few coordinates, shifted, and orde
 Each ordering is range-partitioned and cut into blocks of consecutive keys; a query meets every block that
 its key window touches, in each ordering, and the candidates are merged and ranked by exact cosine.
 
-The window is fitted: for at most ``sample`` queries the true neighbours are found by one scan, and the
-window is what would have caught the ``aim`` share of them. Where vectors cluster, that is a few keys; on
-vectors without structure no curve brings neighbours together and the window grows with the table.
+The window is fitted: for at most ``sample`` queries the true neighbours are found by one scan; for each number
+of orderings the window is what would have caught the ``aim`` share of them, and the number that meets the fewest
+candidates is used (two at least). Where vectors cluster, that is a few keys in all orderings; on vectors without
+structure no curve brings neighbours together, the window grows with the table and few wide orderings are cheaper.
 
-Defined cases: vectors that are null, empty, zero or hold null or non-finite components take no part; copies
+A block that many queries ask for is dealt out to lots of QUERY_LOT queries; blocks that none asks for stay put.
+
+Defined cases: vectors that are null, empty, zero or hold null or non-finite components take no part, nor do
+those of another length than the smallest id's; of rows that repeat an id the smallest vector counts; copies
 are searched once and named by id; ties go to the smaller id; a query with fewer candidates gets them all;
 an empty table gives an empty result; further columns are ignored.
 """
@@ -24,7 +28,7 @@ from .common import settle
 from .vectors import Distinct, best_of, ranked, sound, stack
 
 ORDERINGS, COORDINATES, BITS, SEED = 8, 6, 9, 11
-BLOCK, SAMPLE, AIM, LEAST_WINDOW = 4096, 96, 0.98, 256
+BLOCK, QUERY_LOT, SAMPLE, AIM, LEAST_WINDOW = 2048, 1024, 96, 0.96, 256
 
 
 def hilbert(cells: np.ndarray, bits: int) -> np.ndarray:
@@ -107,15 +111,21 @@ def _true_neighbours(reps: DataFrame, sample: int, k: int) -> DataFrame:
     return settle(best_of(reps.select("rep", "vector").mapInPandas(scan, _FOUND), k))
 
 
-def _window(keyed: DataFrame, truth: DataFrame, aim: float) -> int:
-    """Keys to look at on either side so that the share ``aim`` of true neighbours is met in some ordering."""
+def _window(keyed: DataFrame, truth: DataFrame, aim: float, last: int) -> tuple[int, int]:
+    """The number of orderings, and the keys to look at on either side so that the share ``aim`` of true neighbours is met."""
     place = lambda x: keyed.select(F.col("rep").alias(x), "ordering", F.col("pos").alias(f"pos_{x}"))
     pairs = truth.where("rep <> cand").select(F.col("rep").alias("a"), F.col("cand").alias("b"))
     pairs = F.broadcast(pairs)  # at most k + 1 for each sampled query
     one = place("a").join(pairs, "a")
-    both = place("b").join(F.broadcast(one), ["ordering", "b"])
-    gaps = both.groupBy("a", "b").agg(F.min(F.abs(F.col("pos_a") - F.col("pos_b"))).alias("gap"))
-    return int(gaps.agg(F.percentile("gap", F.lit(aim))).first()[0] or 0)
+    both = settle(place("b").join(F.broadcast(one), ["ordering", "b"]).select("ordering", "a", "b", F.abs(F.col("pos_a") - F.col("pos_b")).alias("gap")))
+    best = (ORDERINGS, LEAST_WINDOW, float("inf"))
+    for n in range(min(2, ORDERINGS), ORDERINGS + 1):
+        gaps = both.where(F.col("ordering") < n).groupBy("a", "b").agg(F.min("gap").alias("gap"))
+        window = max(LEAST_WINDOW, int(gaps.agg(F.percentile("gap", F.lit(aim))).first()[0] or 0))
+        cost = n * min(2 * window + BLOCK, last + 1)
+        if cost < best[2]:
+            best = (n, window, cost)
+    return best[:2]
 
 
 def nearest(embeddings: DataFrame, k: int = 5, every: int = 50, id_col: str = "vec_id", vector_col: str = "embedding", sample: int = SAMPLE, aim: float = AIM) -> DataFrame:
@@ -133,12 +143,16 @@ def nearest(embeddings: DataFrame, k: int = 5, every: int = 50, id_col: str = "v
 
     schema = reps.select(F.lit(0).alias("ordering"), F.lit(0).cast("long").alias("key"), "rep", "asks", "vector").schema
     keyed = settle(ranked(reps.mapInPandas(order, schema), "ordering", "key", "rep"))
-    window = max(LEAST_WINDOW, _window(keyed, _true_neighbours(reps, sample, k), aim))
     last = keyed.agg(F.max("pos")).first()[0] or 0
+    orderings, window = _window(keyed, _true_neighbours(reps, sample, k), aim, last)
+    keyed = keyed.where(F.col("ordering") < orderings)
     block = lambda at: F.floor(at / F.lit(BLOCK)).cast("long")
-    held = keyed.select("ordering", block(F.col("pos")).alias("block"), "rep", "vector")
     reach = F.sequence(block(F.greatest(F.col("pos") - window, F.lit(0))), block(F.least(F.col("pos") + window, F.lit(last))))
-    asked = keyed.where("asks").select("ordering", F.explode(reach).alias("block"), "rep", "vector")
+    asked = keyed.where("asks").toDF(*keyed.columns).select("ordering", F.explode(reach).alias("block"), "rep", "vector")
+    lots = settle(asked.groupBy("ordering", "block").agg(F.ceil(F.count("*") / F.lit(QUERY_LOT)).cast("int").alias("lots")))
+    asked = asked.join(lots, ["ordering", "block"]).withColumn("lot", F.pmod(F.xxhash64("rep"), "lots").cast("int"))
+    held = keyed.select("ordering", block(F.col("pos")).alias("block"), "rep", "vector").join(lots, ["ordering", "block"])
+    held = held.withColumn("lot", F.explode(F.sequence(F.lit(0), F.col("lots") - 1)))
 
     def rerank(h: pd.DataFrame, q: pd.DataFrame) -> pd.DataFrame:
         if not len(h) or not len(q):
@@ -148,5 +162,6 @@ def nearest(embeddings: DataFrame, k: int = 5, every: int = 50, id_col: str = "v
         parts = [_top(stack(p["vector"]), p["rep"].to_numpy(), x, held_ids, k + 1) for p in (q.iloc[i : i + 512] for i in range(0, len(q), 512))]
         return pd.concat(parts)
 
-    found = held.groupBy("ordering", "block").cogroup(asked.groupBy("ordering", "block")).applyInPandas(rerank, _FOUND)
+    same = ("ordering", "block", "lot")
+    found = held.select(*same, "rep", "vector").groupBy(*same).cogroup(asked.select(*same, "rep", "vector").groupBy(*same)).applyInPandas(rerank, _FOUND)
     return distinct.answers(settle(best_of(found, k)), k)
