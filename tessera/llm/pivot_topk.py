@@ -6,12 +6,15 @@ candidate x the largest |d(q, p) - d(x, p)| is a lower bound of d(q, x), and so
 order of that bound until the next one cannot beat the k-th best score: the answer is exact.
 
 Vectors are ordered by nearest pivot and cut into blocks. Each query first searches its own block, which
-gives the score to beat; then blocks of queries meet blocks of candidates. A block whose bound from its
-ranges of pivot distances is too small is passed over whole.
+gives the score to beat; then lots of queries meet blocks of candidates. Lots are runs of queries in the same
+order; from the ranges of pivot distances of a block and a lot follows a bound of all their products, and pairs
+of block and lot whose bound is too small are left out before a vector is copied. What is left is bounded
+again for each query and block.
 
-Defined cases: vectors that are null, empty or hold null or non-finite components take no part; copies (after
+Defined cases: vectors that are null, empty or hold null or non-finite components take no part, nor do those of
+another length than the smallest id's; of rows that repeat an id the smallest vector counts; copies (after
 rounding) are searched once and named by id; ties go to the smaller id; fewer candidates than k are all
-returned; an empty table gives an empty result; further columns are ignored.
+returned; sums have to fit into 64 bits; an empty table gives an empty result; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -24,7 +27,7 @@ from pyspark.sql import functions as F
 from .common import settle
 from .vectors import Distinct, best_of, ranked, sound, stack
 
-PIVOTS, PIVOT_SAMPLE, BLOCK, QUERY_BLOCK = 32, 1024, 4096, 512
+PIVOTS, PIVOT_SAMPLE, BLOCK, QUERY_BLOCK = 32, 1024, 4096, 2048
 _FOUND = "rep long, cand long, score long"
 
 
@@ -83,6 +86,24 @@ def search(x: np.ndarray, ids: np.ndarray, table: np.ndarray, q: np.ndarray, to:
     return ids[got], score, done
 
 
+def _pairs(placed: DataFrame, asked: DataFrame, n_blocks: int) -> DataFrame:
+    """(block, lot) whose ranges of distances leave room for a product that some query of the lot wants."""
+    square = lambda v: F.aggregate(v, F.lit(0.0), lambda s, x: s + x.cast("double") * x)
+
+    def ranges(df: DataFrame, key: str, x: str, *more) -> DataFrame:
+        each = df.select(key, square(F.col("vector")).alias("size"), *more, F.posexplode("to").alias("p", "d"))
+        by_pivot = each.groupBy(key, "p").agg(F.min("d").alias("low"), F.max("d").alias("high"), F.max("size").alias("size"), *[F.min(m).alias(m) for m in more])
+        listed = lambda c: F.transform(F.array_sort(F.collect_list(F.struct("p", c))), lambda e: e[c]).alias(f"{c}_{x}")
+        return settle(by_pivot.groupBy(key).agg(listed("low"), listed("high"), F.max("size").alias(f"size_{x}"), *[F.min(m).alias(m) for m in more]))
+
+    blocks = ranges(placed, "block", "b")
+    lots = ranges(asked.withColumn("beat", F.coalesce("beat", F.lit(float("-inf")))), "lot", "l", "beat")
+    both = lots.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1)))).join(blocks, "block")
+    apart = F.array_max(F.zip_with(F.zip_with("low_b", "high_l", lambda a, b: a - b), F.zip_with("low_l", "high_b", lambda a, b: a - b), lambda a, b: F.greatest(a, b)))
+    gap, sizes = F.greatest(apart, F.lit(0.0)), F.col("size_b") + F.col("size_l")
+    return both.where((sizes - gap * gap) / 2 + 1e-5 * (1 + sizes) >= F.col("beat")).select("block", "lot")
+
+
 def top_products(embeddings: DataFrame, k: int = 5, every: int = 50, scale: int = 256, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """query_id, rank, vec_id and score of the k largest products of each row whose id ``every`` divides."""
     rows = embeddings.where(F.col(id_col).isNotNull() & sound(F.col(vector_col)))
@@ -126,10 +147,11 @@ def top_products(embeddings: DataFrame, k: int = 5, every: int = 50, scale: int
     first = settle(best_of(own.cogroup(asks.withColumn("beat", F.lit(None).cast("double")).groupBy("block")).applyInPandas(meet, _FOUND), k))
     beat = first.groupBy("rep").agg(F.when(F.count("*") > k, F.min("score")).cast("double").alias("beat"))
     asks = asks.join(beat, "rep", "left")
-    n_blocks, n_asks = placed.agg(F.max("block")).first()[0] + 1, asks.count()
-    lots = -(-n_asks // QUERY_BLOCK) if n_asks else 1
-    asked = asks.withColumnRenamed("block", "home").withColumn("lot", F.pmod(F.xxhash64("rep"), F.lit(lots)).cast("int"))
-    asked = asked.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1)))).where("block <> home")
-    held = placed.withColumn("lot", F.explode(F.sequence(F.lit(0), F.lit(lots - 1))))
+    n_blocks = placed.agg(F.max("block")).first()[0] + 1
+    asked = ranked(asks.withColumnRenamed("block", "home").withColumn("one", F.lit(0)), "one", "home", "rep")
+    asked = settle(asked.withColumn("lot", F.floor(F.col("pos") / QUERY_BLOCK).cast("int")).drop("pos", "one"))
+    survivors = settle(_pairs(placed, asked, n_blocks))
+    held = placed.join(survivors, "block").select("block", "lot", "rep", "vector", "to")
+    asked = asked.join(survivors, "lot").where("block <> home")
     found = held.groupBy("block", "lot").cogroup(asked.groupBy("block", "lot")).applyInPandas(meet, _FOUND)
     return distinct.answers(settle(best_of(found.unionByName(first), k)), k)

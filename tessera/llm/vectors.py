@@ -20,9 +20,12 @@ class Distinct:
     """Vectors once each, with the smallest id as representative; only as many copies as an answer can name."""
 
     def __init__(self, rows: DataFrame, every: int, k: int):
-        """rows: vec_id and vector (an array), all sound. Vectors of another length than the first id's take no part."""
-        length = rows.agg(F.min_by(F.size("vector"), "vec_id").alias("n"))
-        rows = rows.withColumn("_n", length.scalar()).where(F.size("vector") == F.col("_n")).drop("_n").dropDuplicates(["vec_id"])
+        """rows: vec_id and vector (an array), all sound.
+
+        Vectors of another length than the smallest id's take no part; of rows that repeat an id the smallest vector counts.
+        """
+        length = rows.groupBy("vec_id").agg(F.max(F.size("vector")).alias("n")).agg(F.min_by("n", "vec_id").alias("n"))
+        rows = rows.withColumn("_n", length.scalar()).where(F.size("vector") == F.col("_n")).groupBy("vec_id").agg(F.min("vector").alias("vector"))
         rows = settle(rows)
         self.reps = settle(rows.groupBy("vector").agg(F.min("vec_id").alias("rep"), F.max(F.col("vec_id") % every == 0).alias("asks")))
         in_order = W.partitionBy("vector").orderBy("vec_id")

@@ -41,6 +41,28 @@ def test_pivot_search_is_exact(spark, copies, monkeypatch):
     assert [tuple(r) for r in got] == _brute(rows, _product)
 
 
+def test_pivot_blocks_out_of_reach_are_left_out(spark, monkeypatch):
+    monkeypatch.setattr(pivot_topk, "BLOCK", 50)
+    monkeypatch.setattr(pivot_topk, "QUERY_BLOCK", 2)
+    kept, pairs = [], pivot_topk._pairs
+    monkeypatch.setattr(pivot_topk, "_pairs", lambda *a: kept.append((pairs(*a), a[2])) or kept[-1][0])
+    rng = np.random.default_rng(7)
+    centres = rng.normal(size=(20, 8))
+    centres /= np.sqrt((centres**2).sum(axis=1))[:, None]
+    rows = [(i, (50 * centres[i % 20] + 0.1 * rng.normal(size=8)).astype(np.float32).tolist()) for i in range(1000)]
+    got = pivot_topk.top_products(spark.createDataFrame(rows, VECTORS)).orderBy("query_id", "rank").collect()
+    assert [tuple(r) for r in got] == _brute(rows, _product)
+    found, blocks = kept[0]
+    assert found.count() < 0.5 * blocks * found.select("lot").distinct().count()
+
+
+def test_vector_searches_with_repeated_ids_and_odd_lengths(spark):
+    rows = [(0, [1.0, 0.0]), (0, [0.0, 1.0]), (1, [1.0, 1.0]), (2, [1.0]), (3, [0.5, 1.0]), (None, [1.0, 1.0])]
+    docs = spark.createDataFrame([(*r, "old", 7) for r in rows], VECTORS + ", rep string, score int")
+    assert [(r.query_id, r.vec_id) for r in curve_ann.nearest(docs).orderBy("rank").collect()] == [(0, 3), (0, 1)]
+    assert [(r.query_id, r.vec_id, r.score) for r in pivot_topk.top_products(docs).orderBy("rank").collect()] == [(0, 1, 65536), (0, 3, 65536)]
+
+
 def test_pivot_bounds_stop_early():
     rng = np.random.default_rng(2)
     centres = rng.normal(size=(20, 8)) * 2000
@@ -63,7 +85,10 @@ def test_hilbert_curve_visits_neighbours():
 
 
 @pytest.mark.parametrize("shape", ["noise", "clusters"])
-def test_curve_search_recall(spark, shape):
+def test_curve_search_recall(spark, shape, monkeypatch):
+    monkeypatch.setattr(curve_ann, "BLOCK", 128)
+    monkeypatch.setattr(curve_ann, "LEAST_WINDOW", 16)
+    monkeypatch.setattr(curve_ann, "QUERY_LOT", 7)
     rng = np.random.default_rng(4)
     x = rng.normal(size=(3000, 24))
     if shape == "clusters":
