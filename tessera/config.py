@@ -26,9 +26,13 @@ class Settings:
     item_overhead: int = 32
     batch_slack: int = 1024
     batch_floor: int = 4096
+    index_buckets: int = 64
     k1: float = 1.2
     b: float = 0.75
+    judge_has_cap: bool = True
     estimator: str = "utf8-div-4"
+    #: Fixed value: what the judge is asked of each passage; its length counts towards the cap.
+    recall_instructions: str = "High probability means this passage materially helps with the current request. Low probability means it does not."
     window_id: str = "context:fresh-window"
     window_line: str = "[context: fresh window; earlier turns stay in the session log. Stored tool output can be expanded.]"
     summary_marker: str = "[context: fresh window"

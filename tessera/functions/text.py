@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import json
 import unicodedata
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..config import CONVERSATION, DEFAULTS, Settings
 from ..schemas import BLOCKS
@@ -13,13 +16,17 @@ from ..schemas import BLOCKS
 _BLANK = r"(?U)^\s+|\s+$"
 
 
+#: Letters that fold on their own, whatever stands beside them.
+SPECIAL, FOLDED = "\u03a3\u03c2\u0130\u017f\u1e9b", "\u03c3\u03c3iss"
+
+
 def _folds() -> tuple[str, str]:
-    """Accented Latin letters from U+00C0 to U+017F and the base letter that each decomposes to."""
+    """Latin letters with one mark (U+00C0 to U+024F and U+1E00 to U+1EFF) and the ASCII letter that each decomposes to."""
     pairs = []
-    for code in range(0xC0, 0x180):
-        base = unicodedata.normalize("NFD", chr(code).lower())
-        if len(base) > 1 and base[0].isascii() and chr(code) == chr(code).lower():
-            pairs.append((chr(code), base[0]))
+    for code in (*range(0xC0, 0x250), *range(0x1E00, 0x1F00)):
+        parts = unicodedata.normalize("NFD", chr(code).lower())
+        if len(parts) == 2 and parts[0].isascii() and chr(code) == chr(code).lower():
+            pairs.append((chr(code), parts[0]))
     return "".join(p[0] for p in pairs), "".join(p[1] for p in pairs)
 
 
@@ -63,19 +70,50 @@ def label_passage(collection: Column, text: Column, session_id: Column, cwd: Col
     return F.when(collection == CONVERSATION, label).otherwise(text)
 
 
+def _block_text(block: Column, inner) -> Column:
+    """Text of one block (a VARIANT): its text, else its content, which is text or flattened by ``inner``."""
+    field = lambda name: F.variant_get(block, f"$.{name}", "variant")
+    string = lambda v: F.when(F.schema_of_variant(v) == "STRING", F.try_variant_get(v, "$", "string"))
+    is_block = F.schema_of_variant(block).startswith("OBJECT")
+    return F.coalesce(F.when(is_block, F.coalesce(string(field("text")), string(field("content")), inner(field("content")))), F.lit(""))
+
+
 def _flat(content: Column, depth: int) -> Column:
-    """Text of a nested ``content``: an array of blocks, or text when it is no JSON array."""
-    blocks = F.from_json(F.when(content.startswith("["), content), BLOCKS)
-    if not depth:
-        return content
-    inner = F.transform(blocks, lambda b: F.coalesce(b["text"], _flat(b["content"], depth - 1), F.lit("")))
-    return F.coalesce(F.array_join(F.filter(inner, lambda x: x != ""), "\n"), content)
+    """Text of an array of blocks (a VARIANT) nested up to ``depth``; null for anything else."""
+    blocks = F.variant_get(F.when(F.schema_of_variant(content).startswith("ARRAY"), content), "$", "array<variant>")
+    inner = (lambda v: _flat(v, depth - 1)) if depth else (lambda v: F.lit(None).cast("string"))
+    return F.array_join(F.filter(F.transform(blocks, lambda b: _block_text(b, inner)), lambda x: x != ""), "\n")
 
 
 def text_of(content_json: Column, depth: int = 3) -> Column:
-    """Flatten the JSON of host content: a string, or blocks nested up to ``depth``; anything else is ''."""
-    as_text = F.get_json_object(F.concat(F.lit('{"v":'), content_json, F.lit("}")), "$.v")
-    return F.coalesce(F.when(content_json.startswith('"'), as_text).when(content_json.startswith("["), _flat(content_json, depth)), F.lit(""))
+    """Flatten the JSON of host content: a string, or an array of blocks; anything else is ''.
+
+    A string is taken as it is, also if it looks like JSON. Arrays nested deeper than ``depth`` are flattened by a
+    function over Arrow batches, which only the rows that have them reach.
+    """
+    value = F.try_parse_json(content_json)
+    kind = F.schema_of_variant(value)
+    shallow = F.coalesce(F.when(kind == "STRING", F.try_variant_get(value, "$", "string")).otherwise(_flat(value, depth)), F.lit(""))
+    # each level of blocks has a bracket that opens right after a content key
+    nested = F.size(F.split(content_json, r'"content"\s*:\s*\[')) - 1
+    return F.when((kind != "STRING") & (nested > depth), _deep_text(content_json)).otherwise(shallow)
+
+
+@F.arrow_udf(T.StringType())
+def _deep_text(content: pa.Array) -> pa.Array:
+    def flat(value) -> str:
+        if isinstance(value, str):
+            return value
+        if not isinstance(value, list):
+            return ""
+        parts = []
+        for block in value:
+            if isinstance(block, dict):
+                text, inner = block.get("text"), block.get("content")
+                parts.append(text if isinstance(text, str) else flat(inner))
+        return "\n".join(p for p in parts if p)
+
+    return pa.array(["" if x is None else flat(json.loads(x)) for x in content.to_pylist()], pa.string())
 
 
 def assistant_prose(content_json: Column) -> Column:
@@ -86,16 +124,25 @@ def assistant_prose(content_json: Column) -> Column:
     return blank_trim(F.coalesce(F.when(content_json.startswith('"'), plain).otherwise(F.array_join(texts, "\n")), F.lit("")))
 
 
+def fold(text: Column) -> Column:
+    """Lower case without marks, letter by letter."""
+    return F.translate(F.lower(F.translate(text, SPECIAL, FOLDED)), ACCENTED, PLAIN)
+
+
 def index_tokens(text: Column) -> Column:
-    """Runs of letters and digits, folded; runs of Han as overlapping pairs (one alone stays)."""
-    runs = F.regexp_extract_all(text, F.lit(r"(\p{IsHan}+|[\p{L}\p{Nd}&&[^\p{IsHan}]]+)"), F.lit(1))
+    """Runs of letters and digits, folded; runs of Han as overlapping pairs (one alone stays).
+
+    A text is folded and cut once; only texts with Han letters look at each run.
+    """
+    folded = fold(text)
+    plain = F.regexp_extract_all(folded, F.lit(r"[\p{L}\p{Nd}]+"), F.lit(0))
+    runs = F.regexp_extract_all(folded, F.lit(r"\p{IsHan}+|[\p{L}\p{Nd}&&[^\p{IsHan}]]+"), F.lit(0))
 
     def split(run: Column) -> Column:
         pairs = F.transform(F.sequence(F.lit(1), F.length(run) - 1), lambda i: F.substring(run, i, F.lit(2)))
-        folded = F.translate(F.lower(run), ACCENTED, PLAIN)
-        return F.when(run.rlike(r"^\p{IsHan}") & (F.length(run) > 1), pairs).otherwise(F.array(folded))
+        return F.when(run.rlike(r"^\p{IsHan}") & (F.length(run) > 1), pairs).otherwise(F.array(run))
 
-    return F.coalesce(F.flatten(F.transform(runs, split)), F.array().cast("array<string>"))
+    return F.coalesce(F.when(folded.rlike(r"\p{IsHan}"), F.flatten(F.transform(runs, split))).otherwise(plain), F.array().cast("array<string>"))
 
 
 def query_tokens(text: Column, settings: Settings = DEFAULTS) -> Column:

@@ -1,40 +1,106 @@
 """Full-text index and BM25 retrieval for many requests at once.
 
-Passages are partitioned by id before their tokens are exploded, so counting, scoring and the first top-k
-need no further exchange: the set of all (passage, request) matches is never shuffled. The query side is
-broadcast in slices of a bounded number of tokens; further slices are further passes.
+Postings are bucketed by passage, so counting, scoring and the first top-k need no exchange: the set of all
+(passage, request) matches is never shuffled. The query side is broadcast in slices of a bounded number of tokens;
+further slices are further passes, and beyond a few slices the tokens are joined by an exchange.
+
+An index is (postings, token_df, corpus_stats). build_index makes one for a session; open_index reads one that is kept
+under a path, and append_index adds the passages that it lacks, so that a text is tokenised once for ever.
 """
 
 from __future__ import annotations
 
+import hashlib
 import math
+import uuid
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..config import DEFAULTS, Settings
 from ..functions.text import index_tokens, query_tokens
-from ..sources.shared import materialize
+from ..sources.shared import materialize, shared_dir
+
+SLICE_TOKENS, MAX_SLICES = 200_000, 8
+Index = tuple[DataFrame, DataFrame | None, DataFrame]
+_POSTINGS = "id BIGINT, token STRING, tf INT, doc_len INT"
+
+
+def _tokenised(memory: DataFrame, text: str, buckets: int) -> DataFrame:
+    """id and tokens; texts are dealt by id before they are cut, as they are smaller than their tokens."""
+    return memory.select("id", F.col(text).alias("text")).repartition(buckets, "id").select("id", index_tokens(F.col("text")).alias("tokens"))
 
-SLICE_TOKENS = 200_000
+
+def _counted(rows: DataFrame) -> DataFrame:
+    each = rows.select("id", F.size("tokens").alias("doc_len"), F.explode("tokens").alias("token"))
+    return each.groupBy("id", "token").agg(F.count("*").cast("int").alias("tf"), F.first("doc_len").alias("doc_len")).select("id", "token", "tf", "doc_len")
 
 
-def build_index(memory: DataFrame, text: str = "text") -> tuple[DataFrame, DataFrame, DataFrame]:
+def build_index(memory: DataFrame, text: str = "text") -> Index:
     """postings (id, token, tf, doc_len), token_df (token, df) and corpus_stats (n_docs, avg_len), over all collections.
 
-    Texts are tokenised once; the postings are written to the shared folder.
+    Texts are tokenised once; the postings are written to the shared folder, a bucket for each shuffle partition.
     """
-    rows = memory.select("id", index_tokens(F.col(text)).alias("tokens")).repartition("id")
-    each = rows.select("id", F.size("tokens").alias("doc_len"), F.explode("tokens").alias("token"))
-    postings = materialize(each.groupBy("id", "token").agg(F.count("*").cast("int").alias("tf"), F.first("doc_len").alias("doc_len")))
+    spark = memory.sparkSession
+    buckets, name = int(spark.conf.get("spark.sql.shuffle.partitions")), f"postings_{uuid.uuid4().hex}"
+    counted = _counted(_tokenised(memory, text, buckets))
+    counted.write.format("parquet").bucketBy(buckets, "id").options(compression="zstd", path=f"{shared_dir(spark)}/tables/{name}").saveAsTable(name)
+    postings = spark.table(name)
     token_df = materialize(postings.groupBy("token").agg(F.count("*").alias("df")))
     length = postings.agg(F.coalesce(F.sum("tf"), F.lit(0)).alias("n"))
     stats = memory.agg(F.count("*").alias("n_docs")).withColumn("avg_len", length.scalar() / F.nullif(F.col("n_docs"), F.lit(0)))
     return postings, token_df, materialize(stats)
 
 
+def _side(spark: SparkSession, path: str, name: str) -> DataFrame:
+    """A small table beside the kept postings; empty where there is none yet."""
+    schema = "id long, doc_len int"
+    try:
+        return spark.read.schema(schema).parquet(f"{path}/{name}")
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], schema)
+
+
+def _kept(spark: SparkSession, path: str, settings: Settings) -> str:
+    name = f"kept_{hashlib.sha256(path.encode()).hexdigest()[:32]}"
+    spark.sql(f"CREATE TABLE IF NOT EXISTS {name} ({_POSTINGS}) USING parquet CLUSTERED BY (id) INTO {settings.index_buckets} BUCKETS LOCATION '{path}/postings'")
+    return name
+
+
+def append_index(memory: DataFrame, path: str, text: str = "text", settings: Settings = DEFAULTS) -> int:
+    """Index the passages that the kept index lacks; returns how many were tokenised.
+
+    The passages' lengths are announced before their postings are written and stored after, so that a call that failed
+    in between is noticed: postings that it left are not written again.
+    """
+    spark, name = memory.sparkSession, _kept(memory.sparkSession, path, settings)
+    done = _side(spark, path, "lengths").select("id")
+    fresh = memory.join(done, "id", "left_anti")
+    left = materialize(_side(spark, path, "announced").join(done, "id", "left_anti"))
+    half = left.limit(0)
+    if not left.isEmpty():
+        half = materialize(left.join(spark.table(name).select("id"), "id", "left_semi"))
+    rows = materialize(_tokenised(fresh.join(half, "id", "left_anti"), text, settings.index_buckets))
+    lengths = materialize(rows.select("id", F.size("tokens").alias("doc_len")).unionByName(half))
+    lengths.write.mode("overwrite").parquet(f"{path}/announced")
+    _counted(rows.repartition(settings.index_buckets, "id")).write.insertInto(name)
+    lengths.write.mode("append").parquet(f"{path}/lengths")
+    return rows.count()
+
+
+def open_index(spark: SparkSession, path: str, settings: Settings = DEFAULTS) -> Index:
+    """The kept index; how many passages hold a token is counted when requests ask for it."""
+    name = _kept(spark, path, settings)
+    spark.catalog.refreshTable(name)
+    stats = _side(spark, path, "lengths").agg(F.count("*").alias("n_docs"), F.avg("doc_len").alias("avg_len"))
+    return spark.table(name), None, stats
+
+
 def bm25_idf(n_docs: Column, df: Column) -> Column:
     raw = F.log((n_docs - df + 0.5) / (df + 0.5))
     return F.when(raw <= 0, F.lit(1e-6)).otherwise(raw)
@@ -45,10 +111,13 @@ def bm25_score(tf: Column, doc_len: Column, avg_len: Column, idf: Column, settin
     return idf * tf * (k1 + 1) / (tf + k1 * (1 - b + b * doc_len / avg_len))
 
 
-def _query_side(requests: DataFrame, token_df: DataFrame, stats: DataFrame, settings: Settings) -> DataFrame:
+def _query_side(requests: DataFrame, index: Index, settings: Settings) -> DataFrame:
     """(request_id, token, mult, idf, avg_len): repeated tokens are folded into ``mult``."""
+    postings, token_df, stats = index
     tokens = requests.select("request_id", F.explode(query_tokens(F.col("request"), settings)).alias("token"))
     counted = tokens.groupBy("request_id", "token").agg(F.count("*").alias("mult"))
+    if token_df is None:
+        token_df = postings.join(counted.select("token").distinct(), "token", "left_semi").groupBy("token").agg(F.count("*").alias("df"))
     known = counted.join(token_df, "token")
     known = known.withColumns({"n_docs": stats.select("n_docs").scalar(), "avg_len": stats.select("avg_len").scalar()})
     return known.select("request_id", "token", "mult", bm25_idf(F.col("n_docs"), F.col("df")).alias("idf"), "avg_len")
@@ -59,7 +128,7 @@ def shortlist(
     memory: DataFrame,
     limit: int | None = None,
     collection: str | None = None,
-    index: tuple[DataFrame, DataFrame, DataFrame] | None = None,
+    index: Index | None = None,
     before_self: bool = False,
     max_df_ratio: float | None = None,
     settings: Settings = DEFAULTS,
@@ -70,8 +139,8 @@ def shortlist(
     larger share of the rows; it is faster and can miss matches, so it is off by default.
     """
     limit = settings.shortlist_limit if limit is None else limit
-    postings, token_df, stats = index or build_index(memory)
-    asked = _query_side(requests, token_df, stats, settings)
+    index = index or build_index(memory)
+    postings, asked = index[0], _query_side(requests, index, settings)
     if max_df_ratio is not None:
         asked = asked.where(F.col("idf") >= math.log(1 / max_df_ratio - 1))
     if collection is not None:
@@ -79,11 +148,13 @@ def shortlist(
         postings = postings.join(inside, "id", "left_semi")
     tokens = requests.select(F.sum(F.least(F.size(query_tokens(F.col("request"), settings)), F.lit(settings.max_query_tokens)))).first()[0] or 0
     slices = max(1, math.ceil(tokens / SLICE_TOKENS))
+    many = slices > MAX_SLICES  # more passes over the postings would cost more than an exchange of the matches
+    slices = 1 if many else slices
     order = W.partitionBy("request_id").orderBy(F.desc("score"), "id")
 
     def one(s: int) -> DataFrame:
         part = asked if slices == 1 else asked.where(F.pmod(F.xxhash64("request_id"), F.lit(slices)) == s)
-        hits = postings.join(F.broadcast(part), "token")  # SLICE_TOKENS rows, about, at most
+        hits = postings.join(part if many else F.broadcast(part), "token")  # SLICE_TOKENS rows, about, at most
         hits = hits.where("id < request_id") if before_self else hits
         parts = bm25_score(F.col("tf"), F.col("doc_len"), F.col("avg_len"), F.col("idf"), settings) * F.col("mult")
         scored = hits.groupBy("id", "request_id").agg(F.round(F.sum(parts), 9).alias("score"))

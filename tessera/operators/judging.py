@@ -5,9 +5,11 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..config import DEFAULTS, Settings
 from ..functions.text import blank_trim, estimate_tokens, index_tokens, query_tokens
@@ -31,50 +33,62 @@ def question_bytes(key: Column, *fields: Column) -> Column:
     return json_bytes(quoted) + 1 + json_bytes(F.to_json(F.struct(*fields)))
 
 
-def _fold(costs: Column, limit: Column, constant: Column) -> Column:
-    """Batch numbers from 1 of an array of costs, filled in order while constant + sum stays within the limit."""
-    start = F.struct(F.lit(0).cast("long").alias("n"), F.lit(0).cast("long").alias("sum"), F.array().cast("array<long>").alias("out"))
+def _filled(rows: DataFrame, group: str, order: str) -> DataFrame:
+    """Rows (group, order, cost, room) with ``batch``, from 1, filled in order while the sum of costs stays within the room.
 
-    def step(acc: Column, cost: Column) -> Column:
-        full = (acc["n"] > 0) & (acc["sum"] > 0) & (constant + acc["sum"] + cost > limit)
-        n = F.when(full | (acc["n"] == 0), acc["n"] + 1).otherwise(acc["n"])
-        return F.struct(n.alias("n"), F.when(full, cost).otherwise(acc["sum"] + cost).alias("sum"), F.concat(acc["out"], F.array(n)).alias("out"))
+    A batch holds one row at least. A group's rows are walked through in order, and only a number and a sum are
+    held; where a batch begins depends on all rows before it.
+    """
+    schema = T.StructType([*rows.schema.fields, T.StructField("batch", T.LongType())])
+
+    def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, number, total = None, 0, 0
+        for rows in batches:
+            out = []
+            for own, cost, room in zip(rows[group].to_pylist(), rows["cost"].to_pylist(), rows["room"].to_pylist()):
+                if own != at or number == 0:
+                    at, number, total = own, 1, cost
+                elif total + cost > room:
+                    number, total = number + 1, cost
+                else:
+                    total += cost
+                out.append(number)
+            yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(out, pa.int64())], schema.names)
 
-    return F.aggregate(costs, start, step, lambda acc: acc["out"])
+    return rows.repartition(group).sortWithinPartitions(group, order).mapInArrow(fill, schema)
 
 
 def pack_questions(questions: DataFrame, settings: Settings = DEFAULTS) -> DataFrame:
     """(request_id, key, batch, error) from request_id, key, entry_bytes and state_bytes.
 
     Keys in order fill batches whose estimated tokens stay within the limit. A question over it alone makes
-    every key of its request fail with ``budget``. Sizes only are gathered per request.
+    every key of its request fail with ``budget``.
     """
     frame = len('{"questions":{},"state":}')
     limit = settings.token_limit * 4  # ceil(bytes / 4) <= limit
-    constant = F.lit(frame) + F.col("state_bytes")
-    grouped = questions.groupBy("request_id").agg(
-        F.sort_array(F.collect_list(F.struct("key", F.col("entry_bytes").cast("long").alias("cost")))).alias("q"), F.first("state_bytes").cast("long").alias("state_bytes")
-    )
-    over = lambda x: constant + x["cost"] > limit
-    fits = F.filter("q", lambda x: ~over(x))
-    costs = F.transform(fits, lambda x: x["cost"] + 1)  # with the comma that parts it from the one before
-    batches = grouped.withColumns({"fits": fits, "failed": F.exists("q", over), "batch": _fold(costs, F.lit(limit + 1), constant)})
-    rows = batches.select("request_id", "failed", F.explode(F.arrays_zip("fits", "batch")).alias("x"))
-    good = rows.select("request_id", F.col("x.fits.key").alias("key"), F.col("x.batch").alias("batch"), F.when(F.col("failed"), "budget").alias("error"))
-    bad = batches.select("request_id", F.explode(F.filter("q", over)).alias("x"))
-    return good.unionByName(bad.select("request_id", F.col("x.key").alias("key"), F.lit(None).cast("long").alias("batch"), F.lit("budget").alias("error")))
+    room = limit - frame - F.col("state_bytes").cast("long")
+    rows = questions.select("request_id", "key", F.col("entry_bytes").cast("long").alias("entry"), room.alias("room"))
+    # each entry but a batch's first has a comma before it
+    fits = rows.where("entry <= room").select("request_id", "key", (F.col("entry") + 1).alias("cost"), (F.col("room") + 1).alias("room"))
+    failed = rows.where("entry > room").select("request_id").distinct().withColumn("error", F.lit("budget"))
+    good = _filled(fits, "request_id", "key").select("request_id", "key", "batch").join(failed, "request_id", "left")
+    bad = rows.where("entry > room").select("request_id", "key", F.lit(None).cast("long").alias("batch"), F.lit("budget").alias("error"))
+    return good.select("request_id", "key", "batch", "error").unionByName(bad)
 
 
 def pack_tool_batches(eligible: DataFrame, settings: Settings = DEFAULTS) -> DataFrame:
-    """(session_id, seq, batch, judged) of eligible tool outputs in order; a batch over the limit is not judged."""
-    cap = max(settings.token_limit - settings.batch_slack, settings.batch_floor)
-    cost = (estimate_tokens(F.col("content")) + settings.item_overhead).alias("cost")
-    grouped = eligible.select("session_id", "seq", cost).groupBy("session_id").agg(F.sort_array(F.collect_list(F.struct("seq", "cost"))).alias("q"))
-    packed = grouped.withColumn("batch", _fold(F.transform("q", lambda x: x["cost"]), F.lit(cap), F.lit(0)))
-    rows = packed.select("session_id", F.explode(F.arrays_zip("q", "batch")).alias("x"))
-    rows = rows.select("session_id", F.col("x.q.seq").alias("seq"), F.col("x.batch").alias("batch"), F.col("x.q.cost").alias("cost"))
-    total = F.sum("cost").over(W.partitionBy("session_id", "batch"))
-    return rows.withColumn("judged", total <= F.greatest(F.lit(cap), F.lit(settings.token_limit))).drop("cost")
+    """(session_id, seq, batch, judged) of eligible tool outputs (id, content) in order.
+
+    A batch is filled by each output's estimate and an overhead. It is judged as one text of all its outputs, each
+    under its id and a blank line apart, and not at all if that text is over the same limit.
+    """
+    limit = max(settings.token_limit - settings.batch_slack, settings.batch_floor)
+    cost = estimate_tokens(F.col("content")) + settings.item_overhead
+    shown = F.octet_length(F.coalesce("id", F.lit(""))) + F.octet_length(F.coalesce("content", F.lit(""))) + len("[]\n") + len("\n\n")
+    rows = eligible.select("session_id", "seq", cost.alias("cost"), F.lit(limit).cast("long").alias("room"), shown.cast("long").alias("shown"))
+    packed = _filled(rows, "session_id", "seq")
+    size = F.sum("shown").over(W.partitionBy("session_id", "batch")) - len("\n\n")
+    return packed.withColumn("judged", F.floor((size + 3) / 4) <= limit).select("session_id", "seq", "batch", "judged")
 
 
 def parse_answers(responses: DataFrame, questions: DataFrame) -> DataFrame:

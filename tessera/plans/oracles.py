@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 
 from ..config import DEFAULTS
-from ..functions.text import ACCENTED, PLAIN
+from ..functions.text import ACCENTED, FOLDED, PLAIN, SPECIAL
 from .views import TIGHT
 
 CTES = {
@@ -25,7 +25,7 @@ CTES = {
 
 
 def _tokens(column: str) -> str:
-    return f"regexp_extract_all(translate(lower({column}), '{ACCENTED}', '{PLAIN}'), '[\\p{{L}}\\p{{Nd}}]+')"
+    return f"regexp_extract_all(translate(lower(translate({column}, '{SPECIAL}', '{FOLDED}')), '{ACCENTED}', '{PLAIN}'), '[\\p{{L}}\\p{{Nd}}]+')"
 
 
 CTES["terms"] = f"SELECT id, collection, {_tokens('text')} AS tokens FROM memory"
@@ -80,7 +80,7 @@ def _ranked(name: str, judged: str, budget: int) -> dict[str, str]:
     }
 
 
-def _sql(select: str, more: dict[str, str] | None = None, recursive: bool = False) -> str:
+def _sql(select: str, more: dict[str, str] | None = None) -> str:
     """A query with those of the common expressions that it needs, in order."""
     known = CTES | (more or {})
     order, todo, needed = list(known), [select], set()
@@ -91,13 +91,42 @@ def _sql(select: str, more: dict[str, str] | None = None, recursive: bool = Fals
                 needed.add(name)
                 todo.append(known[name])
     ctes = ", ".join(f"{n} AS ({known[n]})" for n in sorted(needed, key=order.index))
-    return f"WITH {'RECURSIVE ' if recursive else ''}{ctes} {select}" if ctes else select
+    return f"WITH {'RECURSIVE ' if any(n.endswith('filled') for n in needed) else ''}{ctes} {select}" if ctes else select
+
+
+def _json_bytes(value: str) -> str:
+    """Bytes of a value's JSON once <, > and & are written as six-byte escapes."""
+    json = f"CAST(to_json({value}) AS VARCHAR)"
+    return f"(octet_length(encode({json})) + 5 * (length({json}) - length(translate({json}, '<>&', ''))))"
+
+
+def _fills(name: str, rows: str, room: str, key: str, order: str) -> dict[str, str]:
+    """CTE ``name``_filled: rows (key, order, cost and others) with a batch, filled in order while the sum stays within the room."""
+    return {
+        f"{name}_nth": f"SELECT *, row_number() OVER (PARTITION BY {key} ORDER BY {order}) AS nth FROM {rows}",
+        f"{name}_filled": f"""SELECT *, 1 AS batch, cost::BIGINT AS total FROM {name}_nth WHERE nth = 1 UNION ALL
+        SELECT t.*, CASE WHEN f.total + t.cost > {room} THEN f.batch + 1 ELSE f.batch END, (CASE WHEN f.total + t.cost > {room} THEN t.cost ELSE f.total + t.cost END)::BIGINT
+        FROM {name}_filled f JOIN {name}_nth t ON t.{key} = f.{key} AND t.nth = f.nth + 1""",
+    }
+
+
+#: What a batch of tool outputs may hold, and the estimate of its joined text: "[id]\\ncontent", parted by a blank line.
+_CAP = max(TIGHT.token_limit - TIGHT.batch_slack, TIGHT.batch_floor)
+_JOINED = f"(sum(octet_length(encode('[' || id || ']' || chr(10) || content))) OVER b + 2 * (count(*) OVER b - 1) + 3) // 4 <= {_CAP}"
 
 
 _SHORT = _shortlist("short", "requests", "default", DEFAULTS.shortlist_limit)
 _FIVE = _shortlist("five", "requests", "default", 5)
 _POS = {"cand": "SELECT request_id, id, rank AS pos FROM short"}
-_RECALL = _SHORT | _POS | _judge("judged", "cand", "requests") | _ranked("ranked", "judged", 2000)
+#: Requests whose passages fit into one call to the judge.
+_FITTING = {
+    "shown": f"""SELECT request_id, {_json_bytes("{'id': 'rel_' || (pos - 1), 'text': coalesce(text, '')}")} AS size,
+        {_json_bytes("'rel_' || (pos - 1)")} + 1 + {_json_bytes("{'type': 'noul', 'instructions': '" + DEFAULTS.recall_instructions + "'}")} AS question FROM cand JOIN memory USING (id)""",
+    "fitting": f"""SELECT request_id FROM (SELECT request_id, sum(size) + count(*) - 1 AS passages, max(question) AS question FROM shown GROUP BY request_id) JOIN requests USING (request_id)
+        WHERE {len('{"questions":{},"state":}') + len('{"passages":[],"request":}')} + passages + {_json_bytes("request")} + question <= {DEFAULTS.token_limit * 4}""",
+    "fair": "SELECT * FROM judged WHERE request_id IN (SELECT request_id FROM fitting)",
+}
+_RECALL = _SHORT | _POS | _judge("judged", "cand", "requests") | _FITTING | _ranked("ranked", "fair", 2000)
 _LINK = {"newer": "SELECT id AS request_id, text AS request FROM memory WHERE collection = 'conversation'"} | _shortlist("linked", "newer", "conversation", DEFAULTS.link_seeds, True) | _judge("link_p", "linked", "newer")
 _TIGHT_TAIL = TIGHT.protected_tail_tokens
 _ELIDE = {
@@ -105,7 +134,10 @@ _ELIDE = {
         WINDOW w AS (PARTITION BY session_id ORDER BY seq DESC ROWS UNBOUNDED PRECEDING)""",
     "pressed": f"SELECT session_id, CAST(sum(cost) AS BIGINT) AS used_tokens, sum(cost) >= {TIGHT.token_budget} * {TIGHT.pressure_ratio} AS under_pressure FROM sized GROUP BY session_id",
     "marks": "SELECT session_id, seq, CASE WHEN (seq - 1000) % 40 <> 7 THEN (seq - 1000) * 37 % 100 / 100.0 END AS p FROM said WHERE kind = 'tool'",
-    "eligible": "SELECT session_id, seq, p FROM tail JOIN marks USING (session_id, seq) WHERE NOT protected AND session_id IN (SELECT session_id FROM pressed WHERE under_pressure)",
+    "open": f"""SELECT session_id, seq, s.id, content, p, s.cost + {TIGHT.item_overhead} AS cost FROM tail JOIN marks USING (session_id, seq) JOIN sized s USING (session_id, seq)
+        WHERE NOT protected AND session_id IN (SELECT session_id FROM pressed WHERE under_pressure)""",
+    **_fills("open", "open", str(_CAP), "session_id", "seq"),
+    "eligible": f"SELECT session_id, seq, CASE WHEN {_JOINED} THEN p END AS p FROM open_filled WINDOW b AS (PARTITION BY session_id, batch)",
     "fallen": "SELECT DISTINCT session_id FROM eligible WHERE p IS NULL",
     "low": f"SELECT session_id, seq FROM eligible WHERE p < {TIGHT.drop_threshold} AND session_id NOT IN (SELECT session_id FROM fallen)",
     "elided": f"""SELECT s.*, l.seq IS NOT NULL AS elided, CASE WHEN f.session_id IS NULL THEN 'compacted' ELSE 'fallback' END AS status,
@@ -146,6 +178,7 @@ _LAST = {
 }
 _PREPARE = (
     _ELIDE
+    | {"eligible": "SELECT session_id, seq, p FROM open"}  # a judge without a cap
     | _PREFIX
     | _LAST
     | _shortlist("short_d", "wants", "default", 20)
@@ -209,13 +242,14 @@ _COMPACT = (
             kept_id, tokens_before, kept_id IS DISTINCT FROM first_id AS fresh_cut FROM chosen WHERE summary <> '' AND kept_id <> ''""",
     }
 )
-_CAP = max(TIGHT.token_limit - TIGHT.batch_slack, TIGHT.batch_floor)
-_PACK = {
-    "tools": f"SELECT session_id, seq, cost + {TIGHT.item_overhead} AS cost, row_number() OVER (PARTITION BY session_id ORDER BY seq) AS nth FROM sized WHERE kind = 'tool'",
-    "filled": f"""SELECT session_id, seq, nth, cost, 1 AS batch, cost AS total FROM tools WHERE nth = 1 UNION ALL
-        SELECT t.session_id, t.seq, t.nth, t.cost, CASE WHEN f.total + t.cost > {_CAP} THEN f.batch + 1 ELSE f.batch END, CASE WHEN f.total + t.cost > {_CAP} THEN t.cost ELSE f.total + t.cost END
-        FROM filled f JOIN tools t ON t.session_id = f.session_id AND t.nth = f.nth + 1""",
-}
+_PACK = {"tools": f"SELECT session_id, seq, id, content, cost + {TIGHT.item_overhead} AS cost FROM sized WHERE kind = 'tool'"} | _fills("tools", "tools", str(_CAP), "session_id", "seq")
+_ROOM = TIGHT.token_limit * 4 - len('{"questions":{},"state":}') - 2000
+_ASK = {
+    "keyed": "SELECT source AS request_id, 'q' || lpad(doc_id::VARCHAR, 9, '0') AS key, text FROM documents",
+    "entered": f"""SELECT request_id, key, {_json_bytes("key")} + 1 + CASE WHEN text IS NULL THEN {len('{"type":"noul"}')} ELSE {_json_bytes("{'type': 'noul', 'instructions': text}")} END AS entry FROM keyed""",
+    "asks": f"SELECT request_id, key, entry + 1 AS cost FROM entered WHERE entry <= {_ROOM}",
+    "failing": f"SELECT DISTINCT request_id FROM entered WHERE entry > {_ROOM}",
+} | _fills("asks", "asks", str(_ROOM + 1), "request_id", "key")
 _P = "CASE WHEN doc_id % 4 IN (0, 1) THEN doc_id % 10 / 10.0::DOUBLE END"
 _V = "CASE doc_id % 4 WHEN 0 THEN 'v1' WHEN 1 THEN 'v2' END"
 
@@ -258,13 +292,13 @@ ORACLES: dict[str, str] = {
     "recall_ranked": _sql("SELECT request_id, id, source_id, probability, rank, cost, used, fits FROM ranked", _RECALL),
     "recall_unranked": _sql(
         """SELECT request_id, id, source_id, pos, NULL::DOUBLE AS probability, true AS unranked FROM cand JOIN memory USING (id)
-           WHERE request_id IN (SELECT request_id FROM judged WHERE coalesce(probability, 0) < 0.4)""",
+           WHERE request_id IN (SELECT request_id FROM judged WHERE coalesce(probability, 0) < 0.4) OR request_id NOT IN (SELECT request_id FROM fitting)""",
         _RECALL,
     ),
     "recall_section": _sql("SELECT request_id, sha256(string_agg(label, chr(10) || chr(10) ORDER BY rank)) AS section_sha256 FROM ranked WHERE fits AND label <> '' GROUP BY request_id", _RECALL),
     "recall_rows": _sql(
-        """SELECT request_id, 'ok' AS status, count(id) FILTER (WHERE fits)::INTEGER AS n_passages, coalesce(string_agg(source_id, ',' ORDER BY rank) FILTER (WHERE NOT fits), '') AS over,
-            coalesce(sum(cost) FILTER (WHERE fits), 0)::BIGINT AS used_tokens, 2000 AS budget, 'utf8-div-4' AS estimator FROM requests LEFT JOIN ranked USING (request_id) GROUP BY request_id""",
+        """SELECT request_id, 'ok' AS status, CASE WHEN request_id IN (SELECT request_id FROM fitting) THEN count(id) FILTER (WHERE fits) ELSE (SELECT count(*) FROM cand c WHERE c.request_id = requests.request_id) END::INTEGER AS n_passages, coalesce(string_agg(source_id, ',' ORDER BY rank) FILTER (WHERE NOT fits), '') AS over,
+            coalesce(sum(cost) FILTER (WHERE fits), 0)::BIGINT AS used_tokens, 2000 AS budget, 'utf8-div-4' AS estimator FROM requests LEFT JOIN ranked USING (request_id) GROUP BY requests.request_id""",
         _RECALL,
     ),
     "recall_request": _sql(
@@ -302,8 +336,11 @@ ORACLES: dict[str, str] = {
     "plan_compaction": _sql("SELECT session_id, sha256(text) AS summary_sha256, kept_id AS first_kept_entry_id, tokens_before, fresh_cut FROM final", _COMPACT),
     "fit_summary": _sql(f"SELECT session_id, sha256({_fit('whole', '120')}) AS summary_sha256 FROM (SELECT session_id, array_to_string(context, chr(10) || chr(10)) AS whole FROM plans)", _LOG),
     "compaction_from_plan": _sql("SELECT session_id, sha256(array_to_string(context, chr(10) || chr(10))) AS summary_sha256, first_id AS first_kept_entry_id, tokens_before FROM plans JOIN prep USING (session_id) WHERE status = 'compacted'", _LOG),
-    "pack_tool_batches": _sql(
-        f"SELECT session_id, seq, batch::BIGINT AS batch, sum(cost) OVER (PARTITION BY session_id, batch) <= {max(_CAP, TIGHT.token_limit)} AS judged FROM filled", _PACK, recursive=True
+    "pack_tool_batches": _sql(f"SELECT session_id, seq, batch::BIGINT AS batch, {_JOINED} AS judged FROM tools_filled WINDOW b AS (PARTITION BY session_id, batch)", _PACK),
+    "pack_questions": _sql(
+        f"""SELECT request_id, key, batch::BIGINT AS batch, CASE WHEN request_id IN (SELECT request_id FROM failing) THEN 'budget' END AS error FROM asks_filled
+            UNION ALL SELECT request_id, key, NULL, 'budget' FROM entered WHERE entry > {_ROOM}""",
+        _ASK,
     ),
     "parse_answers": f"SELECT doc_id AS request_id, 'k' AS key, {_P} AS probability, {_V} AS model_version, CASE WHEN doc_id % 4 >= 2 THEN 'parse' END AS error FROM documents",
     "merge_answers": f"""SELECT request_id, key, CASE WHEN error IS NULL THEN p END AS probability, version AS model_version, error FROM

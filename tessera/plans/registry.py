@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -143,9 +145,9 @@ def lexical_judge(spark, d):
 
 def _recalled(spark, d, keep="true", settings=DEFAULTS, budget=2000):
     asked, rows = views.requests(spark, d), views.memory(spark, d)
-    built = index.build_index(rows)
-    judged = _judged(spark, d, asked, recall.recall_candidates(asked, rows, None, "default", built)).where(keep)
-    return recall.ranked_passages(asked, rows, None, judged, "default", budget, built, settings)
+    found = materialize(recall.recall_candidates(asked, rows, None, "default"))
+    judged = _judged(spark, d, asked, found).where(keep)
+    return recall.ranked_passages(asked, rows, None, judged, "default", budget, None, settings, found)
 
 
 def recall_ranked(spark, d):
@@ -165,9 +167,8 @@ def recall_section(spark, d):
 
 def recall_rows(spark, d):
     asked, rows = views.requests(spark, d), views.memory(spark, d)
-    built = index.build_index(rows)
-    judged = _judged(spark, d, asked, recall.recall_candidates(asked, rows, None, "default", built))
-    out = recall.recall(asked, rows, None, judged, "default", 2000, built)
+    found = materialize(recall.recall_candidates(asked, rows, None, "default"))
+    out = recall.recall(asked, rows, None, _judged(spark, d, asked, found), "default", 2000, candidates=found)
     return out.select("request_id", "status", F.coalesce(F.size("passages"), F.lit(0)).alias("n_passages"), F.array_join("over_budget", ",").alias("over"), "used_tokens", "budget", "estimator")
 
 
@@ -225,8 +226,9 @@ def prepare_plan(spark, d):
     said, rows, edges = views.session_messages(spark, d), views.memory(spark, d), views.chain_edges(spark, d)
     asked = messages.last_user_text(said).select(F.col("session_id").alias("request_id"), "request")
     built = index.build_index(rows)
-    found = recall.recall_candidates(asked, rows, edges, "default", built).unionByName(recall.recall_candidates(asked, rows, edges, CONVERSATION, built))
-    out = compact.prepare(said, rows, edges, views.tool_judgments(said), materialize(_judged(spark, d, asked, found)), index=built, settings=TIGHT)
+    found = {c: materialize(recall.recall_candidates(asked, rows, edges, c, built)) for c in ("default", CONVERSATION)}
+    judged = materialize(_judged(spark, d, asked, found["default"].unionByName(found[CONVERSATION])))
+    out = compact.prepare(said, rows, edges, views.tool_judgments(said), judged, settings=replace(TIGHT, judge_has_cap=False), candidates=found)
     return out.select("session_id", "status", F.size("context").alias("n_context"), "used_tokens", "budget", F.array_join("over_budget", ",").alias("over"), "under_pressure")
 
 

@@ -2,11 +2,13 @@
 
 import json
 import random
+import shutil
 
 from pyspark.sql import functions as F
 
 from tessera.config import CONVERSATION, DEFAULTS, Settings
-from tessera.operators import compact, host_window, messages
+from tessera.functions import text as tx
+from tessera.operators import compact, host_window, index, messages
 from tessera.schemas import ELISIONS, MEMORY
 from tessera.sources import tables
 from tessera.streaming import streams
@@ -231,6 +233,74 @@ def test_captured_twice_is_stored_once(spark, tmp_path):
     assert got[0].request_id == 7 and "alpha refund policy" in got[0].section
 
 
+def test_output_over_the_judges_limit_makes_its_session_fall_back(spark):
+    settings = Settings(token_budget=1000, protected_tail_tokens=10, token_limit=5600)  # batches of 4576 tokens
+    small, between = "s" * 8000, "b" * 20000  # 2000 and 5000 tokens; the second is under the judge's limit, not under the batch's
+    rows = [(n, i, f"t{i}", "tool", "tool", text) for n, texts in ((1, [small, small, "end" * 40]), (2, [small, between, "end" * 40])) for i, text in enumerate(texts)]
+    said = spark.createDataFrame(rows, SAID)
+    marks = said.select("session_id", "seq", F.lit(0.1).alias("probability"))
+    done, kept = compact.elide(said, marks, settings=settings)
+    assert {(r.session_id, r.status, r.elided) for r in done.where("seq < 2").collect()} == {(1, "compacted", True), (2, "fallback", False)}
+    assert kept.count() == 2  # the two small ones have one pointer
+    free, _ = compact.elide(said, marks, settings=Settings(token_budget=1000, protected_tail_tokens=10, judge_has_cap=False))
+    assert all(r.elided for r in free.where("seq < 2").collect())
+
+
+def _passages(spark, rows):
+    return spark.createDataFrame(rows, "id long, collection string, text string")
+
+
+def test_kept_index_tokenises_new_rows_only(spark, tmp_path):
+    path = str(tmp_path / "kept")
+    settings = Settings(index_buckets=3)
+    first = _passages(spark, [(1, "default", "red boat on the lake"), (2, "default", "a red kite"), (3, "default", "")])
+    assert index.append_index(first, path, settings=settings) == 3 and index.append_index(first, path, settings=settings) == 0
+    both = first.unionByName(_passages(spark, [(4, "default", "kite over the red lake")]))
+    assert index.append_index(both, path, settings=settings) == 1
+    asked = spark.createDataFrame([(9, "red lake kite")], "request_id long, request string")
+    kept = index.shortlist(asked, both, index=index.open_index(spark, path, settings)).orderBy("rank").collect()
+    assert kept == index.shortlist(asked, both).orderBy("rank").collect() and [r.id for r in kept][0] == 4
+
+
+def test_kept_index_after_a_call_that_failed_in_between(spark, tmp_path):
+    path, settings = str(tmp_path / "kept"), Settings(index_buckets=2)
+    rows = _passages(spark, [(1, "default", "one two"), (2, "default", "two three")])
+    index.append_index(rows, path, settings=settings)
+    shutil.rmtree(f"{path}/lengths")  # as if the last write had failed
+    assert index.append_index(rows, path, settings=settings) == 0
+    postings, _, stats = index.open_index(spark, path, settings)
+    assert postings.count() == 4 and tuple(stats.first()) == (2, 2.0)
+
+
+def test_many_slices_give_the_same_shortlist(spark, monkeypatch):
+    rows = _passages(spark, [(i, "default", f"word{i % 3} word{i % 5} rest{i}") for i in range(40)])
+    asked = spark.createDataFrame([(i, f"word{i % 3} rest{i} rest{i + 1}") for i in range(30)], "request_id long, request string")
+    want = index.shortlist(asked, rows, 4).orderBy("request_id", "rank").collect()
+    for tokens, slices in ((20, 8), (20, 1)):
+        monkeypatch.setattr(index, "SLICE_TOKENS", tokens)
+        monkeypatch.setattr(index, "MAX_SLICES", slices)
+        assert index.shortlist(asked, rows, 4).orderBy("request_id", "rank").collect() == want
+
+
+def test_recall_stream_without_a_store(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a.json").write_text('{"request_id": 1, "request": "anything"}')
+    stream = spark.readStream.schema("request_id long, request string").json(str(tmp_path / "in"))
+    where = [str(tmp_path / x) for x in ("store", "edges", "out", "check")]
+    streams.recall_stream(stream, *where).awaitTermination(120)
+    assert spark.read.schema("request_id long, section string").parquet(where[2]).count() == 0
+
+
+def test_text_of_nested_content(spark):
+    deep = '"end"'
+    for _ in range(6):
+        deep = '[{"type": "text", "content": ' + deep + "}, {}]"
+    rows = [('"[1, 2]"', "[1, 2]"), ('[{"content": "[3]"}, 4, {"text": "a"}]', "[3]\na"), (deep, "end"), ('{"text": "x"}', ""), (None, ""), ("[]", ""), ('[{"text": "", "content": "c"}]', "")]
+    got = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "i int, c string, want string")
+    got = got.withColumn("text", tx.text_of(F.col("c"))).orderBy("i").collect()
+    assert [r.text for r in got] == [r.want for r in got]
+
+
 def test_compaction_stream(spark, tmp_path):
     entries = log(spark, ("u1", "question"), ("t1", "y" * 8000), ("a1", "ok"))
     schema = PREPARATION + ", to_summarize array<string>, turn_prefix array<string>"

@@ -33,7 +33,7 @@ def ask(spark, *texts):
 @pytest.mark.parametrize(
     "text,want",
     [
-        ("refund policy", ["refund", "policy"]),
+        ("tariff ledger", ["tariff", "ledger"]),
         ("ab漢字仮名c9", ["ab", "漢字", "字仮", "仮名", "c9"]),
         ("漢", ["漢"]),
         ("Naïve ÉCOLE straße", ["naive", "ecole", "straße"]),
@@ -108,8 +108,8 @@ def test_ids_follow_arrival_at_any_partitioning(spark, parts):
 
 
 def test_sources_are_replaced_alone(spark):
-    old = memory(spark, [(1, "d", "policy", "one", "", ""), (2, "d", "other", "unrelated", "", ""), (3, "e", "policy", "keep", "", "")])
-    new = memory(spark, [(4, "d", "policy", "a", "", ""), (5, "d", "policy", "b", "", "")])
+    old = memory(spark, [(1, "d", "ledger", "one", "", ""), (2, "d", "other", "unrelated", "", ""), (3, "e", "ledger", "keep", "", "")])
+    new = memory(spark, [(4, "d", "ledger", "a", "", ""), (5, "d", "ledger", "b", "", "")])
     assert sorted(r.id for r in store.replace_source(old, new).collect()) == [2, 3, 4, 5]
     assert sorted(r.id for r in store.replace_source(old, new.limit(0), new).collect()) == [2, 3]
 
@@ -153,12 +153,12 @@ def test_bm25_equals_the_full_text_engine(spark):
 
 
 def test_shortlist(spark, monkeypatch):
-    rows = said(spark, "refund policy alpha", "shipping dock", "之前在插件的开发")
+    rows = said(spark, "tariff ledger alpha", "ferry pier", "之前在插件的开发")
     got = lambda *q: [(r.request_id, r.id) for r in index.shortlist(ask(spark, *q), rows, 5, CONVERSATION).orderBy("request_id", "rank").collect()]
-    assert got("refund", "zzz none", "插件开发", "", "dock " + "pad " * 70 + "policy") == [(0, 1), (2, 3), (4, 1)]
+    assert got("tariff", "zzz none", "插件开发", "", "pier " + "pad " * 70 + "ledger") == [(0, 1), (2, 3), (4, 1)]
     monkeypatch.setattr(index, "SLICE_TOKENS", 1)
-    assert got("refund", "dock", "alpha shipping") == [(0, 1), (1, 2), (2, 2), (2, 1)]
-    assert index.shortlist(ask(spark, "refund"), rows, 5, "default").count() == 0
+    assert got("tariff", "pier", "alpha ferry") == [(0, 1), (1, 2), (2, 2), (2, 1)]
+    assert index.shortlist(ask(spark, "tariff"), rows, 5, "default").count() == 0
 
 
 def near(spark, seeds, edges, rows, limit=20):
@@ -178,7 +178,7 @@ def test_neighbourhood(spark):
 
 
 def test_links(spark):
-    rows = said(spark, "alpha refund policy", "refund policy update", "refund policy tweak")
+    rows = said(spark, "alpha tariff ledger", "tariff ledger update", "tariff ledger tweak")
     pairs = graph.link_candidates(rows.where("id > 1"), rows)
     assert {(r.src, r.dst) for r in pairs.collect()} == {(2, 1), (3, 1), (3, 2)}
     marks = [(2, 1, 0.9), (3, 1, 0.3), (3, 2, 0.3)]
@@ -198,18 +198,18 @@ def recalled(spark, rows, request, marks, budget=2000, edges=None):
 
 
 def test_recall(spark):
-    rows = memory(spark, [(1, CONVERSATION, "a", "alpha refund policy", "/proj/a", "x"), (2, CONVERSATION, "b", "beta refund policy", "/proj/b", "y"), (3, CONVERSATION, "c", "huge refund " + "x" * 9000, "/", "z")])
-    out, section = recalled(spark, rows.where("id < 3"), "refund policy", [(1, 0.2), (2, 0.8)])
+    rows = memory(spark, [(1, CONVERSATION, "a", "alpha tariff ledger", "/proj/a", "x"), (2, CONVERSATION, "b", "beta tariff ledger", "/proj/b", "y"), (3, CONVERSATION, "c", "huge tariff " + "x" * 9000, "/", "z")])
+    out, section = recalled(spark, rows.where("id < 3"), "tariff ledger", [(1, 0.2), (2, 0.8)])
     assert "beta" in section and "cwd:/proj/b" in section and "alpha" not in section and out.used_tokens > 0
-    out, section = recalled(spark, rows, "refund", [(1, 0.2), (2, 0.8), (3, 0.95)])
+    out, section = recalled(spark, rows, "tariff", [(1, 0.2), (2, 0.8), (3, 0.95)])
     assert section == "" and out.over_budget == ["c", "b"]
     out, section = recalled(spark, rows, "zzzz-no-such-token", [])
     assert out.status == "ok" and out.passages == [] and section == ""
-    out, section = recalled(spark, rows, "refund", [(1, 0.2), (2, 0.8)])
+    out, section = recalled(spark, rows, "tariff", [(1, 0.2), (2, 0.8)])
     assert section == "" and len(out.passages) == 3 and all(p.unranked and p.probability is None for p in out.passages)
-    rows = said(spark, "alpha refund policy", "beta shipping dock schedule")
-    out, section = recalled(spark, rows, "refund", [(1, 0.1), (2, 0.9)], edges=[(2, 1, "related", 0.9)])
-    assert [p.text for p in out.passages] == ["[session:n cwd:/p]\nbeta shipping dock schedule"] and "beta" in section
+    rows = said(spark, "alpha tariff ledger", "beta ferry pier schedule")
+    out, section = recalled(spark, rows, "tariff", [(1, 0.1), (2, 0.9)], edges=[(2, 1, "related", 0.9)])
+    assert [p.text for p in out.passages] == ["[session:n cwd:/p]\nbeta ferry pier schedule"] and "beta" in section
 
 
 def test_recall_request(spark):
@@ -228,9 +228,11 @@ def test_judges(spark):
 
 def test_packing(spark):
     settings = Settings(token_limit=12000)
-    tools = spark.createDataFrame([(1, i, "x" * 24000) for i in range(3)] + [(2, 0, "y" * 90000), (2, 1, "z")], "session_id long, seq int, content string")
+    texts = [(1, i, "x" * 24000) for i in range(3)] + [(2, 0, "y" * 90000), (2, 1, "z"), (3, 0, "b" * 46000), (3, 1, "c" * (4 * 10976 - 6)), (3, 2, "c" * (4 * 10976 - 5))]
+    tools = spark.createDataFrame([(n, i, f"id{i}", t) for n, i, t in texts], "session_id long, seq int, id string, content string")
     got = judging.pack_tool_batches(tools, settings).orderBy("session_id", "seq").collect()
-    assert [(r.batch, r.judged) for r in got] == [(1, True), (2, True), (3, True), (1, False), (2, True)]
+    # 46000 characters are under the judge's limit and over the batch's; with its id an output of 4 * 10976 - 6 still fits
+    assert [(r.batch, r.judged) for r in got] == [(1, True), (2, True), (3, True), (1, False), (2, True), (1, False), (2, True), (3, False)]
     rows = [("a", "k1", 60000), ("a", "k2", 60000), ("a", "k3", 100), ("b", "k", 200000), ("b", "small", 10)]
     df = spark.createDataFrame(rows, "request_id string, key string, entry_bytes int").withColumn("state_bytes", F.lit(10))
     got = {(r.request_id, r.key): (r.batch, r.error) for r in judging.pack_questions(df, Settings(token_limit=25000)).collect()}
@@ -240,10 +242,10 @@ def test_packing(spark):
 
 
 def test_answers(spark):
-    body = '{"answers":{"flag":{"noul":0.4},"team":{"choice":"returns","probability":0.8,"confidence":0.7},"level":{"score":3,"probability":0.6},"bad":{}},"modelVersion":"v7"}'
-    asked = [("r", 0, k, t) for k, t in (("flag", "noul"), ("team", "choice"), ("level", "score"), ("bad", "noul"), ("gone", "score"))] + [("q", 0, "x", "noul")]
+    body = '{"answers":{"keep":{"noul":0.4},"group":{"choice":"north","probability":0.8,"confidence":0.7},"grade":{"score":3,"probability":0.6},"bad":{}},"modelVersion":"v7"}'
+    asked = [("r", 0, k, t) for k, t in (("keep", "noul"), ("group", "choice"), ("grade", "score"), ("bad", "noul"), ("gone", "score"))] + [("q", 0, "x", "noul")]
     questions = spark.createDataFrame(asked, "request_id string, batch int, key string, type string")
     got = {r.key: r for r in judging.parse_answers(spark.createDataFrame([("r", 0, body), ("q", 0, "<html>")], "request_id string, batch int, body string"), questions).collect()}
-    assert (got["flag"].probability, got["team"].choice, got["team"].confidence, got["level"].score) == (0.4, "returns", 0.7, 3.0)
-    assert {k for k, r in got.items() if r.error == "parse"} == {"bad", "gone", "x"} and got["bad"].probability is None and got["flag"].model_version == "v7"
+    assert (got["keep"].probability, got["group"].choice, got["group"].confidence, got["grade"].score) == (0.4, "north", 0.7, 3.0)
+    assert {k for k, r in got.items() if r.error == "parse"} == {"bad", "gone", "x"} and got["bad"].probability is None and got["keep"].model_version == "v7"
     assert judging.validate_questions(spark.createDataFrame([("noul", " "), ("odd", "x"), ("score", "x")], "type string, instructions string")).where("error is null").count() == 1
