@@ -353,4 +353,49 @@ ORACLES: dict[str, str] = {
            CASE WHEN role = 'system' THEN 'prefix' ELSE 'prose' END AS kind, sha256(text) AS content_sha256 FROM turns"""
     ),
     "candidate_turns": _sql("SELECT arrival, role, sha256(regexp_replace(text, '^\\s+|\\s+$', '', 'g')) AS content_sha256 FROM turns WHERE role IN ('user', 'assistant') AND trim(text) <> ''"),
+    "read_turns": _sql("SELECT '/w' AS cwd, session_id, 'src-' || session_id AS source_id, CAST(row_number() OVER (PARTITION BY session_id ORDER BY seq) - 1 AS INTEGER) AS place, role, sha256(text) AS text_sha256, false AS generated_summary FROM turns"),
+    "stored_memory": _sql("SELECT id, collection, source_id, sha256(text) AS sha256, sha256(text) AS text_sha256, session_id, role FROM memory WHERE collection = 'conversation'"),
+    "stored_edges": _sql("SELECT src, dst, kind, probability FROM edges"),
+    "stored_elisions": "SELECT DISTINCT 'e:' || sha256(html) AS pointer, octet_length(encode(html))::INTEGER AS n_bytes, sha256(html) AS original_sha256 FROM pages",
+    "read_judgments": f"""SELECT doc_id::VARCHAR AS request_id, 0 AS batch, CASE doc_id % 4 WHEN 0 THEN '{{"answers":{{"k":{{"noul":' || (doc_id % 10 / 10.0)::DOUBLE || '}}}},"model":"v1"}}'
+        WHEN 1 THEN '{{"questions":{{"k":{{"probability":' || (doc_id % 10 / 10.0)::DOUBLE || '}}}},"version":" ","model":"v2"}}' WHEN 2 THEN '{{"answers":{{"k":{{}}}}}}' ELSE 'not json' END AS body FROM documents""",
+    "write_plans": _sql("SELECT session_id, status, sha256(array_to_string(context, '|')) AS context_sha256, CASE WHEN session_id % 2 = 0 THEN 'a,b' END AS over FROM plans", _LOG),
+    "read_text_sources": _sql("SELECT 'notes' AS collection, session_id AS source_id, CAST(row_number() OVER (PARTITION BY session_id ORDER BY seq) - 1 AS INTEGER) AS place, sha256(text) AS sha256 FROM turns"),
+    "entry_tokens": _sql(
+        """SELECT conv_id AS session_id, seq, ['message', 'compaction', 'branch_summary', 'custom_message', 'model_change'][seq % 5 + 1] AS type, CAST((CASE seq % 5
+           WHEN 0 THEN length(CAST(to_json({'role': role, 'content': text}) AS VARCHAR)) WHEN 3 THEN CASE WHEN seq % 2 = 0 THEN length(CAST(to_json({'t': text}) AS VARCHAR)) ELSE 2 END
+           WHEN 4 THEN 0 ELSE length(text) END + 3) // 4 AS BIGINT) AS tokens FROM turns"""
+    ),
+    "text_of": """SELECT doc_id, sha256(CASE doc_id % 6 WHEN 0 THEN text WHEN 1 THEN text || e'\\nlevel 0' WHEN 2 THEN text || e'\\nlevel 0\\nlevel 1'
+        WHEN 5 THEN text || e'\\nlevel 0\\nlevel 1\\nlevel 2\\nlevel 3\\nlevel 4' ELSE '' END) AS text_sha256 FROM documents WHERE text IS NOT NULL""",
+    "session_turns": _sql(
+        """SELECT conv_id AS session_id, seq, role, sha256(regexp_replace(text, '^\\s+|\\s+$', '', 'g')) AS content_sha256 FROM turns
+           WHERE (seq % 3 < 2 OR seq % 5 = 0) AND role IN ('user', 'assistant') AND trim(text) <> ''"""
+    ),
+    "messages_from_preparation": _sql(
+        """SELECT conv_id AS session_id, CAST(nth AS INTEGER) AS seq, 'm' || nth AS id, CASE WHEN role = 'tool' THEN 'tool' ELSE role END AS role,
+           CASE role WHEN 'tool' THEN 'tool' WHEN 'system' THEN 'prefix' ELSE 'prose' END AS kind, sha256(text) AS content_sha256
+           FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY seq) - 1 AS nth FROM turns WHERE seq < 4)"""
+    ),
+    "messages_for_compaction": _sql(
+        """SELECT conv_id AS session_id, part, CAST(row_number() OVER (PARTITION BY conv_id, part ORDER BY seq) - 1 AS INTEGER) AS seq, role,
+           CASE role WHEN 'tool' THEN 'tool' WHEN 'system' THEN 'prefix' ELSE 'prose' END AS kind, sha256(text) AS content_sha256
+           FROM (SELECT *, CASE WHEN seq < 4 THEN 0 ELSE 1 END AS part, max(seq) OVER (PARTITION BY conv_id) AS top FROM turns)
+           WHERE seq < 4 OR conv_id % 3 = 0 OR (conv_id % 3 = 1 AND seq < 6 AND top >= 6)"""
+    ),
+    "judge": _sql("SELECT request_id, id, (length(request) * 3 + length(text)) % 100 / 100.0::DOUBLE AS probability FROM five JOIN requests USING (request_id) JOIN memory USING (id)", _FIVE),
+    "capture_batches": _sql(
+        """SELECT row_number() OVER (ORDER BY batch, arrival) AS id, 'conversation' AS collection, session_id AS source_id, hash AS sha256, session_id, role
+           FROM (SELECT *, CASE WHEN conv_id % 3 < 2 THEN 0 ELSE 1 END AS batch, sha256(text) AS hash FROM turns WHERE role IN ('user', 'assistant') AND trim(text) <> '')
+           QUALIFY row_number() OVER (PARTITION BY hash ORDER BY batch, arrival) = 1"""
+    ),
+    "recall_batches": _sql(
+        "SELECT request_id, CAST(request_id % 2 AS INTEGER) AS batch, sha256(string_agg(label, chr(10) || chr(10) ORDER BY rank)) AS section_sha256 FROM ranked WHERE fits AND label <> '' GROUP BY request_id",
+        _shortlist("asked_c", "requests", "conversation", DEFAULTS.shortlist_limit)
+        | _near("near", "asked_c")
+        | {"cand": "SELECT request_id, id, pos FROM near"}
+        | _judge("judged", "cand", "requests")
+        | _FITTING
+        | _ranked("ranked", "fair", DEFAULTS.inject_budget),
+    ),
 }

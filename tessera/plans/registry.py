@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import replace
 
 from pyspark.sql import DataFrame
@@ -10,7 +11,9 @@ from pyspark.sql import functions as F
 from ..config import CONVERSATION, DEFAULTS
 from ..functions import text as tx
 from ..operators import compact, graph, host_window, index, judging, messages, recall, store
-from ..sources.shared import materialize
+from ..sources import tables
+from ..sources.shared import materialize, shared_dir
+from ..streaming import streams
 from . import views
 from .oracles import ORACLES  # noqa: F401
 from .views import TIGHT, table
@@ -324,11 +327,158 @@ def candidate_turns(spark, d):
     return messages.candidate_turns(said.select("arrival", "role", block.alias("content_json"))).select("arrival", "role", F.sha2("content", 256).alias("content_sha256"))
 
 
+def _folder(spark) -> str:
+    return f"{shared_dir(spark)}/tables/{uuid.uuid4().hex}"
+
+
+def read_turns(spark, d):
+    said = views.turns(spark, d)
+    item = F.struct("role", F.col("text").alias("content"), F.lit(False).alias("generated_summary"))
+    listed = F.array_sort(F.collect_list(F.struct("seq", item.alias("m"))))
+    rows = said.groupBy("session_id").agg(F.transform(listed, lambda x: x["m"]).alias("messages"))
+    at = _folder(spark)
+    rows.select(F.lit("/w").alias("cwd"), "session_id", F.concat(F.lit("src-"), "session_id").alias("source_id"), "messages").write.json(at)
+    return tables.read_turns(spark, at).select("cwd", "session_id", "source_id", "place", "role", F.sha2("text", 256).alias("text_sha256"), "generated_summary")
+
+
+def stored_memory(spark, d):
+    at = _folder(spark)
+    tables.write_memory(views.memory(spark, d), at)
+    return tables.read_memory(spark, at, CONVERSATION).select("id", "collection", "source_id", "sha256", F.sha2("text", 256).alias("text_sha256"), "session_id", "role")
+
+
+def stored_edges(spark, d):
+    at = _folder(spark)
+    tables.write_edges(views.chain_edges(spark, d), at)
+    return tables.read_edges(spark, at)
+
+
+def stored_elisions(spark, d):
+    at = _folder(spark)
+    rows = table(spark, d, "pages").select(tx.pointer_for(F.col("html")).alias("pointer"), F.col("html").cast("binary").alias("original"), F.sha2("html", 256).alias("sha256"))
+    tables.write_elisions(store.upsert_elisions(rows.limit(0), rows), at)
+    return tables.read_elisions(spark, at).select("pointer", F.octet_length("original").alias("n_bytes"), F.sha2("original", 256).alias("original_sha256"))
+
+
+def read_judgments(spark, d):
+    at = _folder(spark)
+    _responses(spark, d)[0].select(F.col("request_id").cast("string"), "batch", "body").write.json(at)
+    return tables.read_judgments(spark, at)
+
+
+def write_plans(spark, d):
+    at = _folder(spark)
+    over = F.when(F.col("session_id") % 2 == 0, F.array(F.lit("a"), F.lit("b"))).otherwise(F.array().cast("array<string>"))
+    tables.write_plans(views.plans(views.session_messages(spark, d)).withColumn("over_budget", over), at)
+    lines = spark.read.text(at).withColumn("value", F.parse_json("value"))
+    get = lambda path, kind: F.variant_get("value", f"$.{path}", kind)
+    return lines.select(
+        get("session_id", "long").alias("session_id"), get("status", "string").alias("status"), F.sha2(F.array_join(get("context", "array<string>"), "|"), 256).alias("context_sha256"),
+        F.array_join(get("over_budget", "array<string>"), ",").alias("over"),
+    )
+
+
+def read_text_sources(spark, d):
+    at = _folder(spark)
+    listed = F.array_sort(F.collect_list(F.struct("seq", "text")))
+    views.turns(spark, d).groupBy(F.col("session_id").alias("source_id")).agg(F.transform(listed, lambda x: x["text"]).alias("texts")).write.json(at)
+    return tables.read_text_sources(spark, at, "notes").select("collection", "source_id", "place", "sha256")
+
+
+def _typed_entries(spark, d):
+    """Turns as log entries of five types."""
+    said = views.turns(spark, d).select(F.col("conv_id").alias("session_id"), "seq", "role", "text")
+    kind = F.element_at(F.array(*map(F.lit, ("message", "compaction", "branch_summary", "custom_message", "model_change"))), F.col("seq") % 5 + 1)
+    return said.select(
+        "session_id", "seq", F.concat(F.lit("e"), "seq").alias("id"), kind.alias("type"), F.to_json(F.struct("role", F.col("text").alias("content"))).alias("message_json"),
+        F.col("text").alias("summary"), F.when(F.col("seq") % 2 == 0, F.to_json(F.struct(F.col("text").alias("t")))).alias("content_json"),
+    )
+
+
+def entry_tokens(spark, d):
+    rows = _typed_entries(spark, d)
+    return rows.select("session_id", "seq", "type", tx.entry_tokens(rows).alias("tokens"))
+
+
+def _nested(text, depth):
+    """JSON of blocks around a text, so many levels deep, with a block beside each."""
+    json = F.to_json(F.struct(text.alias("t"))).substr(F.lit(6), F.length(F.to_json(F.struct(text.alias("t")))) - 6)
+    for level in range(depth):
+        json = F.concat(F.lit('[{"type":"text","content":'), json, F.lit(f'}},{{"type":"image"}},{{"text":"level {level}"}}]'))
+    return json
+
+
+def text_of(spark, d):
+    rows = table(spark, d, "documents").where("text is not null")
+    text, way = F.col("text"), F.col("doc_id") % 6
+    deep = [F.when(way == n, _nested(text, n)) for n in (0, 1, 2, 5)]
+    json = F.coalesce(*deep, F.when(way == 3, F.to_json(F.struct(text.alias("text")))), F.lit("[1, null]"))
+    return rows.select("doc_id", F.sha2(tx.text_of(json), 256).alias("text_sha256"))
+
+
+def session_turns(spark, d):
+    rows = _typed_entries(spark, d).withColumn("type", F.when(F.col("seq") % 3 < 2, "message").otherwise(F.col("type")))
+    return messages.session_turns(rows).select("session_id", "seq", "role", F.sha2("content", 256).alias("content_sha256"))
+
+
+def _prepared_messages(spark, d):
+    rows = _typed_entries(spark, d)
+    listed = lambda c: F.transform(F.array_sort(F.collect_list(F.when(c, F.struct("seq", "message_json")))), lambda x: x["message_json"])
+    return rows.groupBy("session_id").agg(listed(F.col("seq") < 2).alias("to_summarize"), listed((F.col("seq") >= 2) & (F.col("seq") < 4)).alias("turn_prefix"))
+
+
+def messages_from_preparation(spark, d):
+    return messages.messages_from_preparation(_prepared_messages(spark, d)).select("session_id", "seq", "id", "role", "kind", F.sha2("content", 256).alias("content_sha256"))
+
+
+def _events(spark, d):
+    events = _prepared_messages(spark, d).withColumns({"first_kept_entry_id": F.lit("e4"), "tokens_before": F.lit(1000), "reserve_tokens": F.lit(100), "keep_recent_tokens": F.lit(300)})
+    return events.withColumns({"context_window": F.lit(400), "session_id": F.col("session_id")})
+
+
+def messages_for_compaction(spark, d):
+    events, entries = _events(spark, d), _typed_entries(spark, d).withColumn("type", F.lit("message"))
+    cuts = events.select("session_id", F.when(F.col("session_id") % 3 == 0, DEFAULTS.window_id).when(F.col("session_id") % 3 == 1, "e6").otherwise("e4").alias("cut"))
+    out = host_window.messages_for_compaction(events, entries, cuts)
+    return out.select("session_id", "part", "seq", "role", "kind", F.sha2("content", 256).alias("content_sha256"))
+
+
+def judge(spark, d):
+    asked = views.requests(spark, d)
+    pairs = index.shortlist(asked, views.memory(spark, d), 5, "default").join(asked, "request_id").join(views.memory(spark, d).select("id", "text"), "id")
+    return judging.judge(pairs, lambda request, text: (request.str.len() * 3 + text.str.len()) % 100 / 100.0).select("request_id", "id", "probability")
+
+
+def _captured(spark, d):
+    """A store that took in two overlapping parts of the turns, the second twice."""
+    said, at = views.turns(spark, d), _folder(spark)
+    edges = f"{at}_edges"
+    for part in ("conv_id % 3 < 2", "conv_id % 3 > 0", "conv_id % 3 > 0"):
+        streams.capture_batch(said.where(part).drop("conv_id", "seq"), at, edges, judging.lexical_judge)
+    return at
+
+
+def capture_batches(spark, d):
+    at = _captured(spark, d)
+    return tables.read_memory(spark, at).select("id", "collection", "source_id", "sha256", "session_id", "role")
+
+
+def recall_batches(spark, d):
+    at, edges, asked = _folder(spark), _folder(spark), views.requests(spark, d)
+    tables.write_memory(views.memory(spark, d), at)
+    tables.write_edges(views.chain_edges(spark, d), edges)
+    for n in range(2):
+        streams.recall_batch(asked.where(F.col("request_id") % 2 == n), at, edges, f"{at}_out/batch={n}")
+    return spark.read.schema("request_id long, section string, batch int").parquet(f"{at}_out").select("request_id", "batch", F.sha2("section", 256).alias("section_sha256"))
+
+
 NAMES = [
     token_estimates, content_pointers, label_passages, session_tokens, classify_turns, ingest_new, capture_summary, replace_source, gated_remember,
     count_memory, memory_rows, upsert_edges, upsert_elisions, cascade_delete, index_tokens, build_index, shortlist_bm25, link_candidates, link_edges,
     neighborhood, lexical_judge, recall_ranked, recall_unranked, recall_section, recall_rows, recall_request, last_user_text, pressure, protected_tail,
     elide, expand_pages, expand, frozen_prefix, fresh_window, prepare_plan, host_budget, select_fresh_cut, deepened_cut, plan_compaction, fit_summary,
     compaction_from_plan, pack_tool_batches, pack_questions, parse_answers, merge_answers, validate_questions, normalize_messages, candidate_turns,
+    read_turns, stored_memory, stored_edges, stored_elisions, read_judgments, write_plans, read_text_sources, entry_tokens, text_of, session_turns,
+    messages_from_preparation, messages_for_compaction, judge, capture_batches, recall_batches,
 ]
 QUERIES = {f.__name__: f for f in NAMES}
