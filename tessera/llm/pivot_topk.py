@@ -86,15 +86,15 @@ def search(x: np.ndarray, ids: np.ndarray, table: np.ndarray, q: np.ndarray, to:
     return ids[got], score, done
 
 
-def _pairs(placed: DataFrame, asked: DataFrame, n_blocks: int) -> DataFrame:
+def _pairs(placed: DataFrame, asked: DataFrame, n_blocks: int, n_pivots: int) -> DataFrame:
     """(block, lot) whose ranges of distances leave room for a product that some query of the lot wants."""
     square = lambda v: F.aggregate(v, F.lit(0.0), lambda s, x: s + x.cast("double") * x)
 
     def ranges(df: DataFrame, key: str, x: str, *more) -> DataFrame:
-        each = df.select(key, square(F.col("vector")).alias("size"), *more, F.posexplode("to").alias("p", "d"))
-        by_pivot = each.groupBy(key, "p").agg(F.min("d").alias("low"), F.max("d").alias("high"), F.max("size").alias("size"), *[F.min(m).alias(m) for m in more])
-        listed = lambda c: F.transform(F.array_sort(F.collect_list(F.struct("p", c))), lambda e: e[c]).alias(f"{c}_{x}")
-        return settle(by_pivot.groupBy(key).agg(listed("low"), listed("high"), F.max("size").alias(f"size_{x}"), *[F.min(m).alias(m) for m in more]))
+        each = df.select(key, square(F.col("vector")).alias("size"), "to", *more)
+        away = [F.get("to", p) for p in range(n_pivots)]
+        lows, highs = (F.array(*map(of, away)).alias(f"{name}_{x}") for name, of in (("low", F.min), ("high", F.max)))
+        return settle(each.groupBy(key).agg(lows, highs, F.max("size").alias(f"size_{x}"), *[F.min(m).alias(m) for m in more]))
 
     blocks = ranges(placed, "block", "b")
     lots = ranges(asked.withColumn("beat", F.coalesce("beat", F.lit(float("-inf")))), "lot", "l", "beat")
@@ -150,7 +150,7 @@ def top_products(embeddings: DataFrame, k: int = 5, every: int = 50, scale: int
     n_blocks = placed.agg(F.max("block")).first()[0] + 1
     asked = ranked(asks.withColumnRenamed("block", "home").withColumn("one", F.lit(0)), "one", "home", "rep")
     asked = settle(asked.withColumn("lot", F.floor(F.col("pos") / QUERY_BLOCK).cast("int")).drop("pos", "one"))
-    survivors = settle(_pairs(placed, asked, n_blocks))
+    survivors = settle(_pairs(placed, asked, n_blocks, len(pivots)))
     held = placed.join(survivors, "block").select("block", "lot", "rep", "vector", "to")
     asked = asked.join(survivors, "lot").where("block <> home")
     found = held.groupBy("block", "lot").cogroup(asked.groupBy("block", "lot")).applyInPandas(meet, _FOUND)

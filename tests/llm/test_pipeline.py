@@ -38,6 +38,7 @@ def test_empty_and_odd_documents(spark):
         for name, stage in corpus_pipeline.STAGES:
             out = stage(spark, part, SF)
             n = out.count()
-            assert n == (part.count() if name not in ("mixing",) else n), name
+            rows = part.dropDuplicates(["doc_id"]) if name == "ngram_join" else part  # of rows that repeat an id one stays
+            assert n == (rows.count() if name not in ("mixing",) else n), name
             if name != "encoding":
                 assert out.columns == corpus_pipeline.COLUMNS
