@@ -27,6 +27,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -39,6 +40,8 @@ TASK_CHUNKS = 64  # chunks in a task: some seconds of work
 _UNITS = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
 _MEMORY = 400_000  # words and pairs that a task remembers
 _TOGETHER, _SHORT = 400_000, 48  # words looked up at a time; characters of a word that is merged with others
+_SLOT_BITS = 20
+_ROWS = 4096  # texts whose words are made distinct together
 _NEVER, _END, _OFF = np.iinfo(np.int64).max, object(), -np.inf
 
 Step = tuple[int, int]  # where a piece starts and ends
@@ -87,8 +90,19 @@ class Vocabulary:
         self._odd = re.compile(f"[^\0-\x7f{known}]")  # characters that become several bytes
         self._words = _Words(self)
 
+        # a slot names its only pair; -1 is none, and -2 sends those that share a slot to a search
+        slot = self._slot(self.pair)
+        self._slots = np.full(1 << _SLOT_BITS, -1, np.int32)
+        self._slots[slot] = np.arange(len(self.pair))
+        self._slots[np.flatnonzero(np.bincount(slot, minlength=1) > 1)] = -2
+
+    @staticmethod
+    def _slot(key: np.ndarray) -> np.ndarray:
+        with np.errstate(over="ignore"):
+            return ((key.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - _SLOT_BITS)).astype(np.int64)
+
     def __getstate__(self):
-        return {k: v for k, v in self.__dict__.items() if k not in ("_fit", "_words", "_odd")}
+        return {k: v for k, v in self.__dict__.items() if k not in ("_fit", "_words", "_odd", "_slots")}
 
     def __setstate__(self, state):
         self.__dict__.update(state)
@@ -152,8 +166,10 @@ class Vocabulary:
     def _places(self, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Place in the order of merging, and merged id, of neighbouring ids; the place is _NEVER for none."""
         key = left.astype(np.int64) << 32 | right
-        at = np.minimum(np.searchsorted(self.pair, key), len(self.pair) - 1)
-        known = (self.pair[at] == key) & (left >= 0)
+        at = self._slots[self._slot(key)]
+        crowded = np.flatnonzero(at == -2)
+        at[crowded] = np.minimum(np.searchsorted(self.pair, key[crowded]), len(self.pair) - 1)
+        known = (self.pair[at] == key) & (left >= 0) & (at >= 0)
         return np.where(known, self.pair_place[at], _NEVER), self.pair_id[at]
 
     def many(self, words: list[str]) -> list[bytes]:
@@ -202,7 +218,9 @@ class Vocabulary:
         """Remember the ids of words that are new."""
         if len(self._words) >= _MEMORY:
             self._words.clear()
-        new = [w for w in words.difference(self._words) if 0 < len(w) < _SHORT and not self._odd.search(w)]
+        new = list(words.difference(self._words))
+        if new and (not 0 < min(map(len, new)) <= max(map(len, new)) < _SHORT or self._odd.search("".join(new))):
+            new = [w for w in new if 0 < len(w) < _SHORT and not self._odd.search(w)]
         if new:
             self._words.update(zip(new, self.many(new)))
 
@@ -239,6 +257,40 @@ class Vocabulary:
                 size += len(text)
         return out
 
+    def encode_array(self, column: pa.Array) -> pa.Array:
+        """Packed ids of a column. Words are made distinct, and their ids put together, by Arrow; only new ones are looked at here."""
+        out = []
+        for at in range(0, len(column), _ROWS):
+            part = column.slice(at, _ROWS)
+            plain = pc.and_not(pc.greater(pc.binary_length(part), 0), pc.or_(pc.match_substring(part, SPACE), pc.match_substring(part, "  ")))
+            plain = pc.and_not(plain, pc.or_(pc.starts_with(part, " "), pc.ends_with(part, " "))).fill_null(False)
+            words = pc.split_pattern(part.filter(plain), " ")
+            coded = words.flatten().dictionary_encode()
+            known = coded.dictionary.to_pylist()
+            self.learn(set(known))
+            ids = pa.array(map(self._words.__getitem__, known), pa.binary()).take(coded.indices)
+            joined = pc.binary_join(pa.ListArray.from_arrays(words.offsets, ids), b"")
+            rest = pa.array(self.encode_all(part.filter(pc.invert(plain)).to_pylist()), pa.binary())
+            is_plain = plain.to_numpy(zero_copy_only=False)
+            place = np.where(is_plain, np.cumsum(is_plain) - 1, len(joined) + np.cumsum(~is_plain) - 1)
+            out.append(pa.concat_arrays([joined, rest]).take(pa.array(place)))
+        return pa.concat_arrays(out) if out else pa.array([], pa.binary())
+
+    def decode_array(self, ids: pa.Array) -> pa.Array:
+        """Texts of a column of packed ids."""
+        out, raw = [], pa.array(self.raw, pa.binary())
+        for at in range(0, len(ids), _ROWS):
+            part = ids.slice(at, _ROWS)
+            size = pc.binary_length(part).fill_null(0).to_numpy(zero_copy_only=False)
+            each = np.frombuffer(b"".join(x for x in part.to_pylist() if x), "<i4")
+            lists = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(size) // 4].astype(np.int32)), raw.take(pa.array(each)))
+            try:
+                text = pc.utf8_slice_codeunits(pc.replace_substring(pc.binary_join(lists, b"").cast(pa.string()), SPACE, " "), 1)
+                out.append(pc.if_else(part.is_valid(), text, pa.scalar(None, pa.string())))
+            except pa.ArrowInvalid:  # some bytes are no UTF-8
+                out.append(pa.array([None if x is None else self.decode(x) for x in part.to_pylist()], pa.string()))
+        return pa.concat_arrays(out) if out else pa.array([], pa.string())
+
     def encode_units(self, escaped: str) -> bytes:
         words, found = self._words, _UNITS.findall(escaped)
         self.learn({u[1:] for u in found if u[0] == SPACE and u.count(SPACE) == 1 and len(u) > 1})
@@ -413,7 +465,7 @@ def encode(docs: DataFrame, model_path: str, chunk: int = CHUNK) -> DataFrame:
 
     @F.arrow_udf(T.BinaryType())
     def ids_of(text: pa.Array) -> pa.Array:
-        return pa.array(shared.value.encode_all(text.to_pylist()), pa.binary())
+        return shared.value.encode_array(text)
 
     docs = docs.drop("ids")
     giant = F.coalesce(F.length("text") >= chunk, F.lit(False))
@@ -434,7 +486,7 @@ def decoder(docs: DataFrame, model_path: str):
 
     @F.arrow_udf(T.StringType())
     def text_of(ids: pa.Array) -> pa.Array:
-        return pa.array([None if i is None else shared.value.decode(i) for i in ids.to_pylist()], pa.string())
+        return shared.value.decode_array(ids)
 
     return text_of
 
