@@ -41,7 +41,7 @@ _UNITS = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
 _MEMORY = 400_000  # words and pairs that a task remembers
 _TOGETHER, _SHORT = 400_000, 48  # words looked up at a time; characters of a word that is merged with others
 _SLOT_BITS = 20
-_ROWS = 4096  # texts whose words are made distinct together
+_ROWS = 512  # texts whose words are made distinct together, which bounds the memory of a task
 _NEVER, _END, _OFF = np.iinfo(np.int64).max, object(), -np.inf
 
 Step = tuple[int, int]  # where a piece starts and ends
@@ -274,6 +274,7 @@ class Vocabulary:
             is_plain = plain.to_numpy(zero_copy_only=False)
             place = np.where(is_plain, np.cumsum(is_plain) - 1, len(joined) + np.cumsum(~is_plain) - 1)
             out.append(pa.concat_arrays([joined, rest]).take(pa.array(place)))
+            pa.default_memory_pool().release_unused()
         return pa.concat_arrays(out) if out else pa.array([], pa.binary())
 
     def decode_array(self, ids: pa.Array) -> pa.Array:
