@@ -41,7 +41,7 @@ _UNITS = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
 _MEMORY = 400_000  # words and pairs that a task remembers
 _TOGETHER, _SHORT = 400_000, 48  # words looked up at a time; characters of a word that is merged with others
 _SLOT_BITS = 20
-_ROWS = 512  # texts whose words are made distinct together, which bounds the memory of a task
+_ROWS = 1024  # texts whose words are made distinct together, which bounds the memory of a task
 _NEVER, _END, _OFF = np.iinfo(np.int64).max, object(), -np.inf
 
 Step = tuple[int, int]  # where a piece starts and ends
