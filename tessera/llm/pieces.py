@@ -351,21 +351,31 @@ class Vocabulary:
                 out[i, self.ends(text, entry, begin, cut, exits)] = 0
         return out
 
-    def chunk(self, text: str, begin: int, cut: int, entry: int, exit_: int) -> bytes:
-        """Packed ids of the pieces after the entry state's up to the exit state's."""
+    def _around(self, text: str, begin: int, cut: int, entry: int, exit_: int) -> tuple[bytes, str, bytes]:
+        """The pieces after the entry state's up to the exit state's: packed ids, whole words between, packed ids."""
         exits = self.states(text, cut) if cut < len(text) else [s for s in self.states(text, cut) if s[1] == len(text)]
         start, end = exits[exit_]
         first = None if begin == 0 else self.states(text, begin)[entry]
         at = 0 if first is None else first[1]
         before = None if first is None else text[first[0] : first[1]]
         if first == (start, end):
-            return b""
+            return b"", "", b""
         clean = self._clean(text, begin, cut)
         if clean and at <= clean[0]:
             head = self.trace(text, self.path(text, at, before, clean[0]), at, clean[0])
             tail = self.trace(text, self.path(text, clean[1], None, start), clean[1], start)
-            return self.pack(head) + self.encode_units(text[clean[0] : clean[1]]) + self.pack([*tail, text[start:end]])
-        return self.pack([*self.trace(text, self.path(text, at, before, start), at, start), text[start:end]])
+            return self.pack(head), text[clean[0] : clean[1]], self.pack([*tail, text[start:end]])
+        return self.pack([*self.trace(text, self.path(text, at, before, start), at, start), text[start:end]]), "", b""
+
+    def chunk(self, text: str, begin: int, cut: int, entry: int, exit_: int) -> bytes:
+        return self.chunks([(text, begin, cut, entry, exit_)])[0]
+
+    def chunks(self, parts: list[tuple[str, int, int, int, int]]) -> list[bytes]:
+        """Packed ids of many chunks; the words within them are looked up together."""
+        found = [self._around(*p) for p in parts]
+        plain = [bool(words) and SPACE * 2 not in words and " " not in words for _, words, _ in found]
+        together = iter(self.encode_array(pa.array([words[1:].replace(SPACE, " ") for (_, words, _), p in zip(found, plain) if p], pa.string())).to_pylist())
+        return [head + (next(together) if p else self.encode_units(words)) + tail for (head, words, tail), p in zip(found, plain)]
 
 
 class _Words(dict):
@@ -439,13 +449,14 @@ def _giant_ids(giants: DataFrame, shared, chunk: int, around: int) -> DataFrame:
 
     def trace(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
-            ids = [shared.value.chunk(*r) for r in zip(f["text"], f["first"], f["cut"], f["entry"], f["leave"])]
+            ids = shared.value.chunks(list(zip(f["text"], f["first"], f["cut"], f["entry"], f["leave"])))
             yield f[["_doc", "_hash", "part"]].assign(ids=pd.Series(ids, index=f.index, dtype=object))
 
     same = ["_doc", "_hash", "part"]
     parts = settle(giants.select("_doc", "_hash", "text").mapInArrow(cut, f"{key}, text string, first int, cut int"))
-    parts = parts.repartition(max(1, -(-parts.count() // TASK_CHUNKS)), *same)  # by number, as files would be packed by size
-    weights = parts.mapInPandas(weigh, f"{key}, rows int, weights binary")
+    tasks = max(1, -(-parts.count() // TASK_CHUNKS))
+    parts = parts.repartition(tasks, *same)  # by number, as files would be packed by size
+    weights = parts.mapInPandas(weigh, f"{key}, rows int, weights binary").repartition(tasks, "_doc", "_hash")
     states = settle(weights.groupBy("_doc", "_hash").applyInPandas(choose, f"{key}, entry int, leave int"))
     traced = parts.join(states, same).select(*parts.columns, "entry", "leave").mapInPandas(trace, f"{key}, ids binary")
     in_order = F.transform(F.sort_array(F.collect_list(F.struct("part", "ids"))), lambda x: x["ids"])
