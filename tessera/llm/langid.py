@@ -7,7 +7,8 @@ two least losses flags the answer as ambiguous.
 
 Classifiers are fitted on at most ``max_rows`` rows with a language, those with the smallest hash of doc_id,
 shared evenly between languages; only rows below a hash that lets little more than its share through are sorted.
-The MAX_LANGS most frequent languages are learned.
+Every language is learned: where there are more of them than ``max_rows``, each has one row. The driver holds a codeword and
+a count for each language.
 
 Defined cases: a text that is null or has no letter is ``und`` with score 0, as is all when nothing could
 be learned; with one learned language every text with a letter gets it; repeated rows get the same answer;
@@ -31,7 +32,7 @@ from .common import utf8_slices
 from .linear import fit_logistic
 from .words import LOWER
 
-MAX_ROWS, MAX_LANGS, DIMS, L2, AMBIGUOUS = 4000, 400, 2048, 1e-4, 0.6
+MAX_ROWS, DIMS, L2, AMBIGUOUS = 4000, 2048, 1e-4, 0.6
 _LETTERS = re.compile(r"[^\W\d_]")
 _SYMBOL = LOWER.astype(np.uint32)
 _SYMBOL[[i for i in range(128) if not (97 <= i <= 122 or 65 <= i <= 90)]] = 32
@@ -40,10 +41,23 @@ _ASCII_LETTER[65:91] = _ASCII_LETTER[97:123] = True
 
 
 def codewords(n: int, seed: int = 5) -> np.ndarray:
-    """A row of +1 and -1 for each of n classes: all splits of up to 6 classes, else random splits far apart."""
+    """A row of +1 and -1 for each of n classes: all splits of up to 6 classes, random splits far apart of up to 400.
+
+    More classes have words by construction: a class is two digits, and they and their sum are each written as a row of a Hadamard
+    matrix or its negative. Two classes differ in two of the three at least, and there in half the bits.
+    """
     if n <= 6:
         splits = [[1 if (m >> i) & 1 else -1 for i in range(n)] for m in range(1, 2 ** (n - 1))]
         return np.array(splits or [[1] * n], np.float32).T
+    if n > 400:
+        base = math.isqrt(n - 1) + 1
+        rows = np.ones((1, 1), np.float32)
+        while 2 * len(rows) < base:
+            rows = np.block([[rows, rows], [rows, -rows]])
+        high, low = np.divmod(np.arange(n), base)
+        words = np.vstack([rows, -rows])
+        code = np.hstack([words[high], words[low], words[(high + low) % base]])
+        return code[:, np.abs(code.sum(axis=0)) < n]
     rng, bits, best, far = np.random.default_rng(seed), math.ceil(10 * math.log2(n)), None, -1
     for _ in range(200):
         code = np.where(rng.random((n, bits)) < 0.5, 1, -1).astype(np.float32)
@@ -89,7 +103,8 @@ class LanguageModel:
             return names, score, unsure
         for first, last, x, ascii_letter in features(column):
             said = x @ self.theta.astype(np.float32) + self.bias
-            loss = np.stack([np.log1p(np.exp(-np.clip(said * word, -30, 30))) @ self.trust for word in self.code], axis=1)
+            said = np.clip(said, -30, 30)
+            loss = sum((np.log1p(np.exp(-side * said)) * self.trust) @ (self.code.T == side) for side in (1, -1))
             chance = np.exp(loss.min(axis=1, keepdims=True) - loss)
             chance /= chance.sum(axis=1, keepdims=True)
             for i in range(last - first):
@@ -102,7 +117,7 @@ class LanguageModel:
 def fit_languages(labelled: DataFrame, max_rows: int = MAX_ROWS) -> LanguageModel:
     """labelled: doc_id, text and lang."""
     some = labelled.where("text is not null and lang is not null").select("doc_id", "text", "lang")
-    counts = some.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGS).collect()
+    counts = some.groupBy("lang").count().collect()
     langs = sorted(r["lang"] for r in counts)
     if not langs:
         return LanguageModel([], *(np.zeros(0) for _ in range(4)))

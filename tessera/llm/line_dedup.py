@@ -1,25 +1,27 @@
 """Line dedup by pairwise alignment.
 
-Lines are separated by a newline; lines of white space alone are blank and are passed over. Every other line has a
-key: the hash of the line, joined by the next ones until there are ``min_line_chars`` characters (at the end of a
-text by those before it), and how often the document had the same before, so that a key is unique in its document
-and a document that repeats itself is aligned too. A line that its document repeats has a second key with the
-two lines around it, so that a repeat within a passage is met wherever the passage stands.
-
-Documents that share a key overlap: each later holder is paired with the first one (the smallest doc_id), so a line
-in n documents makes n - 1 pairs and not n * n. A pair is aligned by patience diff: of the shared keys that are rare
-in the corpus (at most ``rare_docs`` documents) the longest run that rises in both documents, then in the gaps the
-same for the frequent ones; a pair without rare keys is aligned by its frequent ones. Matched lines that follow one
-another in both documents are a block, and blocks of at least ``min_block_chars`` go from the later document.
+Lines are separated by a newline; lines of white space alone are blank and are passed over. A window is a shortest run of
+other lines that has ``min_block_chars`` characters from its first line on, or up to its last line. So every block of that
+size that two documents share is covered by windows that they share. A window's key is the hash of its lines and
+how often the document had the same before, so that a key is unique in its document and a document that repeats itself
+is aligned too. A window that its document repeats has a second key with the two lines around it, so that a
+repeat within a passage is met wherever the passage stands.
+
+Documents that share a key overlap: each later holder is paired with the first one (the smallest doc_id), so a window
+in n documents makes n - 1 pairs and not n * n. What two documents share is not lost by that: each of their windows
+meets its own first holder, whoever that is, and is large enough to go alone. A pair is aligned by patience diff: of
+the shared keys that are rare in the corpus (at most ``rare_docs`` documents) the longest run that rises in both
+documents, then in the gaps the same for the frequent ones; a pair without rare keys is aligned by its frequent ones.
+Matched windows that follow one another in both documents are a block, which goes from the later document.
 Decisions are taken on the input, so a block always stays in its first document.
 
-Only shared lines go to a pair (one small row each), whatever the length of the first document, and texts move
-once, to meet the lines that leave them. Keys of more than 1/4096 of all lines are at most 4096 and are joined
+Only shared windows go to a pair (one small row each), whatever the length of the first document, and texts move
+once, to meet the lines that leave them. Keys of more than 1/4096 of all windows are at most 4096 and are joined
 by broadcast, so a line that is everywhere lands in no single task.
 
-Defined cases: a null text has no lines and stays null; an empty text has one (blank) line; blank lines go only
-within a block; texts of fewer than ``min_line_chars`` characters are never paired; a null doc_id is never paired;
-rows that repeat a doc_id are not compared with each other, and equal ones lose the same lines; empty tables give
+Defined cases: doc_id is an integer; a null text has no lines and stays null; an empty text has one (blank) line; blank
+lines go only within a block; texts of fewer than ``min_block_chars`` characters are never paired; a null doc_id is never
+paired; rows that repeat a doc_id are not compared with each other, and equal ones lose the same lines; empty tables give
 empty results; further columns stay, but for n_lines and n_removed, which are replaced.
 """
 
@@ -36,7 +38,6 @@ from pyspark.sql import functions as F
 from .common import free_name, join_hot, settle, utf8_slices
 from .words import _tables, mix, words
 
-MIN_LINE_CHARS = 30
 MIN_BLOCK_CHARS = 40
 RARE_DOCS = 100
 _BLANK = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
@@ -59,8 +60,9 @@ def _numbered(row: np.ndarray, code: np.ndarray) -> tuple[np.ndarray, np.ndarray
 def line_keys(column: pa.Array, least: int) -> Iterator[tuple[np.ndarray, dict[str, np.ndarray]]]:
     """For runs of rows: the row of each key, and the columns key and _PLACES.
 
-    A key stands at the ``pos``-th line that is not blank and covers those from ``lo`` to before ``hi``, which are
-    the lines ``from_line`` to before ``to_line``; ``chars_to`` and ``chars_past`` count characters up to there.
+    A window covers the lines that are not blank from ``lo`` to before ``hi``, which are the lines ``from_line`` to before
+    ``to_line``; ``chars_to`` and ``chars_past`` count characters up to there. Windows of a document never hold one
+    another, so ``pos``, the sum of both ends, tells them apart and puts them in order.
     """
     for first, _, raw, off in utf8_slices(column):
         start, end, row, code = words(raw, off, raw != 10)
@@ -74,29 +76,30 @@ def line_keys(column: pa.Array, least: int) -> Iterator[tuple[np.ndarray, dict[s
         number = breaks[start] - breaks[off[row]]
         before = np.r_[0, np.cumsum(letters[end] - letters[start])]
         low, high = np.searchsorted(row, row), np.searchsorted(row, row, "right")
-        lo, hi = np.arange(n), np.searchsorted(before, before[:-1] + least)
-        tail = hi > high
-        lo[tail], hi[tail] = np.searchsorted(before, before[high[tail]] - least, "right") - 1, high[tail]
-        use = np.flatnonzero(lo >= low)
-        if not len(use):
+        at = np.arange(n)
+        last, first_of = np.searchsorted(before, before[:-1] + least), np.searchsorted(before, before[1:] - least, "right") - 1
+        ahead, behind = last <= high, first_of >= low
+        window = np.unique(np.r_[at[ahead] * (n + 1) + last[ahead], first_of[behind] * (n + 1) + at[behind] + 1])
+        if not len(window):
             continue
+        lo, hi = window // (n + 1), window % (n + 1)
+        own, low, high = row[lo], low[lo], high[lo]
         up, down = _tables(n + 1)
         sums = np.zeros(n + 1, np.uint64)
         with np.errstate(over="ignore"):
             np.cumsum(code * up[:n], out=sums[1:])
-            low, high, lo, hi = low[use], high[use], lo[use], hi[use]
             run = mix((sums[hi] - sums[lo]) * down[lo])
-            nth, many = _numbered(row[use], run)
+            nth, many = _numbered(own, run)
             key = mix(run + nth.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
             m = np.flatnonzero(many)
             left = np.where(lo[m] > low[m], code[np.maximum(lo[m] - 1, 0)], np.uint64(1))
             right = np.where(hi[m] < high[m], code[np.minimum(hi[m], n - 1)], np.uint64(2))
             around = mix(run[m] + mix(left + np.uint64(3)) * np.uint64(5) + mix(right + np.uint64(7)) * np.uint64(11))
-            key = np.r_[key, mix(around + _numbered(row[use[m]], around)[0].astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F))]
-        at = np.r_[np.arange(len(use)), m]
+            key = np.r_[key, mix(around + _numbered(own[m], around)[0].astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F))]
+        at = np.r_[np.arange(len(lo)), m]
         base, lo, hi = low[at], lo[at], hi[at]
-        places = (use[at] - base, lo - base, hi - base, number[lo], number[hi - 1] + 1, before[lo] - before[base], before[hi] - before[base])
-        yield first + row[use[at]], {"key": key.view(np.int64)} | {name: x.astype(np.int32) for name, x in zip(_PLACES, places)}
+        places = (lo + hi - 2 * base, lo - base, hi - base, number[lo], number[hi - 1] + 1, before[lo] - before[base], before[hi] - before[base])
+        yield first + own[at], {"key": key.view(np.int64)} | {name: x.astype(np.int32) for name, x in zip(_PLACES, places)}
 
 
 def _rising(pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -172,7 +175,7 @@ def _cut(batch: pa.RecordBatch, least: int) -> pa.Array:
     return pa.array(flags, pa.list_(pa.bool_()))
 
 
-def removed_lines(docs: DataFrame, min_line_chars: int = MIN_LINE_CHARS, min_block_chars: int = MIN_BLOCK_CHARS, rare_docs: int = RARE_DOCS) -> DataFrame:
+def removed_lines(docs: DataFrame, min_block_chars: int = MIN_BLOCK_CHARS, rare_docs: int = RARE_DOCS) -> DataFrame:
     """doc_id, mark (xxhash64 of the text) and ``gone``, a flag for each line up to the last that leaves.
 
     Documents that lose no line are absent.
@@ -180,7 +183,7 @@ def removed_lines(docs: DataFrame, min_line_chars: int = MIN_LINE_CHARS, min_blo
 
     def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row, found in line_keys(batch["text"], min_line_chars):
+            for row, found in line_keys(batch["text"], min_block_chars):
                 own = [batch["doc_id"].take(pa.array(row)), batch["mark"].take(pa.array(row))]
                 yield pa.RecordBatch.from_arrays([*own, *map(pa.array, found.values())], ["doc_id", "mark", *found])
 
@@ -201,11 +204,11 @@ def removed_lines(docs: DataFrame, min_line_chars: int = MIN_LINE_CHARS, min_blo
     return later.mapInArrow(align, "doc_id long, mark long, gone array<boolean>").where(F.size("gone") > 0)
 
 
-def dedup_lines(docs: DataFrame, min_line_chars: int = MIN_LINE_CHARS, min_block_chars: int = MIN_BLOCK_CHARS, rare_docs: int = RARE_DOCS) -> DataFrame:
+def dedup_lines(docs: DataFrame, min_block_chars: int = MIN_BLOCK_CHARS, rare_docs: int = RARE_DOCS) -> DataFrame:
     """``docs`` with the lines gone from ``text``, and n_lines and n_removed of each document."""
     docs = docs.drop("n_lines", "n_removed")
     own = free_name(docs, "cut")
-    removed = removed_lines(docs.select("doc_id", "text"), min_line_chars, min_block_chars, rare_docs)
+    removed = removed_lines(docs.select("doc_id", "text"), min_block_chars, rare_docs)
     gone = removed.select(F.struct("doc_id", "mark", "gone").alias(own))
     out = docs.join(gone, (F.col("doc_id").cast("long") == F.col(f"{own}.doc_id")) & (F.xxhash64("text") == F.col(f"{own}.mark")), "left")
     flags, lines = F.col(f"{own}.gone"), F.split("text", "\n")

@@ -15,8 +15,8 @@ Words count as equal when their 32-bit fingerprints do; a window is 13 of them i
 equal when their 64-bit content hashes do.
 
 Defined cases: a null or empty text has no words and an empty result; a null doc_id takes no part and keeps
-its words; doc_id names one text, and rows that repeat it repeat the text; within one document windows are
-not compared; empty tables give empty results; further columns are ignored.
+its words; rows that repeat a doc_id with other texts are judged each by its own text, and windows are never
+compared within one doc_id; empty tables give empty results; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -69,14 +69,15 @@ def _stream(docs: DataFrame, window: int, start, schema: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         emit = start()
         for batch in batches:
-            ids = batch["doc_id"].to_numpy(zero_copy_only=False)
+            ids, marks = (batch[c].to_numpy(zero_copy_only=False) for c in ("doc_id", "mark"))
             for first, _, raw, off in utf8_slices(batch["text"]):
                 code, row, at, count, key = _segments(raw, off, window)
                 local = np.searchsorted(row, row[at]) if len(at) else at
-                for columns in emit(code, ids[first + row[at]] if len(at) else at, at, at - local, count, key):
+                of = first + row[at] if len(at) else at
+                for columns in emit(code, ids[of], marks[of], at, at - local, count, key):
                     yield pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c) for c in columns.values()], list(columns))
 
-    return docs.where("doc_id is not null").select("doc_id", "text").mapInArrow(run, schema)
+    return docs.where("doc_id is not null").select("doc_id", F.xxhash64("text").alias("mark"), "text").mapInArrow(run, schema)
 
 
 class Marks:
@@ -129,7 +130,7 @@ class _Sent:
 def _mark(docs: DataFrame, window: int) -> tuple[Marks, int]:
     """Marks and the number of shards."""
 
-    def emit(code, doc, at, place, count, key):
+    def emit(code, doc, mark, at, place, count, key):
         yield {"key": key.view(np.int64), "doc_id": doc}
 
     seen = _stream(docs, window, lambda: emit, "key long, doc_id long").groupBy("key").agg(F.min("doc_id").alias("p"), F.max("doc_id").alias("q"), F.count("*").alias("n"))
@@ -167,7 +168,7 @@ def _marked(marks: Marks, code, doc, at, place, count, key, window: int):
 
 
 def repeated_windows(docs: DataFrame, window: int = 13) -> DataFrame:
-    """doc_id and ``starts``, the places (from 0) of the words where repeated windows start."""
+    """doc_id, mark (xxhash64 of the text) and ``starts``, the places (from 0) of the words where repeated windows start."""
     if not 1 < window <= 16:
         raise ValueError("windows have 2 to 16 words")
     if window < GRAM:
@@ -179,7 +180,7 @@ def repeated_windows(docs: DataFrame, window: int = 13) -> DataFrame:
     def contents():
         sent = _Sent()
 
-        def emit(code, doc, at, place, count, key):
+        def emit(code, doc, mark, at, place, count, key):
             doc, at, place, count, key, content, single = _marked(shared.value, code, doc, at, place, count, key, window)
             if not len(doc):
                 return
@@ -204,9 +205,9 @@ def repeated_windows(docs: DataFrame, window: int = 13) -> DataFrame:
 
         return emit
 
-    def places(code, doc, at, place, count, key):
-        doc, at, place, count, key, content, _ = _marked(shared.value, code, doc, at, place, count, key, window)
-        yield {"content": content.view(np.int64), "doc_id": doc, "place": place.astype(np.int32)}
+    def places(code, doc, mark, at, place, count, key):
+        of, at, place, count, key, content, _ = _marked(shared.value, code, np.arange(len(doc)), at, place, count, key, window)
+        yield {"content": content.view(np.int64), "doc_id": doc[of], "mark": mark[of], "place": place.astype(np.int32)}
 
     def search(f: pd.DataFrame) -> pd.DataFrame:
         f = f.sort_values(["content", "p"])
@@ -228,18 +229,18 @@ def repeated_windows(docs: DataFrame, window: int = 13) -> DataFrame:
 
     index = _stream(docs, window, contents, "shard int, content long, p long, q long, body binary")
     found = index.groupBy("shard").applyInPandas(search, "content long, least array<long>")
-    asked = _stream(docs, window, lambda: places, "content long, doc_id long, place int")
+    asked = _stream(docs, window, lambda: places, "content long, doc_id long, mark long, place int")
     hits = asked.join(settle(found), "content")
     earlier = F.filter(F.transform("least", lambda m, i: F.when(m < F.col("doc_id"), F.col("place") + i)), lambda x: x.isNotNull())
-    hits = hits.select("doc_id", earlier.alias("starts")).where(F.size("starts") > 0)
-    return hits.groupBy("doc_id").agg(F.flatten(F.collect_list("starts")).alias("starts"))
+    hits = hits.select("doc_id", "mark", earlier.alias("starts")).where(F.size("starts") > 0)
+    return hits.groupBy("doc_id", "mark").agg(F.flatten(F.collect_list("starts")).alias("starts"))
 
 
 def remove_repeats(docs: DataFrame, window: int = 13) -> DataFrame:
     """doc_id, n_words, n_removed and ``kept``, the words that stay joined by one space."""
     docs = docs.select("doc_id", "text")
     starts = repeated_windows(docs, window).withColumnRenamed("doc_id", "_id")
-    joined = docs.join(starts, F.col("doc_id") == F.col("_id"), "left").select("doc_id", "text", "starts")
+    joined = docs.join(starts, (F.col("doc_id") == F.col("_id")) & (F.xxhash64("text") == F.col("mark")), "left").select("doc_id", "text", "starts")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -106,3 +106,12 @@ def test_no_documents(spark):
     assert repeats.remove_repeats(spark.createDataFrame([], "doc_id long, text string")).count() == 0
     odd = spark.createDataFrame([(None, "a b"), (1, "a b")], "doc_id long, text string")
     assert sorted((r.doc_id or 0, r.kept) for r in repeats.remove_repeats(odd).collect()) == [(0, "a b"), (1, "a b")]
+
+
+def test_repeated_ids_long_texts_and_clashing_columns(spark):
+    passage, long = " ".join(f"p{i}" for i in range(20)), " ".join(f"v{i}" for i in range(300_000))
+    rows = [(1, passage), (2, f"own {passage}"), (2, "other words of the same id"), (2, f"{passage} end"), (2, f"own {passage}"), (3, long), (4, f"{long} tail")]
+    docs = spark.createDataFrame([(*r, "x", "y", 1) for r in rows], "doc_id long, text string, starts string, mark string, _id int")
+    got = sorted((r.doc_id, r.n_words, r.n_removed, r.kept) for r in repeats.remove_repeats(docs).collect())
+    assert got[0] == (1, 20, 0, passage) and got[6][:3] == (4, 300_001, 300_000)
+    assert got[1:5] == [(2, 6, 0, "other words of the same id"), (2, 21, 20, "end"), (2, 21, 20, "own"), (2, 21, 20, "own")]

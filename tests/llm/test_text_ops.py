@@ -107,15 +107,12 @@ def _line_keys(text, least):
     """(key, place, lines it covers) by plain strings; blank lines are left out of places but keep their numbers."""
     lines = [(n, x) for n, x in enumerate(text.split("\n")) if x.encode().strip(b" \t\r\f\v")]
     said = [x for _, x in lines]
-    runs = []
+    size = lambda lo, hi: sum(map(len, said[lo:hi]))
+    found = set()
     for i in range(len(said)):
-        lo, hi = i, i + 1
-        while hi < len(said) and sum(map(len, said[lo:hi])) < least:
-            hi += 1
-        while lo > 0 and sum(map(len, said[lo:hi])) < least:
-            lo -= 1
-        if sum(map(len, said[lo:hi])) >= least:
-            runs.append((i, lo, hi))
+        found |= {(i, hi) for hi in range(i + 1, len(said) + 1) if size(i, hi) >= least > size(i, hi - 1)}
+        found |= {(lo, i + 1) for lo in range(i + 1) if size(lo, i + 1) >= least > size(lo + 1, i + 1)}
+    runs = [(lo + hi, lo, hi) for lo, hi in sorted(found)]
     seen, out = {}, []
     for i, lo, hi in runs:
         run = tuple(said[lo:hi])
@@ -146,9 +143,9 @@ def _longest(pairs):
     return out[::-1]
 
 
-def _patience_text(docs, least=40, line_least=30, rare=100):
-    """Line dedup from its definition."""
-    read = {i: _line_keys(t, line_least) for i, t in docs}
+def _patience_text(docs, least=40, rare=100, all_pairs=False):
+    """Line dedup from its definition; with ``all_pairs`` every document is aligned with every earlier one that shares a key."""
+    read = {i: _line_keys(t, least) for i, t in docs}
     holders = {}
     for i in sorted(read):
         for key, place, _, _ in read[i][1]:
@@ -158,9 +155,9 @@ def _patience_text(docs, least=40, line_least=30, rare=100):
         lines, keys = read[i]
         pairs = {}
         for key, place, lo, hi in keys:
-            j, there = holders[key][0]
-            if j < i:
-                pairs.setdefault(j, {})[place, there] = (lo, hi, len(holders[key]) <= rare)
+            for j, there in holders[key] if all_pairs else holders[key][:1]:
+                if j < i:
+                    pairs.setdefault(j, {})[place, there] = (lo, hi, len(holders[key]) <= rare)
         gone = set()
         for found in pairs.values():
             order = sorted(found, key=lambda p: (p[0], -p[1]))
@@ -168,18 +165,38 @@ def _patience_text(docs, least=40, line_least=30, rare=100):
             fence = [(-1, -1), *chosen, (10**9, 10**9)]
             for (a, c), (b, d) in zip(fence, fence[1:]):
                 chosen = chosen + _longest([p for p in order if not found[p][2] and a < p[0] < b and c < p[1] < d])
+            for p in chosen:
+                lo, hi = found[p][:2]
+                gone |= set(range(lines[lo][0], lines[hi - 1][0] + 1))
             block = []
-            for p in [*sorted(chosen), None]:
+            for p in [*sorted(chosen), None]:  # blank lines between windows that follow one another go too
                 if block and (p is None or p[1] - p[0] != block[-1][1] - block[-1][0] or found[p][0] > found[block[-1]][1]):
                     lo, hi = min(found[q][0] for q in block), max(found[q][1] for q in block)
-                    if sum(len(x) for _, x in lines[lo:hi]) >= least:
-                        gone |= set(range(lines[lo][0], lines[hi - 1][0] + 1))
+                    gone |= set(range(lines[lo][0], lines[hi - 1][0] + 1))
                     block = []
                 block.append(p)
         out[i] = "\n".join(x for n, x in enumerate(text.split("\n")) if n not in gone)
     return out
 
 
+def test_line_dedup_equals_the_alignment_of_all_pairs(spark):
+    docs = _read(spark, "sf0.01", "documents")
+    want = _patience_text([(r.doc_id, r.text) for r in docs.collect()], all_pairs=True)
+    got = {r.doc_id: r.text for r in line_dedup.dedup_lines(docs).collect()}
+    assert got == want
+
+
+def test_an_unrelated_document_changes_no_block(spark):
+    a, b, c = ("thirty four characters stand in " + x for x in ("A.", "B.", "C."))
+    assert [len(x) for x in (a, b, c)] == [34] * 3
+    texts = ["nothing", f"{a}\nother", f"x\n{a}\n{b}\n{c}\ny", f"z\n{a}\n{b}\n{c}", f"{b}\nunlike", f"q\n{a}\n{b}\nw\n{c}\n{b}"]
+    for skip in ([], [1], [4]):
+        kept = [(i, t) for i, t in enumerate(texts) if i not in skip]
+        rows = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in kept], DOCS)
+        got = {r.doc_id: r.text for r in line_dedup.dedup_lines(rows).collect()}
+        assert got[3] == "z" and got[5] == f"q\nw\n{c}\n{b}", skip
+
+
 def test_line_dedup_equals_definition(spark):
     docs = _read(spark, "sf0.01", "documents")
     want = _patience_text([(r.doc_id, r.text) for r in docs.collect()])
@@ -292,6 +309,21 @@ def test_language_cases(spark):
     model = langid.fit_languages(docs)
     got = [r.lang_pred for r in langid.identify(docs, model).orderBy("doc_id").collect()]
     assert got == ["en", "und", "und", "und", "en", "en"]
-    code = langid.codewords(9)
-    assert len({tuple(c) for c in code.tolist()}) == 9
+    for n in (9, 401, 3000):
+        code = langid.codewords(n)
+        apart = (code.shape[1] - (code @ code.T)[np.triu_indices(n, 1)].max()) / 2
+        assert code.shape[0] == n and apart >= (2 if n == 9 else code.shape[1] // 4)
     assert langid.identify(_docs(spark, []), langid.fit_languages(_docs(spark, []))).count() == 0
+
+
+def test_every_language_is_learned(spark):
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    word = lambda i: letters[i % 26] * 2 + letters[i // 26] * 3
+    rows = [(1000 * i + j, f"{word(i)} " * (30 + j), f"l{i:03d}", "s", 0) for i in range(420) for j in range(1 + (i == 7) * 40)]
+    rows += [(-1, "word " * 300_000, None, "s", 0), (-1, "again", "l007", "s", 0), (-1, "again", "l007", "s", 0)]
+    docs = spark.createDataFrame(rows, DOCS)
+    model = langid.fit_languages(docs.where("doc_id >= 0"))
+    assert model.names == [f"l{i:03d}" for i in range(420)]
+    got = langid.identify(docs.withColumnRenamed("source", "score"), model).collect()
+    assert len(got) == len(rows)
+    assert np.mean([r.lang_pred == f"l{r.doc_id // 1000:03d}" for r in got if r.doc_id >= 0]) > 0.9
