@@ -26,7 +26,6 @@ class Settings:
     item_overhead: int = 32
     batch_slack: int = 1024
     batch_floor: int = 4096
-    index_buckets: int = 64
     k1: float = 1.2
     b: float = 0.75
     judge_has_cap: bool = True

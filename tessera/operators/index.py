@@ -4,29 +4,28 @@ Postings are bucketed by passage, so counting, scoring and the first top-k need
 (passage, request) matches is never shuffled. The query side is broadcast in slices of a bounded number of tokens;
 further slices are further passes, and beyond a few slices the tokens are joined by an exchange.
 
-An index is (postings, token_df, corpus_stats). build_index makes one for a session; open_index reads one that is kept
-under a path, and append_index adds the passages that it lacks, so that a text is tokenised once for ever.
+An index is (postings, token_df, corpus_stats), which build_index makes for a session, or a BlockIndex (blocks.py), whose
+shortlists read few postings; kept_index.py keeps one under a path.
 """
 
 from __future__ import annotations
 
-import hashlib
 import math
 import uuid
 from functools import reduce
 
-from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..config import DEFAULTS, Settings
+from ..functions.bm25 import bm25_idf, bm25_score
 from ..functions.text import index_tokens, query_tokens
 from ..sources.shared import materialize, shared_dir
+from .blocks import BlockIndex, top_matches
 
 SLICE_TOKENS, MAX_SLICES = 200_000, 8
-Index = tuple[DataFrame, DataFrame | None, DataFrame]
-_POSTINGS = "id BIGINT, token STRING, tf INT, doc_len INT"
+Index = tuple[DataFrame, DataFrame, DataFrame] | BlockIndex
 
 
 def _tokenised(memory: DataFrame, text: str, buckets: int) -> DataFrame:
@@ -55,69 +54,11 @@ def build_index(memory: DataFrame, text: str = "text") -> Index:
     return postings, token_df, materialize(stats)
 
 
-def _side(spark: SparkSession, path: str, name: str) -> DataFrame:
-    """A small table beside the kept postings; empty where there is none yet."""
-    schema = "id long, doc_len int"
-    try:
-        return spark.read.schema(schema).parquet(f"{path}/{name}")
-    except AnalysisException as e:
-        if e.getCondition() != "PATH_NOT_FOUND":
-            raise
-        return spark.createDataFrame([], schema)
-
-
-def _kept(spark: SparkSession, path: str, settings: Settings) -> str:
-    name = f"kept_{hashlib.sha256(path.encode()).hexdigest()[:32]}"
-    spark.sql(f"CREATE TABLE IF NOT EXISTS {name} ({_POSTINGS}) USING parquet CLUSTERED BY (id) INTO {settings.index_buckets} BUCKETS LOCATION '{path}/postings'")
-    return name
-
-
-def append_index(memory: DataFrame, path: str, text: str = "text", settings: Settings = DEFAULTS) -> int:
-    """Index the passages that the kept index lacks; returns how many were tokenised.
-
-    The passages' lengths are announced before their postings are written and stored after, so that a call that failed
-    in between is noticed: postings that it left are not written again.
-    """
-    spark, name = memory.sparkSession, _kept(memory.sparkSession, path, settings)
-    done = _side(spark, path, "lengths").select("id")
-    fresh = memory.join(done, "id", "left_anti")
-    left = materialize(_side(spark, path, "announced").join(done, "id", "left_anti"))
-    half = left.limit(0)
-    if not left.isEmpty():
-        half = materialize(left.join(spark.table(name).select("id"), "id", "left_semi"))
-    rows = materialize(_tokenised(fresh.join(half, "id", "left_anti"), text, settings.index_buckets))
-    lengths = materialize(rows.select("id", F.size("tokens").alias("doc_len")).unionByName(half))
-    lengths.write.mode("overwrite").parquet(f"{path}/announced")
-    _counted(rows.repartition(settings.index_buckets, "id")).write.insertInto(name)
-    lengths.write.mode("append").parquet(f"{path}/lengths")
-    return rows.count()
-
-
-def open_index(spark: SparkSession, path: str, settings: Settings = DEFAULTS) -> Index:
-    """The kept index; how many passages hold a token is counted when requests ask for it."""
-    name = _kept(spark, path, settings)
-    spark.catalog.refreshTable(name)
-    stats = _side(spark, path, "lengths").agg(F.count("*").alias("n_docs"), F.avg("doc_len").alias("avg_len"))
-    return spark.table(name), None, stats
-
-
-def bm25_idf(n_docs: Column, df: Column) -> Column:
-    raw = F.log((n_docs - df + 0.5) / (df + 0.5))
-    return F.when(raw <= 0, F.lit(1e-6)).otherwise(raw)
-
-
-def bm25_score(tf: Column, doc_len: Column, avg_len: Column, idf: Column, settings: Settings = DEFAULTS) -> Column:
-    k1, b = settings.k1, settings.b
-    return idf * tf * (k1 + 1) / (tf + k1 * (1 - b + b * doc_len / avg_len))
-
-
 def _query_side(requests: DataFrame, index: Index, settings: Settings) -> DataFrame:
     """(request_id, token, mult, idf, avg_len): repeated tokens are folded into ``mult``."""
     postings, token_df, stats = index
     tokens = requests.select("request_id", F.explode(query_tokens(F.col("request"), settings)).alias("token"))
     counted = tokens.groupBy("request_id", "token").agg(F.count("*").alias("mult"))
-    if token_df is None:
-        token_df = postings.join(counted.select("token").distinct(), "token", "left_semi").groupBy("token").agg(F.count("*").alias("df"))
     known = counted.join(token_df, "token")
     known = known.withColumns({"n_docs": stats.select("n_docs").scalar(), "avg_len": stats.select("avg_len").scalar()})
     return known.select("request_id", "token", "mult", bm25_idf(F.col("n_docs"), F.col("df")).alias("idf"), "avg_len")
@@ -139,6 +80,10 @@ def shortlist(
     larger share of the rows; it is faster and can miss matches, so it is off by default.
     """
     limit = settings.shortlist_limit if limit is None else limit
+    if isinstance(index, BlockIndex):
+        if max_df_ratio is not None:
+            raise ValueError("a block index leaves no token out")
+        return top_matches(requests, index, limit, collection, before_self, settings=settings)
     index = index or build_index(memory)
     postings, asked = index[0], _query_side(requests, index, settings)
     if max_df_ratio is not None:

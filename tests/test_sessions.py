@@ -250,28 +250,6 @@ def _passages(spark, rows):
     return spark.createDataFrame(rows, "id long, collection string, text string")
 
 
-def test_kept_index_tokenises_new_rows_only(spark, tmp_path):
-    path = str(tmp_path / "kept")
-    settings = Settings(index_buckets=3)
-    first = _passages(spark, [(1, "default", "red boat on the lake"), (2, "default", "a red kite"), (3, "default", "")])
-    assert index.append_index(first, path, settings=settings) == 3 and index.append_index(first, path, settings=settings) == 0
-    both = first.unionByName(_passages(spark, [(4, "default", "kite over the red lake")]))
-    assert index.append_index(both, path, settings=settings) == 1
-    asked = spark.createDataFrame([(9, "red lake kite")], "request_id long, request string")
-    kept = index.shortlist(asked, both, index=index.open_index(spark, path, settings)).orderBy("rank").collect()
-    assert kept == index.shortlist(asked, both).orderBy("rank").collect() and [r.id for r in kept][0] == 4
-
-
-def test_kept_index_after_a_call_that_failed_in_between(spark, tmp_path):
-    path, settings = str(tmp_path / "kept"), Settings(index_buckets=2)
-    rows = _passages(spark, [(1, "default", "one two"), (2, "default", "two three")])
-    index.append_index(rows, path, settings=settings)
-    shutil.rmtree(f"{path}/lengths")  # as if the last write had failed
-    assert index.append_index(rows, path, settings=settings) == 0
-    postings, _, stats = index.open_index(spark, path, settings)
-    assert postings.count() == 4 and tuple(stats.first()) == (2, 2.0)
-
-
 def test_many_slices_give_the_same_shortlist(spark, monkeypatch):
     rows = _passages(spark, [(i, "default", f"word{i % 3} word{i % 5} rest{i}") for i in range(40)])
     asked = spark.createDataFrame([(i, f"word{i % 3} rest{i} rest{i + 1}") for i in range(30)], "request_id long, request string")
