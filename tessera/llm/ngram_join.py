@@ -21,8 +21,9 @@ Where a plain R-tree over the corpus would prune nothing: in hundreds of dimensi
 every document would visit every box of its size, which is quadratic; hence the cells.
 
 Defined cases: a null or empty text, or one without words, has the empty set and links with nothing; fewer
-words than a shingle make one shingle of the whole; a null doc_id is left out; repeated rows are copies;
-empty tables give empty results; further columns are ignored.
+words than a shingle make one shingle of the whole; a null doc_id is left out; repeated rows are copies; rows
+that repeat a doc_id with other texts are one document with several sets, linked by any of them, and each row has its own
+n_shingles; empty tables give empty results; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -288,6 +289,31 @@ def _rest_pairs(cells: DataFrame, percent: int) -> DataFrame:
 def link_similar(docs: DataFrame, k: int = 4, percent: int = 85) -> DataFrame:
     """doc_id, n_shingles and component_id of each document; linked when 100 * overlap >= percent * union."""
     docs = docs.select("doc_id", "text")
+    mark = F.xxhash64("text")
+    several = docs.where("doc_id is not null").groupBy("doc_id").agg(F.min(mark).alias("p"), F.max(mark).alias("q"))
+    several = settle(several.where("p <> q").select("doc_id"))
+    return _linked(docs, k, percent) if several.isEmpty() else _linked_by_text(docs, several, k, percent)
+
+
+def _linked_by_text(docs: DataFrame, several: DataFrame, k: int, percent: int) -> DataFrame:
+    """The same where the ids in ``several`` have several texts: each text gets a number of its own below all ids."""
+    marked = docs.withColumn("mark", F.xxhash64("text")).join(several, "doc_id", "left_semi")
+    low = docs.agg(F.least(F.min("doc_id"), F.lit(0))).first()[0]
+    named = settle(marked.dropDuplicates(["doc_id", "mark"]).withColumn("own", F.lit(low - 1) - F.monotonically_increasing_id()))
+    found = _linked(docs.join(several, "doc_id", "left_anti").unionByName(named.select(F.col("own").alias("doc_id"), "text")), k, percent)
+    found = settle(found.join(named.select(F.col("own").alias("doc_id"), F.col("doc_id").alias("real"), "mark"), "doc_id", "left"))
+    parts = found.where("real is not null").select("real", F.col("component_id").alias("a")).distinct()
+    edges = parts.join(parts.groupBy("real").agg(F.min("a").alias("b")), "real").where("a <> b").select("a", "b")
+    merged = components(edges).select(F.col("id").alias("component_id"), "component")
+    whole = settle(found.join(merged, "component_id", "left").withColumn("part", F.coalesce("component", "component_id")).drop("component", "component_id"))
+    least = whole.groupBy("part").agg(F.min(F.coalesce("real", "doc_id")).alias("component_id"), F.count("*").alias("size"))
+    whole = join_hot(whole, settle(least), "part", "size")
+    plain = whole.where("real is null").select("doc_id", "n_shingles", "component_id")
+    rows = marked.select("doc_id", "mark").join(whole.where("real is not null").select(F.col("real").alias("doc_id"), "mark", "n_shingles", "component_id"), ["doc_id", "mark"])
+    return plain.unionByName(rows.drop("mark"))
+
+
+def _linked(docs: DataFrame, k: int, percent: int) -> DataFrame:
     base = settle(_points(docs, k, percent))
     same = ["n", "s1", "s2"]
     heads = settle(base.where("n > 0").groupBy(same).agg(F.min("doc_id").alias("rep")))

@@ -86,9 +86,11 @@ QUALIFY row_number() OVER w <= 5
 
 def piece_model() -> str:
     """The model file: TESSERA_PIECE_MODEL, else that of the installed public tokenizers."""
+    if named := os.environ.get("TESSERA_PIECE_MODEL"):
+        return named
     import public_tokenizers
 
-    return os.environ.get("TESSERA_PIECE_MODEL") or public_tokenizers.path("piece_bpe_32k.model")
+    return public_tokenizers.path("piece_bpe_32k.model")
 
 
 def op7_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:

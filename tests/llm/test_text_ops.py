@@ -99,6 +99,16 @@ def test_tree_join_loses_no_pair():
     assert got == want and want
 
 
+def test_ngram_join_of_ids_with_several_texts(spark):
+    a, b, c = (" ".join(f"{x}{i}" for i in range(40)) for x in "abc")
+    rows = [(1, a), (2, f"{a} more"), (2, b), (2, b), (3, b), (4, c), (5, c), (5, None), (6, "alone"), (None, c), (7, f"{c} end")]
+    docs = spark.createDataFrame([(*r, "x", 1) for r in rows], "doc_id long, text string, part string, real int")
+    got = sorted(map(tuple, ngram_join.link_similar(docs).select("doc_id", "n_shingles", "component_id").collect()))
+    assert got == [(1, 37, 1), (2, 37, 1), (2, 37, 1), (2, 38, 1), (3, 37, 1), (4, 37, 4), (5, 0, 4), (5, 37, 4), (6, 1, 6), (7, 38, 4)]
+    same = spark.createDataFrame([(1, a), (1, a), (2, a)], "doc_id long, text string")
+    assert sorted(map(tuple, ngram_join.link_similar(same).select("doc_id", "component_id").collect())) == [(1, 1), (1, 1), (2, 1)]
+
+
 def test_ngram_join_empty(spark):
     assert ngram_join.link_similar(_docs(spark, [])).count() == 0
 
