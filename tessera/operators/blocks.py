@@ -4,12 +4,13 @@ A block holds a token's postings of SLOT neighbouring ids, with how many there a
 shortest passage. From these a bound on what the token (or the block) can give a request follows for any state of the
 statistics, as a score rises with the frequency and falls with the length.
 
-A shortlist takes four steps, each a Spark job over the requests of a batch:
+A shortlist takes four steps, each a few Spark jobs over the requests of a batch:
 
-1. The rarest tokens of a request that together have a few times ``limit`` postings give it a score that its last place
-   has at least.
-2. Tokens whose bounds together stay below that score (the frequent ones) can't bring a passage into the list alone. Only the
-   other tokens' postings are exploded, and of these only blocks that can still reach the score.
+1. The rarest tokens of a request that together have a few times ``limit`` postings name passages; the best of them are
+   scored whole, and the last place of the list has at least the least of these scores.
+2. Tokens whose bounds together stay below that score can't bring a passage into the list alone. Of all such sets the one is taken
+   that leaves out many postings for little bound, so frequent tokens go first. Only the other tokens' postings are
+   exploded, and of these only blocks that can still reach the score.
 3. Candidates whose sum and the bounds of the left-out tokens reach the last place are kept.
 4. For them alone the left-out tokens are looked up, by (token, slot) and then by (token, id).
 """
@@ -64,8 +65,13 @@ def blocks_of(lists: DataFrame) -> DataFrame:
     """Blocks of passages (id, collection, tokens); ids occur once."""
     each = lists.select("id", "collection", F.size("tokens").alias("len"), F.explode("tokens").alias("token"))
     counted = each.groupBy("id", "token").agg(F.count("*").cast("int").alias("tf"), F.first("len").alias("len"), F.first("collection").alias("collection"))
+    return in_blocks(counted)
+
+
+def in_blocks(postings: DataFrame) -> DataFrame:
+    """Blocks of postings (collection, token, id, tf, len)."""
     rows = F.array_sort(F.collect_list(F.struct("id", "tf", "len")))
-    blocks = counted.groupBy("collection", "token", slot_of(F.col("id")).alias("slot")).agg(F.count("*").alias("n"), F.max("tf").alias("max_tf"), F.min("len").alias("min_len"), rows.alias("r"))
+    blocks = postings.groupBy("collection", "token", slot_of(F.col("id")).alias("slot")).agg(F.count("*").alias("n"), F.max("tf").alias("max_tf"), F.min("len").alias("min_len"), rows.alias("r"))
     part = lambda name: F.transform("r", lambda x: x[name])
     return blocks.select("collection", "token", "slot", "n", "max_tf", "min_len", part("id").alias("ids"), part("tf").alias("tfs"), part("len").alias("lens"))
 
@@ -167,10 +173,24 @@ def _sums(rows: DataFrame, dead: DataFrame | None, before_self: bool, settings:
     return each.groupBy("request_id", "id").agg(F.sum(part).alias("score"))
 
 
+def _best(scored: DataFrame, limit: int) -> DataFrame:
+    """The ``limit`` best rows of each request."""
+    place = F.row_number().over(W.partitionBy("request_id").orderBy(F.desc("score"), "id"))
+    return scored.withColumn("_r", place).where(F.col("_r") <= limit).drop("_r")
+
+
 def _last_place(scored: DataFrame, limit: int) -> DataFrame:
     """(request_id, least): the score at place ``limit``, 0 where there are fewer."""
-    best = scored.withColumn("_r", F.row_number().over(W.partitionBy("request_id").orderBy(F.desc("score")))).where(F.col("_r") <= limit)
-    return best.groupBy("request_id").agg(F.when(F.count("*") == limit, F.min("score")).otherwise(0.0).alias("least"))
+    return _best(scored, limit).groupBy("request_id").agg(F.when(F.count("*") == limit, F.min("score")).otherwise(0.0).alias("least"))
+
+
+def _looked_up(pairs: DataFrame, asked: DataFrame, blocks: DataFrame, dead: DataFrame | None, settings: Settings) -> DataFrame:
+    """(request_id, id, score): what each token of ``asked`` gives the pairs (request_id, id), a row for each that does."""
+    wanted = pairs.select("request_id", "id").join(asked.select("request_id", "token", "mult", "idf", "avg_len"), "request_id").withColumn("slot", slot_of(F.col("id")))
+    there = blocks.join(wanted.select("token", "slot").distinct(), ["token", "slot"], "left_semi")
+    found = wanted.drop("slot").join(_postings(there, ["token"], dead), ["token", "id"])
+    part = bm25_score(F.col("tf"), F.col("len"), F.col("avg_len"), F.col("idf"), settings) * F.col("mult")
+    return found.select("request_id", "id", part.alias("score"))
 
 
 def top_matches(
@@ -187,8 +207,11 @@ def top_matches(
     by_request = W.partitionBy("request_id")
     rare = F.sum("here").over(by_request.orderBy("here", "token").rowsBetween(W.unboundedPreceding, W.currentRow)) - F.col("here")
     seeds = asked.withColumn("_past", rare).where(F.col("_past") < SEEDS * limit).drop("_past")
-    least = materialize(_last_place(_sums(_joined(seeds, blocks), index.dead, before_self, settings), limit))
-    weak = F.sum("bound").over(by_request.orderBy("bound", "token").rowsBetween(W.unboundedPreceding, W.currentRow))
+    first = materialize(_best(_sums(_joined(seeds, blocks), index.dead, before_self, settings), limit))
+    whole = _looked_up(first, asked, blocks, index.dead, settings).groupBy("request_id", "id").agg(F.sum("score").alias("score"))
+    least = materialize(_last_place(whole, limit))
+    gain = by_request.orderBy(F.desc(F.col("here") / F.col("bound")), "token")
+    weak = F.sum("bound").over(gain.rowsBetween(W.unboundedPreceding, W.currentRow))
     ranked = asked.join(least, "request_id", "left").withColumn("least", F.coalesce("least", F.lit(0.0)) - ROOM)
     ranked = materialize(ranked.withColumns({"alone": weak >= F.col("least"), "all": F.sum("bound").over(by_request)}))
     near = _joined(ranked.where("alone"), blocks)
@@ -196,14 +219,11 @@ def top_matches(
     found = _sums(near.where(F.col("all") - F.col("bound") + own >= F.col("least")), index.dead, before_self, settings)
     rest = ranked.where("not alone").groupBy("request_id").agg(F.sum("bound").alias("rest"))
     found = found.join(rest, "request_id", "left").withColumn("rest", F.coalesce("rest", F.lit(0.0)))
-    found = materialize(found)
+    found = materialize(found.join(ranked.select("request_id", "least").distinct(), "request_id").where(F.col("score") + F.col("rest") >= F.col("least")).drop("least"))
     last = _last_place(found, limit).withColumnRenamed("least", "last")
     kept = materialize(found.join(last, "request_id").where(F.col("score") + F.col("rest") >= F.col("last") - ROOM).select("request_id", "id", "score"))
-    looked = kept.join(ranked.where("not alone").select("request_id", "token", "mult", "idf", "avg_len"), "request_id").withColumn("slot", slot_of(F.col("id")))
-    wanted = blocks.join(looked.select("token", "slot").distinct(), ["token", "slot"], "left_semi")
-    more = looked.select("request_id", "id", "token", "mult", "idf", "avg_len").join(_postings(wanted, ["token"], index.dead), ["token", "id"])
-    part = bm25_score(F.col("tf"), F.col("len"), F.col("avg_len"), F.col("idf"), settings) * F.col("mult")
-    both = kept.unionByName(more.select("request_id", "id", part.alias("score")))
+    more = _looked_up(kept, ranked.where("not alone"), blocks, index.dead, settings)
+    both = kept.unionByName(more)
     scored = both.groupBy("request_id", "id").agg(F.round(F.sum("score"), 9).alias("score"))
     order = by_request.orderBy(F.desc("score"), "id")
     return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= limit).select("request_id", "id", "score", "rank")

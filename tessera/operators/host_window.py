@@ -79,16 +79,14 @@ def messages_for_compaction(preparation: DataFrame, entries: DataFrame, cuts: Da
 def fit_summary(summary: Column, budget: Column) -> Column:
     """Leading parts of a summary, parted by blank lines, while they fit; the whole if it fits."""
     parts = F.split(summary, "\n\n")
-    start = F.struct(F.lit(0).cast("long").alias("used"), F.lit(True).alias("open"), F.array().cast("array<string>").alias("kept"))
+    start = F.struct(F.lit(0).cast("long").alias("used"), F.lit(True).alias("open"), F.lit(0).alias("n"))
 
     def step(acc: Column, part: Column) -> Column:
-        used = acc["used"] + estimate_tokens_utf16(part) + F.when(F.size(acc["kept"]) > 0, 1).otherwise(0)
+        used = acc["used"] + estimate_tokens_utf16(part) + F.when(acc["n"] > 0, 1).otherwise(0)
         more = acc["open"] & (used <= budget)
-        return F.struct(
-            F.when(more, used).otherwise(acc["used"]).cast("long").alias("used"), more.alias("open"), F.when(more, F.concat(acc["kept"], F.array(part))).otherwise(acc["kept"]).alias("kept")
-        )
+        return F.struct(F.when(more, used).otherwise(acc["used"]).cast("long").alias("used"), more.alias("open"), (acc["n"] + more.cast("int")).alias("n"))
 
-    kept = F.array_join(F.aggregate(parts, start, step, lambda a: a["kept"]), "\n\n")
+    kept = F.array_join(F.slice(parts, F.lit(1), F.aggregate(parts, start, step, lambda a: a["n"])), "\n\n")
     return F.when(F.coalesce(summary, F.lit("")) == "", "").when(estimate_tokens_utf16(summary) <= budget, summary).otherwise(kept)
 
 

@@ -2,7 +2,7 @@
 
 Postings are bucketed by passage, so counting, scoring and the first top-k need no exchange: the set of all
 (passage, request) matches is never shuffled. The query side is broadcast in slices of a bounded number of tokens;
-further slices are further passes, and beyond a few slices the tokens are joined by an exchange.
+further slices are further passes. Beyond a few slices postings are put into blocks, whose bounds leave most matches out.
 
 An index is (postings, token_df, corpus_stats), which build_index makes for a session, or a BlockIndex (blocks.py), whose
 shortlists read few postings; kept_index.py keeps one under a path.
@@ -22,7 +22,7 @@ from ..config import DEFAULTS, Settings
 from ..functions.bm25 import bm25_idf, bm25_score
 from ..functions.text import index_tokens, query_tokens
 from ..sources.shared import materialize, shared_dir
-from .blocks import BlockIndex, top_matches
+from .blocks import BlockIndex, in_blocks, top_matches
 
 SLICE_TOKENS, MAX_SLICES = 200_000, 8
 Index = tuple[DataFrame, DataFrame, DataFrame] | BlockIndex
@@ -64,6 +64,14 @@ def _query_side(requests: DataFrame, index: Index, settings: Settings) -> DataFr
     return known.select("request_id", "token", "mult", bm25_idf(F.col("n_docs"), F.col("df")).alias("idf"), "avg_len")
 
 
+def _in_blocks(index: Index, memory: DataFrame) -> BlockIndex:
+    """The same index in blocks."""
+    postings, _, stats = index
+    rows = postings.withColumnRenamed("doc_len", "len").join(memory.select("id", "collection"), "id")
+    n_docs, avg_len = stats.select("n_docs", "avg_len").first()
+    return BlockIndex(materialize(in_blocks(rows).withColumn("at", F.lit(0).cast("long"))), n_docs, round((avg_len or 0) * n_docs))
+
+
 def shortlist(
     requests: DataFrame,
     memory: DataFrame,
@@ -93,13 +101,13 @@ def shortlist(
         postings = postings.join(inside, "id", "left_semi")
     tokens = requests.select(F.sum(F.least(F.size(query_tokens(F.col("request"), settings)), F.lit(settings.max_query_tokens)))).first()[0] or 0
     slices = max(1, math.ceil(tokens / SLICE_TOKENS))
-    many = slices > MAX_SLICES  # more passes over the postings would cost more than an exchange of the matches
-    slices = 1 if many else slices
+    if slices > MAX_SLICES and max_df_ratio is None:  # more passes over the postings would cost more than blocks
+        return top_matches(requests, _in_blocks(index, memory), limit, collection, before_self, settings=settings)
     order = W.partitionBy("request_id").orderBy(F.desc("score"), "id")
 
     def one(s: int) -> DataFrame:
         part = asked if slices == 1 else asked.where(F.pmod(F.xxhash64("request_id"), F.lit(slices)) == s)
-        hits = postings.join(part if many else F.broadcast(part), "token")  # SLICE_TOKENS rows, about, at most
+        hits = postings.join(F.broadcast(part), "token")  # SLICE_TOKENS rows, about, at most
         hits = hits.where("id < request_id") if before_self else hits
         parts = bm25_score(F.col("tf"), F.col("doc_len"), F.col("avg_len"), F.col("idf"), settings) * F.col("mult")
         scored = hits.groupBy("id", "request_id").agg(F.round(F.sum(parts), 9).alias("score"))

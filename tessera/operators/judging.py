@@ -6,7 +6,8 @@ from collections.abc import Callable, Iterator
 
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -14,6 +15,7 @@ from pyspark.sql import types as T
 from ..config import DEFAULTS, Settings
 from ..functions.text import blank_trim, estimate_tokens, index_tokens, query_tokens
 from ..schemas import RESPONSE
+from ..sources.shared import materialize
 
 
 def validate_questions(questions: DataFrame) -> DataFrame:
@@ -23,8 +25,9 @@ def validate_questions(questions: DataFrame) -> DataFrame:
 
 
 def json_bytes(json: Column) -> Column:
-    """Bytes of a JSON text once <, > and & are written as six-byte escapes."""
-    return F.octet_length(json) + 5 * (F.length(json) - F.length(F.translate(json, "<>&", "")))
+    """Bytes of a JSON text once <, > and &, and the line and paragraph separators of Unicode, are six-byte escapes."""
+    without = lambda chars: F.length(json) - F.length(F.translate(json, chars, ""))
+    return F.octet_length(json) + 5 * without("<>&") + 3 * without("\u2028\u2029")
 
 
 def question_bytes(key: Column, *fields: Column) -> Column:
@@ -120,17 +123,47 @@ def merge_answers(answers: DataFrame, questions: DataFrame) -> DataFrame:
     return rows.join(version, "request_id", "left").select("request_id", "key", F.when(F.col("error").isNull(), F.col("probability")).alias("probability"), "model_version", "error")
 
 
-def judge(pairs: DataFrame, scorer: Callable[[pd.Series, pd.Series], pd.Series], partitions: int | None = None) -> DataFrame:
-    """Pairs (request, text and any keys) with a probability from a user's scorer, which sees each distinct pair once."""
-    keyed = pairs.withColumn("_pair", F.sha2(F.concat_ws("\0", F.sha2("request", 256), F.sha2("text", 256)), 256))
+def _pair() -> Column:
+    return F.sha2(F.concat_ws("\0", F.sha2(F.coalesce("request", F.lit("")), 256), F.sha2(F.coalesce("text", F.lit("")), 256)), 256)
+
+
+def judge(pairs: DataFrame, scorer: Callable[[pd.Series, pd.Series], pd.Series], partitions: int | None = None, kept: str | None = None, model_version: str = "") -> DataFrame:
+    """Pairs (request, text and any keys) with a probability from a user's scorer, which sees each distinct pair once.
+
+    With ``kept``, the path of a table of judgments, a pair that this model version has judged before is read there and is not
+    scored again; new judgments are written before anything reads them. A null probability is a failure and is asked again.
+    Without it the result is settled all the same: however often it is read, the scorer runs once.
+    """
+    keyed = pairs.withColumn("_pair", _pair())
     once = keyed.select("_pair", "request", "text").dropDuplicates(["_pair"])
+    if kept:
+        asked = keyed.select("_pair").distinct()
+        known = materialize(read_judged(pairs.sparkSession, kept, model_version).join(asked, "_pair", "left_semi"))
+        once = once.join(known, "_pair", "left_anti")
     once = once.repartition(partitions) if partitions else once
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
             yield pd.DataFrame({"_pair": f["_pair"], "probability": scorer(f["request"], f["text"]).astype("float64")})
 
-    return keyed.join(once.mapInPandas(run, "_pair string, probability double"), "_pair").drop("_pair")
+    scored = materialize(once.mapInPandas(run, "_pair string, probability double"))
+    if kept:
+        fine = scored.where("probability is not null").select("_pair", "probability", F.lit(model_version).alias("model_version"), F.substring("_pair", 1, 2).alias("bucket"))
+        fine.repartition("bucket").write.mode("append").partitionBy("model_version", "bucket").parquet(kept)
+        scored = scored.unionByName(known)
+    return keyed.join(scored, "_pair").drop("_pair")
+
+
+def read_judged(spark: SparkSession, path: str, model_version: str = "") -> DataFrame:
+    """(_pair, probability) that a model version has given; of a pair that two jobs scored at once the smaller counts."""
+    schema = "_pair string, probability double, model_version string, bucket string"
+    try:
+        rows = spark.read.schema(schema).parquet(path)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        rows = spark.createDataFrame([], schema)
+    return rows.where(F.col("model_version").eqNullSafe(F.nullif(F.lit(model_version), F.lit("")))).groupBy("_pair").agg(F.min("probability").alias("probability"))
 
 
 def lexical_judge(pairs: DataFrame, settings: Settings = DEFAULTS) -> DataFrame:

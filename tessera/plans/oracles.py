@@ -384,6 +384,27 @@ ORACLES: dict[str, str] = {
            WHERE seq < 4 OR conv_id % 3 = 0 OR (conv_id % 3 = 1 AND seq < 6 AND top >= 6)"""
     ),
     "judge": _sql("SELECT request_id, id, (length(request) * 3 + length(text)) % 100 / 100.0::DOUBLE AS probability FROM five JOIN requests USING (request_id) JOIN memory USING (id)", _FIVE),
+    "judge_kept": _sql("SELECT request_id, id, (length(request) * 3 + length(text)) % 100 / 100.0::DOUBLE AS probability FROM five JOIN requests USING (request_id) JOIN memory USING (id)", _FIVE),
+    "kept_shortlist": _sql(
+        "SELECT request_id, id, round(score, 6) AS score, rank FROM short",
+        {"memory": CTES["memory"].replace("SELECT doc_id AS id", "SELECT CASE WHEN source = 'src2' THEN doc_id + 10000000000 ELSE doc_id END AS id").replace(
+            "source AS source_id, text,", "source AS source_id, CASE WHEN source = 'src2' THEN text || ' once again' ELSE text END AS text,").replace("FROM documents", "FROM documents WHERE source <> 'src1'")}
+        | _SHORT,
+    ),
+    "links_of_the_moment": _sql(
+        f"""SELECT request_id AS src, id AS dst, round(score, 4) AS score, CAST(row_number() OVER w AS INTEGER) AS rank FROM moment_s
+            WINDOW w AS (PARTITION BY request_id ORDER BY score DESC, id) QUALIFY row_number() OVER w <= {DEFAULTS.link_seeds}""",
+        {
+            "newer": _LINK["newer"],
+            "linked_q": _LINK["linked_q"],
+            "df_then": "SELECT id AS request_id, token, row_number() OVER (PARTITION BY token ORDER BY id) AS df FROM postings",
+            "moment": "SELECT id AS request_id, row_number() OVER (ORDER BY id) AS n_docs, sum(n) OVER (ORDER BY id ROWS UNBOUNDED PRECEDING) / row_number() OVER (ORDER BY id) AS avg_len FROM lengths",
+            "moment_s": """SELECT request_id, id, round(sum(mult * CASE WHEN n_docs - df + 0.5 <= df + 0.5 THEN 1e-6 ELSE ln((n_docs - df + 0.5) / (df + 0.5)) END
+                * tf * 2.2::DOUBLE / (tf + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * n / avg_len))), 9) AS score
+                FROM linked_q JOIN df_then USING (request_id, token) JOIN moment USING (request_id) JOIN postings USING (token) JOIN lengths USING (id)
+                WHERE collection = 'conversation' AND id < request_id GROUP BY ALL""",
+        },
+    ),
     "capture_batches": _sql(
         """SELECT row_number() OVER (ORDER BY batch, arrival) AS id, 'conversation' AS collection, session_id AS source_id, hash AS sha256, session_id, role
            FROM (SELECT *, CASE WHEN conv_id % 3 < 2 THEN 0 ELSE 1 END AS batch, sha256(text) AS hash FROM turns WHERE role IN ('user', 'assistant') AND trim(text) <> '')

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..config import CONVERSATION, DEFAULTS
 from ..functions import text as tx
-from ..operators import compact, graph, host_window, index, judging, messages, recall, store
+from ..operators import compact, graph, host_window, index, judging, kept_index, messages, recall, store
 from ..sources import tables
 from ..sources.shared import materialize, shared_dir
 from ..streaming import streams
@@ -114,6 +114,26 @@ def shortlist_bm25(spark, d):
     return found.select("request_id", "id", F.round("score", 6).alias("score"), "rank")
 
 
+def kept_shortlist(spark, d):
+    """From a kept index that took in documents, then the turns, lost one source and had another replaced."""
+    rows, at = views.memory(spark, d), _folder(spark)
+    docs = rows.where(F.col("collection") == "default")
+    for batch, part in (("documents", docs), ("turns", rows), ("turns", rows)):
+        kept_index.append_index(part, at, batch)
+    old = docs.where("source_id = 'src2'")
+    new = old.withColumns({"id": F.col("id") + 10**10, "text": F.concat("text", F.lit(" once again"))})
+    kept_index.remove_index(docs.where("source_id = 'src1'"), at, "gone")
+    kept_index.replace_index(old, new, at, "replaced")
+    found = index.shortlist(views.requests(spark, d), rows, collection="default", index=kept_index.open_index(spark, at))
+    return found.select("request_id", "id", F.round("score", 6).alias("score"), "rank")
+
+
+def links_of_the_moment(spark, d):
+    rows = views.memory(spark, d)
+    found = graph.link_candidates(rows.where(F.col("collection") == CONVERSATION), rows, as_of=True)
+    return found.select("src", "dst", F.round("score", 4).alias("score"), "rank")
+
+
 def _links(spark, d):
     rows = views.memory(spark, d)
     pairs = graph.link_candidates(rows.where(F.col("collection") == CONVERSATION), rows)
@@ -449,6 +469,15 @@ def judge(spark, d):
     return judging.judge(pairs, lambda request, text: (request.str.len() * 3 + text.str.len()) % 100 / 100.0).select("request_id", "id", "probability")
 
 
+def judge_kept(spark, d):
+    """The same pairs in two overlapping lots: what the first has judged, the second reads."""
+    asked, at = views.requests(spark, d), _folder(spark)
+    pairs = materialize(index.shortlist(asked, views.memory(spark, d), 5, "default").join(asked, "request_id").join(views.memory(spark, d).select("id", "text"), "id"))
+    score = lambda request, text: (request.str.len() * 3 + text.str.len()) % 100 / 100.0
+    judging.judge(pairs.where("rank < 4"), score, kept=at, model_version="v1")
+    return judging.judge(pairs, score, kept=at, model_version="v1").select("request_id", "id", "probability")
+
+
 def _captured(spark, d):
     """A store that took in two overlapping parts of the turns, the second twice."""
     said, at = views.turns(spark, d), _folder(spark)
@@ -479,6 +508,6 @@ NAMES = [
     elide, expand_pages, expand, frozen_prefix, fresh_window, prepare_plan, host_budget, select_fresh_cut, deepened_cut, plan_compaction, fit_summary,
     compaction_from_plan, pack_tool_batches, pack_questions, parse_answers, merge_answers, validate_questions, normalize_messages, candidate_turns,
     read_turns, stored_memory, stored_edges, stored_elisions, read_judgments, write_plans, read_text_sources, entry_tokens, text_of, session_turns,
-    messages_from_preparation, messages_for_compaction, judge, capture_batches, recall_batches,
+    messages_from_preparation, messages_for_compaction, judge, judge_kept, kept_shortlist, links_of_the_moment, capture_batches, recall_batches,
 ]
 QUERIES = {f.__name__: f for f in NAMES}
