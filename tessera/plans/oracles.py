@@ -263,6 +263,10 @@ ORACLES: dict[str, str] = {
             CASE WHEN starts_with(trim(text), '{DEFAULTS.summary_marker}') THEN 'summary' END AS reason FROM turns"""
     ),
     "ingest_new": _sql("SELECT CAST(row_number() OVER (ORDER BY arrival) AS BIGINT) AS id, arrival, session_id AS source_id, hash AS sha256, session_id, role FROM fresh"),
+    "ingest_kept": _sql(
+        """SELECT arrival, session_id AS source_id, hash AS sha256, session_id, role FROM fresh
+           WHERE hash NOT IN (SELECT sha256(text) FROM turns WHERE role IN ('user', 'assistant') AND conv_id % 6 = 3 AND text IS NOT NULL)"""
+    ),
     "capture_summary": _sql("SELECT a.session_id, count(f.arrival) AS stored, count(*) - count(f.arrival) AS ignored FROM again a LEFT JOIN fresh f USING (arrival) GROUP BY a.session_id"),
     "replace_source": _sql(
         """SELECT id, collection, source_id, sha256(text) AS sha256 FROM memory WHERE NOT (collection = 'default' AND (source_id = 'src3' OR source_id IN
@@ -420,3 +424,4 @@ ORACLES: dict[str, str] = {
         | _ranked("ranked", "fair", DEFAULTS.inject_budget),
     ),
 }
+ORACLES |= {"replace_stored": ORACLES["replace_source"], "expand_stored": ORACLES["expand"]}

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..config import CONVERSATION, DEFAULTS
 from ..functions import text as tx
-from ..operators import compact, graph, host_window, index, judging, kept_index, messages, recall, store
+from ..operators import compact, graph, hash_table, host_window, index, judging, kept_index, kept_store, messages, recall, store
 from ..sources import tables
 from ..sources.shared import materialize, shared_dir
 from ..streaming import streams
@@ -53,16 +53,39 @@ def ingest_new(spark, d):
     return _ids(store.ingest_new(views.repeated_turns(spark, d), known))
 
 
+def ingest_kept(spark, d):
+    """Against the kept hashes of all documents and of every third conversation, half of which were removed again."""
+    rows, at = views.memory(spark, d), _folder(spark)
+    said, conv = rows.where(F.col("collection") == CONVERSATION), "(id - 1000000000) div 1000"
+    hash_table.follow_hashes(rows.where(F.col("collection") == "default"), at)
+    for batch, part in (("turns", "% 3 = 0"), ("turns", "% 3 = 0")):
+        hash_table.add_hashes(said.where(conv + part), at, batch)
+    hash_table.add_hashes(said.where(f"{conv} % 6 = 0"), at, "gone", removed=True)
+    return store.ingest_new(views.repeated_turns(spark, d), rows.limit(0), hashes=at).select("arrival", "source_id", "sha256", "session_id", "role")
+
+
 def capture_summary(spark, d):
     known = views.memory(spark, d).where(F.col("collection") == "default")
     return store.capture_summary(store.ingest_status(views.repeated_turns(spark, d), known))
 
 
+def _replaced(spark, rows):
+    new = rows.where("source_id in ('src1', 'src2')").withColumn("id", F.col("id") + 10**10)
+    return new, spark.range(1).select(F.lit("default").alias("collection"), F.lit("src3").alias("source_id"))
+
+
 def replace_source(spark, d):
     rows = views.memory(spark, d)
-    new = rows.where("source_id in ('src1', 'src2')").withColumn("id", F.col("id") + 10**10)
-    gone = spark.range(1).select(F.lit("default").alias("collection"), F.lit("src3").alias("source_id"))
-    return store.replace_source(rows, new, gone).select("id", "collection", "source_id", "sha256")
+    return store.replace_source(rows, *_replaced(spark, rows)).select("id", "collection", "source_id", "sha256")
+
+
+def replace_stored(spark, d):
+    """In a store whose folders are rewritten in place."""
+    rows, at = views.memory(spark, d), _folder(spark)
+    tables.write_memory(rows, at)
+    new, gone = _replaced(spark, rows)
+    kept_store.replace_stored(new, at, gone)
+    return tables.read_memory(spark, at).select("id", "collection", "source_id", "sha256")
 
 
 def gated_remember(spark, d):
@@ -226,10 +249,23 @@ def expand_pages(spark, d):
     return compact.pages(_elided(spark, d)[1], 1000).select("pointer", "page", F.hex("data").alias("data"))
 
 
+def _asked(spark, d):
+    """Payloads, and requests for some of their pages."""
+    rows = table(spark, d, "pages")
+    payloads = rows.select(tx.pointer_for(F.col("html")).alias("pointer"), F.col("html").cast("binary").alias("original"), F.sha2("html", 256).alias("sha256"))
+    asked = rows.select(F.when(F.col("page_id") % 10 == 0, "e:missing").otherwise(tx.pointer_for(F.col("html"))).alias("pointer"), (F.col("page_id") % 4 - 1).alias("page"), "page_id")
+    return asked, payloads.dropDuplicates(["pointer"])
+
+
 def expand(spark, d):
-    payloads = table(spark, d, "pages").select(tx.pointer_for(F.col("html")).alias("pointer"), F.col("html").cast("binary").alias("original"), F.sha2("html", 256).alias("sha256"))
-    asked = table(spark, d, "pages").select(F.when(F.col("page_id") % 10 == 0, "e:missing").otherwise(tx.pointer_for(F.col("html"))).alias("pointer"), (F.col("page_id") % 4 - 1).alias("page"), "page_id")
-    return compact.expand(asked, payloads.dropDuplicates(["pointer"]), 1000).select("page_id", "found", F.sha2("data", 256).alias("data_sha256"))
+    return compact.expand(*_asked(spark, d), 1000).select("page_id", "found", F.sha2("data", 256).alias("data_sha256"))
+
+
+def expand_stored(spark, d):
+    """From payloads that were stored as pages."""
+    (asked, payloads), at = _asked(spark, d), _folder(spark)
+    kept_store.write_pages(payloads, at, 1000)
+    return kept_store.expand_stored(asked, at).select("page_id", "found", F.sha2("data", 256).alias("data_sha256"))
 
 
 def frozen_prefix(spark, d):
@@ -508,6 +544,6 @@ NAMES = [
     elide, expand_pages, expand, frozen_prefix, fresh_window, prepare_plan, host_budget, select_fresh_cut, deepened_cut, plan_compaction, fit_summary,
     compaction_from_plan, pack_tool_batches, pack_questions, parse_answers, merge_answers, validate_questions, normalize_messages, candidate_turns,
     read_turns, stored_memory, stored_edges, stored_elisions, read_judgments, write_plans, read_text_sources, entry_tokens, text_of, session_turns,
-    messages_from_preparation, messages_for_compaction, judge, judge_kept, kept_shortlist, links_of_the_moment, capture_batches, recall_batches,
+    messages_from_preparation, messages_for_compaction, judge, judge_kept, kept_shortlist, links_of_the_moment, ingest_kept, replace_stored, expand_stored, capture_batches, recall_batches,
 ]
 QUERIES = {f.__name__: f for f in NAMES}

@@ -6,7 +6,7 @@ import os
 import pytest
 from pyspark.sql import functions as F
 
-from tessera.operators import hash_table, judging, kept_index, store
+from tessera.operators import compact, hash_table, judging, kept_index, kept_store, store
 from tessera.schemas import MEMORY, TURNS
 from tessera.sources import tables
 from tessera.streaming import streams
@@ -100,3 +100,81 @@ def test_a_batch_that_failed_before_its_hashes_stores_nothing_twice(spark, tmp_p
         streams.capture_batch(batch, at, edges, judging.lexical_judge, name="c/1")
     assert sorted((r.id, r.text) for r in tables.read_memory(spark, at).collect()) == [(1, "one two"), (2, "two three"), (3, "three four")]
     assert kept_index.open_index(spark, streams.index_path(at)).n_docs == 3
+
+
+def _files(path):
+    return {os.path.join(d, f) for d, _, names in os.walk(path) for f in names if f.endswith(".parquet")}
+
+
+def _rows(df):
+    return sorted(map(repr, df.collect()))
+
+
+def test_a_replaced_source_rewrites_its_folder_only(spark, tmp_path):
+    path = str(tmp_path / "memory")
+    old = _memory(spark, [(i, "default" if i % 3 else "conversation", f"s{i % 11}", f"text {i}") for i in range(90)] + [(200, "default", None, "no source"), (201, "odd = /x", "s1", "text")])
+    tables.write_memory(old, path)
+    before = _files(path)
+    new = _memory(spark, [(300, "default", "s4", "new one"), (301, "default", "s4", "new two"), (302, "default", "never seen", "first")])
+    gone = kept_store.replace_stored(new, path)
+    want = store.replace_source(old, new)
+    assert _rows(tables.read_memory(spark, path).select(want.columns)) == _rows(want)
+    assert sorted(r.id for r in gone.collect()) == [i for i in range(90) if i % 3 and i % 11 == 4]
+    own = {f"collection=default/source_bucket={r.b}" for r in new.select(tables.source_bucket(F.col("source_id"), 16).alias("b")).collect()}
+    assert {os.path.relpath(os.path.dirname(f), path) for f in before ^ _files(path)} <= own
+    again = kept_store.replace_stored(new, path)
+    assert again.count() == 2 + 1 and _rows(tables.read_memory(spark, path).select(want.columns)) == _rows(want)
+
+
+def test_emptied_sources_leave_no_rows_behind(spark, tmp_path):
+    path = str(tmp_path / "memory")
+    old = _memory(spark, [(1, "odd = /x", "only", "a"), (2, "default", None, "b"), (3, "default", "s", "c")])
+    tables.write_memory(old, path, buckets=4)
+    tables.write_memory(_memory(spark, [(4, "default", "s", "d")]), path, buckets=32)
+    gone = old.where("id < 3").select("collection", "source_id")
+    assert kept_store.replace_stored(old.limit(0), path, gone).count() == 2
+    assert sorted(r.id for r in tables.read_memory(spark, path).collect()) == [3, 4]
+    assert sorted(r.id for r in tables.read_memory(spark, path, "default", "s").collect()) == [3, 4]
+    assert kept_store.replace_stored(_memory(spark, [(5, "default", "s", "e")]), path).count() == 2
+    assert [r.id for r in tables.read_memory(spark, path, "default", "s").collect()] == [5]
+    assert kept_store.replace_stored(old.limit(0), path).count() == 0
+
+
+@pytest.mark.parametrize("literal", [64, 2])
+def test_stored_pages_equal_expand(spark, tmp_path, monkeypatch, literal):
+    monkeypatch.setattr(kept_store, "LITERAL", literal)
+    path = str(tmp_path / "pages")
+    payloads = spark.createDataFrame([(f"e:{i}", bytes(f"{i}" * (i * 7), "ascii"), "") for i in range(12)], "pointer string, original binary, sha256 string")
+    kept_store.write_pages(payloads, path, 10)
+    kept_store.write_pages(payloads.where("pointer = 'e:3'"), path, 10)
+    asked = spark.createDataFrame([(n, f"e:{i}" if i < 13 else None, p, "x") for n, (i, p) in enumerate([(3, 0), (3, 0), (3, 2), (3, 99), (5, -4), (0, 0), (0, 1), (12, 0), (13, 0), (11, 3)])], "n int, pointer string, page int, data string")
+    asked = asked.drop("data")
+    assert _rows(kept_store.expand_stored(asked, path).select("n", "pointer", "page", "found", "data")) == _rows(compact.expand(asked, payloads, 10).select("n", "pointer", "page", "found", "data"))
+    assert kept_store.expand_stored(asked.limit(0), path).count() == 0
+
+
+def test_a_page_is_read_without_its_payload(spark, tmp_path):
+    """Of a payload of 30 MB that does not compress one page is read."""
+    path = str(tmp_path / "pages")
+    body = os.urandom(30 << 20)
+    kept_store.write_pages(spark.createDataFrame([("e:big", body, "")], "pointer string, original binary, sha256 string"), path)
+    tracker = spark.sparkContext._jsc.sc().statusStore()
+    read = lambda: tracker.executorSummary("driver").totalInputBytes()
+    before = read()
+    row = kept_store.expand_stored(spark.createDataFrame([("e:big", 4000)], "pointer string, page int"), path).first()
+    assert bytes(row.data) == body[4000 * 4096 : 4001 * 4096] and read() - before < 3 << 20
+
+
+def test_index_and_hashes_follow_replaced_sources(spark, tmp_path):
+    at, edges = str(tmp_path / "memory"), str(tmp_path / "edges")
+    marked = lambda: (kept_index.open_index(spark, streams.index_path(at)).n_docs, _found(spark, streams.hashes_path(at), ["red boat", "old text", "new text", "blue boat"]))
+    streams.replace_sources(_memory(spark, [(1, "default", "s", "red boat"), (2, "default", "t", "old text")]), at)
+    assert marked() == (2, sorted([_sha("red boat"), _sha("old text")]))
+    new = _memory(spark, [(2, "default", "t", "new text"), (4, "default", "t", "blue boat")])
+    for _ in range(2):
+        streams.replace_sources(new, at)
+        assert marked() == (3, sorted([_sha("red boat"), _sha("new text"), _sha("blue boat")]))
+    streams.capture_batch(_turns(spark, ["old text", "red boat"]), at, edges, judging.lexical_judge)
+    assert [(r.id, r.text) for r in tables.read_memory(spark, at, "conversation").collect()] == [(5, "old text")]
+    streams.replace_sources(new.limit(0), at, new.select("collection", "source_id"))
+    assert marked() == (2, sorted([_sha("red boat"), _sha("old text")]))
