@@ -4,19 +4,25 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from ..config import DEFAULTS, Settings
 from ..functions.text import blank_trim, estimate_tokens, index_tokens, query_tokens
 from ..schemas import RESPONSE
 from ..sources.shared import materialize
 
+#: Groups of more rows than this are filled by many tasks, in segments of as many rows.
+SEGMENT = 65536
+
 
 def validate_questions(questions: DataFrame) -> DataFrame:
     """Add error: ``validation`` for an unknown type or blank instructions, else null."""
@@ -36,19 +42,36 @@ def question_bytes(key: Column, *fields: Column) -> Column:
     return json_bytes(quoted) + 1 + json_bytes(F.to_json(F.struct(*fields)))
 
 
-def _filled(rows: DataFrame, group: str, order: str) -> DataFrame:
+def _rows_in_order(batches: Iterator[pa.RecordBatch], group: str) -> Iterator[tuple[pa.RecordBatch, list, list, list]]:
+    for rows in batches:
+        yield rows, rows[group].to_pylist(), rows["cost"].to_pylist(), rows["room"].to_pylist()
+
+
+def _filled(rows: DataFrame, group: str, order: str, segment: int = SEGMENT) -> DataFrame:
     """Rows (group, order, cost, room) with ``batch``, from 1, filled in order while the sum of costs stays within the room.
 
-    A batch holds one row at least. A group's rows are walked through in order, and only a number and a sum are
-    held; where a batch begins depends on all rows before it.
+    A batch holds one row at least; a group has one room. Where a batch begins depends on all rows before it. A group of up to
+    ``segment`` rows is walked through by one task that holds a number and a sum; a longer one is cut into segments that are
+    walked through side by side (``_filled_in_segments``). Rows of a null group are one group; rows that tie in order are taken
+    by cost. Empty input gives no rows.
     """
+    rows = materialize(rows)
+    long = materialize(rows.groupBy(group).agg(F.count("*").alias("_n")).where(F.col("_n") > segment).select(F.col(group).alias("_long")))
+    if long.isEmpty():
+        return _filled_by_group(rows, group, order)
+    same = F.col(group).eqNullSafe(F.col("_long"))
+    short = _filled_by_group(rows.join(long, same, "left_anti"), group, order)
+    return short.unionByName(_filled_in_segments(rows.join(long, same, "left_semi"), group, order, segment))
+
+
+def _filled_by_group(rows: DataFrame, group: str, order: str) -> DataFrame:
     schema = T.StructType([*rows.schema.fields, T.StructField("batch", T.LongType())])
 
     def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, number, total = None, 0, 0
-        for rows in batches:
+        for rows, owners, costs, rooms in _rows_in_order(batches, group):
             out = []
-            for own, cost, room in zip(rows[group].to_pylist(), rows["cost"].to_pylist(), rows["room"].to_pylist()):
+            for own, cost, room in zip(owners, costs, rooms):
                 if own != at or number == 0:
                     at, number, total = own, 1, cost
                 elif total + cost > room:
@@ -58,10 +81,124 @@ def _filled(rows: DataFrame, group: str, order: str) -> DataFrame:
                 out.append(number)
             yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(out, pa.int64())], schema.names)
 
-    return rows.repartition(group).sortWithinPartitions(group, order).mapInArrow(fill, schema)
+    return rows.repartition(group).sortWithinPartitions(group, order, "cost").mapInArrow(fill, schema)
+
+
+def _exits(costs: list[int], room: int) -> Iterator[tuple[int, int, int]]:
+    """What a segment does to an open batch that holds t: (low, begun, open), of which the one with the largest low below t holds.
+
+    The first row that breaks the batch is among those that fit into one room, so there are no more exits than that; equal
+    neighbours are one. From each row, the next one that breaks is found by the running sums, and numbers of batches begun and the
+    last one's first row follow from the segment's end on. begun = 0 means that all rows fit and open is added to t.
+    """
+    cost = np.asarray(costs, "int64")
+    upto = np.cumsum(cost)
+    before = upto - cost
+    places = np.arange(len(cost))
+    breaks = np.maximum(np.searchsorted(upto, before + room, side="right"), places + 1).tolist()
+    begun, last = [1] * len(cost), list(range(len(cost)))
+    for i in range(len(cost) - 1, -1, -1):
+        if breaks[i] < len(cost):
+            begun[i], last[i] = begun[breaks[i]] + 1, last[breaks[i]]
+    total = int(upto[-1])
+    if total <= room:
+        yield -1, 0, total
+    first, shown = min(int(np.searchsorted(upto, room, side="right")) + 1, len(cost)), None
+    lows = np.maximum(room - upto[:first], -1).tolist()
+    for j in range(first - 1, -1, -1):
+        if j and lows[j - 1] == lows[j]:
+            continue  # rows that cost nothing never break a batch that the row before them doesn't
+        this = (begun[j], total - int(before[last[j]]))
+        if this != shown:
+            yield lows[j], *this
+            shown = this
+
+
+def _filled_in_segments(rows: DataFrame, group: str, order: str, segment: int) -> DataFrame:
+    """``_filled`` for groups of very many rows, over many tasks.
+
+    Rows are range-partitioned in order, so a group goes to as many tasks as it needs, and written with the segment each is in. A
+    segment's exits say how an open batch comes out of it. One walk through a group's exits, which holds three numbers, gives
+    what each segment starts with; then all segments are filled side by side.
+    """
+    names = rows.columns
+    dealt_schema = T.StructType([*rows.schema.fields, *(T.StructField(c, T.LongType()) for c in ("_part", "_segment", "_place"))])
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, at, number, place = TaskContext.get().partitionId(), None, 0, segment
+        for rows in batches:
+            numbers, places = [], []
+            for own in rows[group].to_pylist():
+                if own != at or place + 1 >= segment:
+                    at, number, place = own, number + 1, 0
+                else:
+                    place += 1
+                numbers.append(number)
+                places.append(place)
+            added = [pa.array([part] * len(numbers), pa.int64()), pa.array(numbers, pa.int64()), pa.array(places, pa.int64())]
+            yield pa.RecordBatch.from_arrays([*rows.columns, *added], dealt_schema.names)
+
+    by = [group, order, "cost"]
+    dealt = materialize(rows.repartitionByRange(*by).sortWithinPartitions(*by).mapInArrow(cut, dealt_schema))
+    keys = ["_part", "_segment"]
+    exit_schema = T.StructType([*(rows.schema[c] for c in (group, "room")), *(T.StructField(c, T.LongType()) for c in (*keys, "low", "begun", "open"))])
+
+    def exits(key: tuple, rows: pa.Table) -> pa.Table:
+        rows = rows.sort_by("_place")
+        own, room = rows[group][0].as_py(), rows["room"][0].as_py()
+        found = [(own, room, key[0].as_py(), key[1].as_py(), *e) for e in _exits(rows["cost"].to_pylist(), room)]
+        return pa.table({f.name: pa.array(list(c), to_arrow_type(f.dataType)) for f, c in zip(exit_schema.fields, zip(*found))})
+
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, where, total, number, out = None, None, 0, 0, None
+
+        def leave():
+            nonlocal total, number
+            total, number = (total if out[0] == 0 else 0) + out[1], number + out[0]
+
+        for rows in batches:
+            starts = []
+            for own, room, part, place, low, begun, left in zip(*(rows[c].to_pylist() for c in exit_schema.names)):
+                if (part, place) != where:
+                    if where is not None and own == at:
+                        leave()
+                    else:
+                        at, total, number = own, room + 1, 0  # nothing is open: the first row begins a batch
+                    where, out = (part, place), None
+                    starts.append((part, place, total, number))
+                if low < total:
+                    out = (begun, left)
+            if starts:
+                yield pa.RecordBatch.from_arrays([pa.array(list(c), pa.int64()) for c in zip(*starts)], [*keys, "total", "number"])
+
+    found = dealt.select(group, "cost", "room", *keys, "_place").groupBy(*keys).applyInArrow(exits, exit_schema)
+    starts = found.repartition(group).sortWithinPartitions(group, *keys, "low").mapInArrow(walk, "_part long, _segment long, total long, number long")
+    # a segment's start is a row before its first one
+    heads = starts.select(*keys, F.lit(-1).cast("long").alias("_place"), "total", "number")
+    schema = T.StructType([*rows.schema.fields, T.StructField("batch", T.LongType())])
+
+    def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total, number = 0, 0
+        for rows in batches:
+            out, kept = [], []
+            for place, cost, room, had, count in zip(*(rows[c].to_pylist() for c in ("_place", "cost", "room", "total", "number"))):
+                kept.append(place >= 0)
+                if place < 0:
+                    total, number = had, count
+                elif total + cost > room:
+                    number, total = number + 1, cost
+                    out.append(number)
+                else:
+                    total += cost
+                    out.append(number)
+            rows = rows.filter(pa.array(kept, pa.bool_()))
+            yield pa.RecordBatch.from_arrays([*(rows[c] for c in names), pa.array(out, pa.int64())], schema.names)
+
+    all_rows = dealt.unionByName(heads, allowMissingColumns=True)
+    return all_rows.repartition(*keys).sortWithinPartitions(*keys, "_place").mapInArrow(fill, schema)
 
 
-def pack_questions(questions: DataFrame, settings: Settings = DEFAULTS) -> DataFrame:
+def pack_questions(questions: DataFrame, settings: Settings = DEFAULTS, segment: int = SEGMENT) -> DataFrame:
     """(request_id, key, batch, error) from request_id, key, entry_bytes and state_bytes.
 
     Keys in order fill batches whose estimated tokens stay within the limit. A question over it alone makes
@@ -74,12 +211,12 @@ def pack_questions(questions: DataFrame, settings: Settings = DEFAULTS) -> DataF
     # each entry but a batch's first has a comma before it
     fits = rows.where("entry <= room").select("request_id", "key", (F.col("entry") + 1).alias("cost"), (F.col("room") + 1).alias("room"))
     failed = rows.where("entry > room").select("request_id").distinct().withColumn("error", F.lit("budget"))
-    good = _filled(fits, "request_id", "key").select("request_id", "key", "batch").join(failed, "request_id", "left")
+    good = _filled(fits, "request_id", "key", segment).select("request_id", "key", "batch").join(failed, "request_id", "left")
     bad = rows.where("entry > room").select("request_id", "key", F.lit(None).cast("long").alias("batch"), F.lit("budget").alias("error"))
     return good.select("request_id", "key", "batch", "error").unionByName(bad)
 
 
-def pack_tool_batches(eligible: DataFrame, settings: Settings = DEFAULTS) -> DataFrame:
+def pack_tool_batches(eligible: DataFrame, settings: Settings = DEFAULTS, segment: int = SEGMENT) -> DataFrame:
     """(session_id, seq, batch, judged) of eligible tool outputs (id, content) in order.
 
     A batch is filled by each output's estimate and an overhead. It is judged as one text of all its outputs, each
@@ -89,7 +226,7 @@ def pack_tool_batches(eligible: DataFrame, settings: Settings = DEFAULTS) -> Dat
     cost = estimate_tokens(F.col("content")) + settings.item_overhead
     shown = F.octet_length(F.coalesce("id", F.lit(""))) + F.octet_length(F.coalesce("content", F.lit(""))) + len("[]\n") + len("\n\n")
     rows = eligible.select("session_id", "seq", cost.alias("cost"), F.lit(limit).cast("long").alias("room"), shown.cast("long").alias("shown"))
-    packed = _filled(rows, "session_id", "seq")
+    packed = _filled(rows, "session_id", "seq", segment)
     size = F.sum("shown").over(W.partitionBy("session_id", "batch")) - len("\n\n")
     return packed.withColumn("judged", F.floor((size + 3) / 4) <= limit).select("session_id", "seq", "batch", "judged")
 

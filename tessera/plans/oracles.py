@@ -250,6 +250,8 @@ _ASK = {
     "asks": f"SELECT request_id, key, entry + 1 AS cost FROM entered WHERE entry <= {_ROOM}",
     "failing": f"SELECT DISTINCT request_id FROM entered WHERE entry > {_ROOM}",
 } | _fills("asks", "asks", str(_ROOM + 1), "request_id", "key")
+_ASKED = f"""SELECT request_id, key, batch::BIGINT AS batch, CASE WHEN request_id IN (SELECT request_id FROM failing) THEN 'budget' END AS error FROM asks_filled
+            UNION ALL SELECT request_id, key, NULL, 'budget' FROM entered WHERE entry > {_ROOM}"""
 _P = "CASE WHEN doc_id % 4 IN (0, 1) THEN doc_id % 10 / 10.0::DOUBLE END"
 _V = "CASE doc_id % 4 WHEN 0 THEN 'v1' WHEN 1 THEN 'v2' END"
 
@@ -341,11 +343,8 @@ ORACLES: dict[str, str] = {
     "fit_summary": _sql(f"SELECT session_id, sha256({_fit('whole', '120')}) AS summary_sha256 FROM (SELECT session_id, array_to_string(context, chr(10) || chr(10)) AS whole FROM plans)", _LOG),
     "compaction_from_plan": _sql("SELECT session_id, sha256(array_to_string(context, chr(10) || chr(10))) AS summary_sha256, first_id AS first_kept_entry_id, tokens_before FROM plans JOIN prep USING (session_id) WHERE status = 'compacted'", _LOG),
     "pack_tool_batches": _sql(f"SELECT session_id, seq, batch::BIGINT AS batch, {_JOINED} AS judged FROM tools_filled WINDOW b AS (PARTITION BY session_id, batch)", _PACK),
-    "pack_questions": _sql(
-        f"""SELECT request_id, key, batch::BIGINT AS batch, CASE WHEN request_id IN (SELECT request_id FROM failing) THEN 'budget' END AS error FROM asks_filled
-            UNION ALL SELECT request_id, key, NULL, 'budget' FROM entered WHERE entry > {_ROOM}""",
-        _ASK,
-    ),
+    "pack_questions": _sql(_ASKED, _ASK),
+    "pack_one_request": _sql(_ASKED, _ASK | {"keyed": "SELECT 'all' AS request_id, 'q' || lpad(doc_id::VARCHAR, 9, '0') AS key, text FROM documents"}),
     "parse_answers": f"SELECT doc_id AS request_id, 'k' AS key, {_P} AS probability, {_V} AS model_version, CASE WHEN doc_id % 4 >= 2 THEN 'parse' END AS error FROM documents",
     "merge_answers": f"""SELECT request_id, key, CASE WHEN error IS NULL THEN p END AS probability, version AS model_version, error FROM
         (SELECT doc_id AS request_id, key, {_P} AS p, {_V} AS version, CASE WHEN doc_id % 8 = 0 THEN 'duplicate' WHEN doc_id % 12 = 1 THEN 'missing' WHEN doc_id % 4 >= 2 THEN 'parse' END AS error

@@ -333,11 +333,18 @@ def pack_tool_batches(spark, d):
     return judging.pack_tool_batches(tools, TIGHT)
 
 
-def pack_questions(spark, d):
-    docs = table(spark, d, "documents")
+def _asks(spark, d, request):
     key = F.concat(F.lit("q"), F.lpad(F.col("doc_id").cast("string"), 9, "0"))
     size = judging.question_bytes(key, F.lit("noul").alias("type"), F.col("text").alias("instructions"))
-    return judging.pack_questions(docs.select(F.col("source").alias("request_id"), key.alias("key"), size.alias("entry_bytes"), F.lit(2000).alias("state_bytes")), TIGHT)
+    return table(spark, d, "documents").select(request.alias("request_id"), key.alias("key"), size.alias("entry_bytes"), F.lit(2000).alias("state_bytes"))
+
+
+def pack_questions(spark, d):
+    return judging.pack_questions(_asks(spark, d, F.col("source")), TIGHT)
+
+
+def pack_one_request(spark, d):
+    return judging.pack_questions(_asks(spark, d, F.lit("all")), TIGHT, segment=64)
 
 
 def _responses(spark, d):
@@ -542,7 +549,7 @@ NAMES = [
     count_memory, memory_rows, upsert_edges, upsert_elisions, cascade_delete, index_tokens, build_index, shortlist_bm25, link_candidates, link_edges,
     neighborhood, lexical_judge, recall_ranked, recall_unranked, recall_section, recall_rows, recall_request, last_user_text, pressure, protected_tail,
     elide, expand_pages, expand, frozen_prefix, fresh_window, prepare_plan, host_budget, select_fresh_cut, deepened_cut, plan_compaction, fit_summary,
-    compaction_from_plan, pack_tool_batches, pack_questions, parse_answers, merge_answers, validate_questions, normalize_messages, candidate_turns,
+    compaction_from_plan, pack_tool_batches, pack_questions, pack_one_request, parse_answers, merge_answers, validate_questions, normalize_messages, candidate_turns,
     read_turns, stored_memory, stored_edges, stored_elisions, read_judgments, write_plans, read_text_sources, entry_tokens, text_of, session_turns,
     messages_from_preparation, messages_for_compaction, judge, judge_kept, kept_shortlist, links_of_the_moment, ingest_kept, replace_stored, expand_stored, capture_batches, recall_batches,
 ]

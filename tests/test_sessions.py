@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from tessera.config import CONVERSATION, DEFAULTS, Settings
 from tessera.functions import text as tx
-from tessera.operators import compact, host_window, index, messages
+from tessera.operators import compact, host_window, index, judging, messages
 from tessera.schemas import ELISIONS, MEMORY
 from tessera.sources import tables
 from tessera.streaming import streams
@@ -292,3 +292,36 @@ def test_compaction_stream(spark, tmp_path):
     streams.compact_stream(stream, entries, memory, edges, none, judged, str(tmp_path / "out"), str(tmp_path / "check")).awaitTermination(120)
     got = spark.read.parquet(str(tmp_path / "out")).collect()
     assert [(r.first_kept_entry_id, r.fresh_cut) for r in got] == [("a1", True)] and got[0].summary == DEFAULTS.window_line
+
+
+def test_long_groups_are_filled_in_segments(spark):
+    rng = random.Random(7)
+    rows, expected = [], {}
+    for group, n, cost, room in ((None, 300, lambda: rng.randint(1, 40), 100), ("even", 500, lambda: 10, 95), ("wide", 400, lambda: rng.randint(1, 3), 500), ("odd", 350, lambda: rng.choice([1, 2, 400]), 60), ("short", 5, lambda: 50, 60), ("nil", 200, lambda: rng.choice([0, 0, 7]), 20)):
+        number, total = 0, room + 1
+        for i in range(n):
+            c = cost()
+            number, total = (number + 1, c) if total + c > room else (number, total + c)
+            rows.append((group, i, c, room))
+            expected[group, i] = number
+    rng.shuffle(rows)
+    df = spark.createDataFrame(rows, "owner string, at int, cost long, room long").repartition(3)
+    for segment in (16, 130, 10**6):
+        got = judging._filled(df, "owner", "at", segment)
+        assert got.columns == ["owner", "at", "cost", "room", "batch"]
+        got = got.collect()
+        assert len(got) == len(rows) and {(r.owner, r.at): r.batch for r in got} == expected
+    assert judging._filled(df.limit(0), "owner", "at").collect() == []
+
+
+def test_exits_of_a_segment_say_what_walking_through_it_says():
+    rng = random.Random(11)
+    for _ in range(300):
+        room, costs = rng.randint(0, 30), [rng.randint(0, 12) for _ in range(rng.randint(1, 25))]
+        found = list(judging._exits(costs, room))
+        for t in range(room + 14):
+            total, number = t, 0
+            for c in costs:
+                number, total = (number + 1, c) if total + c > room else (number, total + c)
+            low, begun, left = max(f for f in found if f[0] < t)
+            assert (begun, left + (t if begun == 0 else 0)) == (number, total)
