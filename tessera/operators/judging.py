@@ -207,7 +207,8 @@ def pack_questions(questions: DataFrame, settings: Settings = DEFAULTS, segment:
     frame = len('{"questions":{},"state":}')
     limit = settings.token_limit * 4  # ceil(bytes / 4) <= limit
     room = limit - frame - F.col("state_bytes").cast("long")
-    rows = questions.select("request_id", "key", F.col("entry_bytes").cast("long").alias("entry"), room.alias("room"))
+    # sizes are computed once, as three reads follow
+    rows = materialize(questions.select("request_id", "key", F.col("entry_bytes").cast("long").alias("entry"), room.alias("room")))
     # each entry but a batch's first has a comma before it
     fits = rows.where("entry <= room").select("request_id", "key", (F.col("entry") + 1).alias("cost"), (F.col("room") + 1).alias("room"))
     failed = rows.where("entry > room").select("request_id").distinct().withColumn("error", F.lit("budget"))
