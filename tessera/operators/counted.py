@@ -12,7 +12,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -33,7 +33,27 @@ def _letters() -> np.ndarray:
 
 
 LETTERS = _letters()
-_ASCII = LETTERS[:128].astype(np.uint8)
+#: For each byte its folded ASCII letter or digit, 0 for what separates tokens; bytes of other letters stay.
+_BYTES = bytes([*LETTERS[:128].astype(np.uint8), *range(128, 256)])
+
+
+def _folded(raw: np.ndarray, letters: np.ndarray, heads: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Bytes with the letters beyond ASCII that begin at ``heads`` folded too, and where texts end among them."""
+    letters, three = letters.copy(), raw[heads] >= 0xE0  # U+2000 to U+206F, which has no letters
+    code = (raw[heads].astype(np.int32) & 0x1F) << 6 | raw[heads + 1] & 0x3F
+    folded = LETTERS[np.where(three, _TABLE, np.minimum(code, _TABLE))]
+    none, plain, wide = folded == 0, (folded > 0) & (folded < 0x80), folded > 0x7FF
+    for where in (heads[none], heads[none] + 1, heads[three] + 2):
+        letters[where] = 0
+    letters[heads[plain]] = folded[plain]
+    two, three = ~none & ~plain & ~wide, heads[wide] + 1
+    letters[heads[two]], letters[heads[two] + 1] = 0xC0 | folded[two] >> 6, 0x80 | folded[two] & 0x3F
+    letters[heads[wide]], letters[three] = 0xE0 | folded[wide] >> 12, 0x80 | folded[wide] >> 6 & 0x3F
+    gone = heads[plain] + 1
+    ends = ends - np.searchsorted(gone, ends) + np.searchsorted(three, ends)
+    if len(three):
+        letters, gone = np.insert(letters, three + 1, 0x80 | folded[wide] & 0x3F), gone + np.searchsorted(three, gone)
+    return np.delete(letters, gone) if len(gone) else letters, ends
 
 
 def _cut(texts: pa.StringArray) -> tuple[np.ndarray, pa.Array]:
@@ -43,25 +63,19 @@ def _cut(texts: pa.StringArray) -> tuple[np.ndarray, pa.Array]:
     if data is None or ends[0] == ends[-1]:
         return np.zeros(len(texts), np.int64), pa.array([], pa.string())
     raw, ends = np.frombuffer(data, np.uint8)[ends[0] : ends[-1]], ends - ends[0]
-    if raw.max() < 128:
-        letters = _ASCII[raw]
-    else:
-        ends = np.append(0, np.cumsum((raw & 0xC0) != 0x80))[ends]  # in code points
-        raw = np.frombuffer(raw.tobytes().decode().encode("utf-32-le"), np.uint32)
-        letters = LETTERS[np.minimum(raw, _TABLE)]
+    letters, others = np.frombuffer(raw.tobytes().translate(_BYTES), np.uint8), np.flatnonzero(raw >= 0xC0)
+    if len(others):
+        letters, ends = _folded(raw, letters, others, ends)
     kept = letters > 0
-    begins = kept.copy()
+    begins, stops = kept.copy(), kept.copy()
     begins[1:] &= ~kept[:-1]
+    stops[:-1] &= ~kept[1:]
     heads = ends[:-1][ends[:-1] < ends[1:]]
     begins[heads] = kept[heads]
+    stops[heads[1:] - 1] = kept[heads[1:] - 1]
     at = np.flatnonzero(begins)
-    places, letters = np.append((np.cumsum(kept) - 1)[at], kept.sum()), letters[kept]
-    if letters.dtype != np.uint8 and len(letters) and letters.max() > 127:
-        width = np.append(0, np.cumsum(1 + (letters > 0x7F) + (letters > 0x7FF)))
-        places, written = width[places], letters.tobytes().decode("utf-32-le").encode()
-    else:
-        written = letters.astype(np.uint8).tobytes()
-    return np.diff(np.searchsorted(at, ends)), pa.StringArray.from_buffers(len(at), pa.py_buffer(places.astype(np.int32)), pa.py_buffer(written))
+    places = np.append(0, np.cumsum(np.flatnonzero(stops) + 1 - at)).astype(np.int32)
+    return np.diff(np.searchsorted(at, ends)), pa.StringArray.from_buffers(len(at), pa.py_buffer(places), pa.py_buffer(letters[kept].tobytes()))
 
 
 def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -75,31 +89,52 @@ def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 yield rows.slice(low, high - low)
 
 
+def tokens_of(text: pa.Array, others: pa.Array) -> tuple[np.ndarray, pa.Array, np.ndarray]:
+    """(row, token) of all tokens, those of a row in order, and how many each row has; ``others`` are tokens that Spark has cut."""
+    counts, tokens = _cut(text.fill_null(""))
+    more = pc.fill_null(pc.list_value_length(others), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    row = np.repeat(np.arange(len(text)), counts)
+    if more.any():
+        row, tokens = np.append(row, np.repeat(np.arange(len(text)), more)), pa.concat_arrays([tokens, pc.list_flatten(others)])
+    return row, tokens, counts + more
+
+
+def _asked(rows: pa.RecordBatch, words: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(row, place, tf) of each row's distinct tokens that are among ``words``, by row and place, and the rows' lengths."""
+    row, tokens, lens = tokens_of(rows["text"], rows["tokens"])
+    place = pc.index_in(tokens, value_set=words)
+    known = place.is_valid().to_numpy(zero_copy_only=False)
+    keys, tf = np.unique(row[known] * max(len(words), 1) + place.drop_null().to_numpy(), return_counts=True)
+    return keys // max(len(words), 1), keys % max(len(words), 1), tf.astype(np.int32), lens.astype(np.int32)
+
+
 def _counts(rows: pa.RecordBatch, words: pa.Array | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, pa.Array]:
     """(row, code, tf) of each row's distinct tokens by row and code, the rows' lengths, and what the codes stand for.
 
     With ``words`` codes are places among them, from 1; all other tokens of a row are one, 0.
     """
-    counts, tokens = _cut(rows["text"].fill_null(""))
-    others = rows["tokens"]
-    more = pc.fill_null(pc.list_value_length(others), 0).to_numpy(zero_copy_only=False).astype(np.int64)
-    row = np.repeat(np.arange(rows.num_rows), counts)
-    if more.any():
-        row, tokens = np.append(row, np.repeat(np.arange(rows.num_rows), more)), pa.concat_arrays([tokens, pc.list_flatten(others)])
+    if words is not None:
+        row, place, tf, lens = _asked(rows, words)
+        rest = lens - np.bincount(row, tf, rows.num_rows).astype(np.int32)
+        has = np.flatnonzero(rest)
+        return np.append(row, has), np.append(place + 1, np.zeros_like(has)), np.append(tf, rest[has]), lens, words
+    row, tokens, lens = tokens_of(rows["text"], rows["tokens"])
     coded = tokens.dictionary_encode()
     code, known, n = coded.indices.to_numpy(), coded.dictionary, len(coded.dictionary)
-    if words is not None:
-        found = pc.fill_null(pc.index_in(known, value_set=words), -1).to_numpy(zero_copy_only=False).astype(np.int64) + 1
-        code, n = found[code], len(words) + 1
     keys, tf = np.unique(row * max(n, 1) + code, return_counts=True)
-    return keys // max(n, 1), keys % max(n, 1), tf.astype(np.int32), (counts + more).astype(np.int32), known
+    return keys // max(n, 1), keys % max(n, 1), tf.astype(np.int32), lens.astype(np.int32), known
 
 
-def _texts(rows: DataFrame, text: str, *keep: str) -> DataFrame:
-    """Columns to keep, text where the table is enough, tokens where it isn't."""
-    value = F.col(text)
+def cuttable(value: Column) -> tuple[Column, Column]:
+    """The text where the table is enough, its tokens where it isn't."""
     other = ~F.is_valid_utf8(value) | (~is_ascii(value) & value.rlike(_OTHERS))
-    return rows.select(*keep, F.when(~other, value).alias("text"), F.when(other, index_tokens(value)).alias("tokens"))
+    return F.when(~other, value), F.when(other, index_tokens(value))
+
+
+def _texts(rows: DataFrame, text: str, *keep: str) -> DataFrame:
+    """Columns to keep, text and tokens (cuttable)."""
+    value, tokens = cuttable(F.col(text))
+    return rows.select(*keep, value.alias("text"), tokens.alias("tokens"))
 
 
 def count_tokens(rows: DataFrame, text: str = "text", keep: tuple[str, ...] = ("id",), words: pa.Array | None = None) -> DataFrame:
@@ -121,6 +156,22 @@ def count_tokens(rows: DataFrame, text: str = "text", keep: tuple[str, ...] = ("
     return ready.mapInArrow(count, schema)
 
 
+def count_asked(rows: DataFrame, words: pa.Array, text: str = "text", keep: tuple[str, ...] = ("id",)) -> DataFrame:
+    """(keep, tokens, tfs, doc_len): a row for each row of ``rows``, with places in ``words`` (a bounded list) for its tokens among them."""
+    ready = _texts(rows, text, *keep)
+    kinds = {"tokens": T.ArrayType(T.IntegerType()), "tfs": T.ArrayType(T.IntegerType()), "doc_len": T.IntegerType()}
+    schema = T.StructType([*(ready.schema[c] for c in keep), *(T.StructField(c, kind) for c, kind in kinds.items())])
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in _parts(batches):
+            row, place, tf, lens = _asked(rows, words)
+            offsets = pa.array(np.searchsorted(row, np.arange(rows.num_rows + 1)).astype(np.int32))
+            lists = [pa.ListArray.from_arrays(offsets, pa.array(x.astype(np.int32))) for x in (place, tf)]
+            yield pa.RecordBatch.from_arrays([*(rows[c] for c in keep), *lists, pa.array(lens)], schema.names)
+
+    return ready.mapInArrow(count, schema)
+
+
 def count_in_blocks(rows: DataFrame, text: str = "text", width: int = 1024) -> DataFrame:
     """Blocks of passages (id, collection, text), a slot being ``width`` neighbouring ids, and, with a null token, the lengths of the passages of a slot.
 
