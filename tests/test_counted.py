@@ -7,8 +7,8 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from tessera.functions.text import index_tokens
-from tessera.operators import counted
+from tessera.functions.text import index_tokens, query_tokens
+from tessera.operators import counted, judging
 
 TEXTS = [
     "", None, " ", "...", "Ab-cd 12ef ab", "Ébène à Straße ŒUVRE œuvre Ǆ ǅ", "“quoted”—dash… it’s", "İstanbul ſtraße ŉ", "Σίσυφος ΣΑΣ", "漢字かな 漢 text漢字x", "Ⱥ ɐ ȺB Ɓa",
@@ -62,3 +62,15 @@ def test_no_text_at_all(spark):
     assert counted.count_tokens(none).count() == counted.count_in_blocks(none).count() == 0
     blank = spark.createDataFrame([(1, "a", None), (2, "a", "")], "id long, collection string, text string")
     assert counted.count_tokens(blank).count() == 0 and [tuple(r["ids"]) for r in counted.count_in_blocks(blank.coalesce(1)).collect()] == [(1, 2)]
+
+
+def test_lexical_judge_is_the_share_of_asked_tokens(spark):
+    """Of any letters, for requests longer than what is kept of them, each pair on its own."""
+    rng = random.Random(2)
+    some = TEXTS + [" ".join(rng.choices(["the", "Été", "ß", "x1", "y"], k=n)) for n in (3, 70, 90)] + [" ".join(f"w{i}" for i in range(80))]
+    pairs = spark.createDataFrame([(i, rng.choice(some), rng.choice(some)) for i in range(300)], "k long, request string, text string").repartition(2)
+    asked = F.array_distinct(query_tokens(F.col("request")))
+    want = F.round(F.size(F.array_intersect(asked, index_tokens(F.col("text")))) / F.nullif(F.size(asked), F.lit(0)), 9)
+    got = judging.lexical_judge(pairs)
+    assert got.columns == [*pairs.columns, "probability"]
+    assert sorted(map(repr, got.collect())) == sorted(map(repr, pairs.withColumn("probability", want).collect()))

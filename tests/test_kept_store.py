@@ -102,6 +102,20 @@ def test_a_batch_that_failed_before_its_hashes_stores_nothing_twice(spark, tmp_p
     assert kept_index.open_index(spark, streams.index_path(at)).n_docs == 3
 
 
+def test_links_are_looked_for_until_they_are_judged(spark, tmp_path):
+    """Rows that got no edge are not linked again with each delivery; those with a failed judgment are."""
+    at, edges, asked = str(tmp_path / "memory"), str(tmp_path / "edges"), []
+
+    def judge(pairs):
+        asked.append(pairs.count())
+        return pairs.withColumn("probability", F.lit(None if len(asked) == 1 else 0.1).cast("double"))
+
+    for _ in range(3):
+        streams.capture_batch(_turns(spark, ["one two", "two three", "three one"]), at, edges, judge)
+    assert asked == [3, 3]
+    assert tables.read_edges(spark, edges).count() == 0
+
+
 def _files(path):
     return {os.path.join(d, f) for d, _, names in os.walk(path) for f in names if f.endswith(".parquet")}
 
