@@ -116,6 +116,16 @@ def test_links_are_looked_for_until_they_are_judged(spark, tmp_path):
     assert tables.read_edges(spark, edges).count() == 0
 
 
+def test_an_id_is_the_place_among_the_delivered_turns(spark, tmp_path):
+    """As in the SQL of capture_batches: a duplicate's number stays unused, a turn delivered again takes none."""
+    at, edges = str(tmp_path / "memory"), str(tmp_path / "edges")
+    judge = lambda pairs: pairs.withColumn("probability", F.lit(0.1))
+    texts = ["one two", "one two", "two three", "three one", "one two", "four five"]
+    for part in (slice(0, 3), slice(2, 6), slice(2, 6)):
+        streams.capture_batch(_turns(spark, texts).where(F.col("arrival").isin(list(range(*part.indices(6))))), at, edges, judge)
+    assert sorted((r.id, r.text) for r in tables.read_memory(spark, at).collect()) == [(1, "one two"), (3, "two three"), (4, "three one"), (6, "four five")]
+
+
 def _files(path):
     return {os.path.join(d, f) for d, _, names in os.walk(path) for f in names if f.endswith(".parquet")}
 
